@@ -130,3 +130,103 @@ rk AS (
   SELECT *, row_number() OVER (PARTITION BY {key}, f ORDER BY
       CASE WHEN f IN ({inlist}) THEN v END NULLS LAST, p, l, i, v) rn FROM dd),
 lists AS (SELECT {key}, {', '.join(cols)} FROM rk GROUP BY {key})"""
+
+
+# --------------------------------------------------------------------- GC --
+_SHAPES = {"A": (P.GC_SHAPE_A, {"ts": 1, "event": 2, "id": 3, "desc": 4, "before": 5,
+                                "after": 6, "heap": 7, "dur": 8}),
+           "B": (P.GC_SHAPE_B, {"ts": 1, "event": 2, "id": 3, "desc": 4, "dur": 5,
+                                "before": 6, "after": 7, "heap": 8}),
+           "C": (P.GC_SHAPE_C, {"ts": 1, "event": 2, "id": 3, "desc": 4, "dur": 5})}
+
+
+def _gc_field(field: str) -> str:
+    arms = [f"WHEN shape = '{s}' THEN regexp_extract(l, {q(rx)}, {g[field]})"
+            for s, (rx, g) in _SHAPES.items() if field in g]
+    return "CASE " + " ".join(arms) + " END"
+
+
+def size_bytes(x: str) -> str:
+    s2 = f"upper(replace({strip(x)}, ',', ''))"
+    rx = q(r"^(\d+(?:\.\d+)?)\s*([KMGT])B?$")
+    unit = " ".join(f"WHEN '{u}' THEN {float(m)}" for u, m in P.SIZE_UNITS)
+    return (f"CASE WHEN regexp_matches({s2}, {rx}) THEN CAST(floor(TRY_CAST(regexp_extract({s2}, {rx}, 1) AS DOUBLE)"
+            f" * CASE regexp_extract({s2}, {rx}, 2) {unit} END) AS BIGINT)"
+            f" WHEN regexp_matches({s2}, '^\\d+$') THEN TRY_CAST({s2} AS BIGINT) END")
+
+
+def duration(x: str) -> str:
+    s2 = f"lower(replace({strip(x)}, ',', ''))"
+    return (f"CASE WHEN suffix({s2}, 'ms') THEN TRY_CAST({strip(f'left({s2}, length({s2}) - 2)')} AS DOUBLE)"
+            f" WHEN suffix({s2}, 's') THEN TRY_CAST({strip(f'left({s2}, length({s2}) - 1)')} AS DOUBLE) * 1000.0"
+            f" ELSE TRY_CAST({s2} AS DOUBLE) END")
+
+
+def gc_case(d: str, idx: int, other: str) -> str:
+    low = f"lower({d})"
+    arms = []
+    for kind in P.GC_KINDS:
+        cond = " OR ".join(f"contains({low}, {q(sub)})" for sub in kind[4])
+        val = kind[idx]
+        val = q(val) if isinstance(val, str) else ("true" if val else "false")
+        arms.append(f"WHEN {cond} THEN {val}")
+    return "CASE " + " ".join(arms) + f" ELSE {other} END"
+
+
+def fmt(x: str, decimals: int, thousands: bool = False) -> str:
+    spec = "{:" + ("," if thousands else "") + f".{decimals}f" + "}"
+    return f"format('{spec}', {x})"
+
+
+def bytes_to_mb(x: str) -> str:
+    return f"CASE WHEN {x} >= 0 THEN {fmt(f'greatest({x}, 0) / 1048576.0', 0)} || 'MB' ELSE '?' END"
+
+
+def nice_ms(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR {x} < 0 THEN '?' WHEN {x} < 1000 THEN {fmt(x, 3, True)} || 'ms'"
+            f" ELSE {fmt(f'{x} / 1000.0', 3, True)} || 's' END")
+
+
+def pct(x: str) -> str:
+    return f"CASE WHEN {x} >= 0 THEN {fmt(f'{x} * 100.0', 1)} || '%' ELSE '?' END"
+
+
+def service(path: str) -> str:
+    return (f"coalesce(nullif(regexp_extract({path}, 'service=([^/]+)', 1), ''), "
+            f"CASE WHEN contains({path}, 'service/executor') THEN 'executor' END)")
+
+
+def executor(path: str) -> str:
+    return (f"coalesce(nullif(regexp_extract({path}, {q(r'executor-(\d+(?:\.\d+)*)')}, 1), ''), "
+            f"CASE WHEN contains(lower(coalesce({path}, 'None')), 'driver') THEN 'driver' ELSE 'unknown' END)")
+
+
+GC_EVENTS = GC_LINES + f""",
+gm AS (
+  SELECT path, line_no, line_text l, CASE
+      WHEN regexp_matches(line_text, {q(P.GC_SHAPE_A)}) THEN 'A'
+      WHEN regexp_matches(line_text, {q(P.GC_SHAPE_B)}) THEN 'B'
+      WHEN regexp_matches(line_text, {q(P.GC_SHAPE_C)}) THEN 'C' END shape
+  FROM gl),
+gg AS (
+  SELECT path, line_no, {_gc_field('ts')} ts_s, {_gc_field('event')} event, {_gc_field('id')} id_s,
+    coalesce({_gc_field('desc')}, '') d0, {_gc_field('before')} bs, {_gc_field('after')} af,
+    {_gc_field('heap')} hp, {_gc_field('dur')} du
+  FROM gm WHERE shape IS NOT NULL),
+g1 AS (
+  SELECT path, line_no, event, TRY_CAST(id_s AS BIGINT) event_id, TRY_CAST(ts_s AS DOUBLE) timestamp_s,
+    {duration('du')} duration_ms, coalesce(bs, '?') mem_before_str, coalesce(af, '?') mem_after_str,
+    coalesce(hp, '?') heap_str, {size_bytes('bs')} mem_before_bytes, {size_bytes('af')} mem_after_bytes,
+    {size_bytes('hp')} heap_bytes, {strip('d0')} d
+  FROM gg),
+gev AS (
+  SELECT *, {bytes_to_mb('freed_bytes')} freed_mb_str,
+    CASE WHEN freed_bytes >= 0 AND heap_bytes > 0 THEN freed_bytes / heap_bytes END freed_pct
+  FROM (SELECT * EXCLUDE (d),
+    CASE WHEN mem_before_bytes >= 0 AND mem_after_bytes >= 0 THEN mem_before_bytes - mem_after_bytes END freed_bytes,
+    {gc_case('d', 0, "'other'")} kind,
+    {gc_case('d', 1, "CASE WHEN substr(d, 1, 32) <> '' THEN substr(d, 1, 32) ELSE 'Other' END")} kind_short,
+    {gc_case('d', 2, 'false')} stw, {gc_case('d', 3, 'false')} "full",
+    nullif(array_to_string(regexp_extract_all(d, {q(r'\(([^)]+)\)')}, 1), ' | '), '') cause,
+    {service('path')} service
+  FROM g1))"""

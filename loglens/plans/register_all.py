@@ -1,3 +1,4 @@
 """Import every catalog module so that all queries are registered."""
 
 from . import catalog  # noqa: F401
+from . import catalog_gc  # noqa: F401
