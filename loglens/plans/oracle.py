@@ -230,3 +230,48 @@ gev AS (
     nullif(array_to_string(regexp_extract_all(d, {q(r'\(([^)]+)\)')}, 1), ' | '), '') cause,
     {service('path')} service
   FROM g1))"""
+
+
+# ------------------------------------------------------------------ cases --
+def _case_sql() -> str:
+    from ..sources import fixtures as FX
+    types = FX.CASE_EVENT_TYPES
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE event_type = {q(t)}) AS BIGINT) n_{t}" for t in types)
+    claims = ", ".join(
+        f"CASE WHEN n_{t} > 0 THEN (CASE WHEN n_{t} >= 3 THEN '[PROVEN]' ELSE '[INFERRED]' END)"
+        f" || ' {t} events: ' || CAST(n_{t} AS VARCHAR) || '.' END" for t in types)
+    keys = ", ".join(f"CASE WHEN n_{t} > 0 THEN {q(k)} END" for t, k in FX.CASE_CLAIM_KEYS)
+    statuses = "[" + ", ".join(q(s) for s in FX.CASE_STATUSES) + "]"
+    actions = "[" + ", ".join(q(s) for s in FX.CASE_ACTIONS) + "]"
+    return LOG_LINES + f""",
+cl AS (SELECT b.user_id case_id, ll.* FROM ll JOIN b ON ll.line_no = b.event_id),
+cev AS (SELECT case_id, c.pattern, CAST(count(*) AS BIGINT) count, min(line_no) first_line
+        FROM cl JOIN {class_values()} ON regexp_matches(cl.line_text, c.rx, 'i') GROUP BY ALL),
+agg AS (SELECT user_id case_id, {counts}, sum(v) sv,
+          arg_min(path, event_id) FILTER (WHERE event_type = 'error') err_path FROM b GROUP BY user_id),
+sug AS (SELECT case_id, list(pattern ORDER BY first_line) suggested FROM cev GROUP BY case_id),
+ext AS (SELECT case_id, list(event_type ORDER BY f) existing FROM
+          (SELECT user_id case_id, event_type, min(event_id) f FROM b GROUP BY ALL) GROUP BY case_id),
+cases AS (
+  SELECT agg.case_id, {', '.join('n_' + t for t in types)},
+    CAST(n_error % 8 AS INTEGER) iteration, {statuses}[CAST(n_view % 3 AS INTEGER) + 1] last_status,
+    CAST(sv % 100 AS DOUBLE) / 100.0 confidence, n_purchase % 2 = 1 critic_approved,
+    {actions}[CAST(n_click % 5 AS INTEGER) + 1] proposed_action,
+    CAST(n_signup % 8 AS INTEGER) analyze_parse_loops,
+    CAST((n_click * 7) % 61 - 30 AS DOUBLE) / 100.0 critic_adjust,
+    n_view % 2 = 0 critic_approve,
+    CASE WHEN n_error % 3 = 0 THEN '' ELSE 'Evidence is thin.' END critic_reasons,
+    coalesce(err_path, '') logs_path,
+    concat_ws(' ', {claims}) rca,
+    list_filter([{keys}], lambda x: x IS NOT NULL) key_evidence,
+    coalesce(suggested, []::VARCHAR[]) suggested, coalesce(existing, []::VARCHAR[]) existing
+  FROM agg LEFT JOIN sug USING (case_id) LEFT JOIN ext USING (case_id))"""
+
+
+CASES = _case_sql()
+
+
+def dedupe_keep_order(arr: str) -> str:
+    t = f"list_filter(list_transform({arr}, lambda x: {strip('x')}), lambda x: x <> '')"
+    return (f"list_filter({t}, lambda x, i: NOT list_contains("
+            f"list_transform({t}[1:i-1], lambda y: lower(y)), lower(x)))")

@@ -2,3 +2,4 @@
 
 from . import catalog  # noqa: F401
 from . import catalog_gc  # noqa: F401
+from . import catalog_cases  # noqa: F401

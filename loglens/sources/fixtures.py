@@ -97,3 +97,75 @@ def json_hit_blobs(spark, sf_dir: str, chunk: int = 8) -> DataFrame:
             .select("blob_id", F.concat(F.lit("Found "), _s(F.col("n")),
                                         F.lit(" hits\n'"), F.col("arr"),
                                         F.lit("'")).alias("blob")))
+
+
+# ------------------------------------------------------------------ cases --
+# FIXED VALUES: how case state is derived from a user's events (fixture
+# convention, mirrored by the SQL oracle).
+CASE_EVENT_TYPES = ["error", "signup", "view", "click", "purchase"]
+CASE_STATUSES = ["", "continue", "summarized"]
+CASE_ACTIONS = ["reasoning", "critic", "end", "analyzer", "bogus"]
+CASE_CLAIM_KEYS = [("error", "OutOfMemoryError"), ("signup", "Executor_lost"),
+                   ("view", "Shuffle_fetch_failure"), ("purchase", "Disk_full")]
+
+
+def case_lines(spark, sf_dir: str) -> DataFrame:
+    """Log lines with the case (user) they belong to."""
+    b = event_base(spark, sf_dir).select(F.col("event_id").alias("line_no"),
+                                         F.col("user_id").alias("case_id"))
+    return log_lines(spark, sf_dir).join(b, "line_no")
+
+
+def case_evidence(spark, sf_dir: str) -> DataFrame:
+    """(case_id, pattern, count, first_line): class evidence per case."""
+    from ..functions.text import class_labels
+    return (case_lines(spark, sf_dir)
+            .select("case_id", "line_no", F.explode(class_labels("line_text")).alias("pattern"))
+            .groupBy("case_id", "pattern")
+            .agg(F.count(F.lit(1)).alias("count"), F.min("line_no").alias("first_line")))
+
+
+def cases(spark, sf_dir: str) -> DataFrame:
+    """One investigation case per user, its state derived from the events."""
+    b = event_base(spark, sf_dir)
+    et = F.col("event_type")
+    n = {t: F.count_if(et == t).alias(f"n_{t}") for t in CASE_EVENT_TYPES}
+    agg = (b.groupBy(F.col("user_id").alias("case_id"))
+           .agg(*n.values(), F.sum("v").alias("_sv"),
+                F.min(F.when(et == "error", F.struct("event_id", "path"))).alias("_err")))
+    ev = case_evidence(spark, sf_dir)
+    sug = (ev.groupBy("case_id")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "pattern"))),
+                            lambda s: s["pattern"]).alias("suggested")))
+    ext = (b.groupBy(F.col("user_id").alias("case_id"), "event_type")
+           .agg(F.min("event_id").alias("_f"))
+           .groupBy("case_id")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "event_type"))),
+                            lambda s: s["event_type"]).alias("existing")))
+    c = F.col
+    claims = []
+    for t in CASE_EVENT_TYPES:
+        cnt = c(f"n_{t}")
+        claims.append(F.when(cnt > 0, F.concat(
+            F.when(cnt >= 3, F.lit("[PROVEN]")).otherwise(F.lit("[INFERRED]")),
+            F.lit(f" {t} events: "), cnt.cast("string"), F.lit("."))))
+    key_ev = F.array_compact(F.array(*[F.when(c(f"n_{t}") > 0, F.lit(k))
+                                       for t, k in CASE_CLAIM_KEYS]))
+    pick = lambda values, idx: F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
+    return (agg.join(sug, "case_id", "left").join(ext, "case_id", "left")
+            .select("case_id", *[f"n_{t}" for t in CASE_EVENT_TYPES],
+                    (c("n_error") % 8).cast("int").alias("iteration"),
+                    pick(CASE_STATUSES, (c("n_view") % 3).cast("int")).alias("last_status"),
+                    ((c("_sv") % 100).cast("double") / 100.0).alias("confidence"),
+                    (c("n_purchase") % 2 == 1).alias("critic_approved"),
+                    pick(CASE_ACTIONS, (c("n_click") % 5).cast("int")).alias("proposed_action"),
+                    (c("n_signup") % 8).cast("int").alias("analyze_parse_loops"),
+                    (((c("n_click") * 7) % 61 - 30).cast("double") / 100.0).alias("critic_adjust"),
+                    (c("n_view") % 2 == 0).alias("critic_approve"),
+                    F.when(c("n_error") % 3 == 0, F.lit("")).otherwise(F.lit("Evidence is thin."))
+                    .alias("critic_reasons"),
+                    F.coalesce(c("_err.path"), F.lit("")).alias("logs_path"),
+                    F.concat_ws(" ", *claims).alias("rca"),
+                    key_ev.alias("key_evidence"),
+                    F.coalesce(c("suggested"), F.array().cast("array<string>")).alias("suggested"),
+                    F.coalesce(c("existing"), F.array().cast("array<string>")).alias("existing")))
