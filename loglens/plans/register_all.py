@@ -4,3 +4,4 @@ from . import catalog  # noqa: F401
 from . import catalog_gc  # noqa: F401
 from . import catalog_cases  # noqa: F401
 from . import catalog_reports  # noqa: F401
+from . import catalog_streams  # noqa: F401
