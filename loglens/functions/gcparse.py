@@ -19,6 +19,32 @@ _GROUPS = {
 _RX = {"A": P.GC_SHAPE_A, "B": P.GC_SHAPE_B, "C": P.GC_SHAPE_C}
 
 
+SEP = "\u0001"        # joins the packed groups; never part of a log line
+
+
+def _packer(shape: str) -> tuple[str, str]:
+    """Whole-line regex for one shape and the replacement that packs its
+    groups: ``^.*?`` finds the leftmost match exactly like a search, the
+    tail swallows the rest, so one evaluation yields every group."""
+    body = _RX[shape][len("(?i)"):]
+    groups = _GROUPS[shape]
+    order = ["ts", "event", "id", "desc", "before", "after", "heap", "dur"]
+    rep = SEP.join(f"${groups[f]}" if f in groups else "" for f in order)
+    return f"(?is)^.*?(?:{body}).*$", rep
+
+
+def gc_packed(line: Column) -> dict[str, Column]:
+    """Per shape: the line rewritten to its packed groups; equal to the line
+    when the shape does not match. Shapes A and B need an arrow, which a
+    plain ``contains`` rules out cheaply (NULL then)."""
+    out = {}
+    for shape in ("A", "B", "C"):
+        rx, rep = _packer(shape)
+        packed = F.regexp_replace(line, rx, rep)
+        out[shape] = F.when(line.contains("->"), packed) if shape in ("A", "B") else packed
+    return out
+
+
 def gc_shape(line: Column) -> Column:
     """'A', 'B' or 'C': the first GC line shape that matches, else NULL."""
     return (F.when(line.rlike(P.GC_SHAPE_A), F.lit("A"))
@@ -26,21 +52,13 @@ def gc_shape(line: Column) -> Column:
             .when(line.rlike(P.GC_SHAPE_C), F.lit("C")))
 
 
-def gc_group(line: Column, shape: Column, field: str) -> Column:
-    """Field text from the matching shape; NULL when the shape lacks it."""
-    out = None
-    for s, groups in _GROUPS.items():
-        if field not in groups:
-            continue
-        val = F.regexp_extract(line, _RX[s], groups[field])
-        out = F.when(shape == s, val) if out is None else out.when(shape == s, val)
-    return out
+GC_FIELDS = ["ts", "event", "id", "desc", "before", "after", "heap", "dur"]
 
 
 def size_to_bytes(s: Column) -> Column:
     """``1,024M`` -> 1073741824 (binary units, K/M/G/T[B], truncated),
     bare digits are bytes, anything else NULL."""
-    s2 = F.upper(F.regexp_replace(py_strip(s), ",", ""))
+    s2 = F.upper(F.replace(py_strip(s), F.lit(","), F.lit("")))
     rx = r"^(\d+(?:\.\d+)?)\s*([KMGT])B?$"
     num = F.regexp_extract(s2, rx, 1)
     unit = F.regexp_extract(s2, rx, 2)
@@ -55,7 +73,7 @@ def size_to_bytes(s: Column) -> Column:
 def duration_ms(s: Column) -> Column:
     """``3.4ms`` -> 3.4, ``1.5s`` -> 1500.0, bare numbers are ms; NULL when
     the number does not parse (``1.2.3ms``)."""
-    s2 = F.lower(F.regexp_replace(py_strip(s), ",", ""))
+    s2 = F.lower(F.replace(py_strip(s), F.lit(","), F.lit("")))
     n = F.length(s2)
     return (F.when(s2.endswith("ms"),
                    py_strip(F.substring(s2, F.lit(1), n - 2)).try_cast("double"))
@@ -64,10 +82,11 @@ def duration_ms(s: Column) -> Column:
             .otherwise(s2.try_cast("double")))
 
 
-def gc_kind(desc: Column) -> dict[str, Column]:
-    """kind, kind_short, stw, full, cause of a GC description."""
-    d = py_strip(desc)
-    low = F.lower(d)
+def gc_kind(desc: Column, low: Column | None = None) -> dict[str, Column]:
+    """kind, kind_short, stw, full, cause of a GC description (``desc``
+    stripped; ``low`` its lower-case form when already computed)."""
+    d = desc
+    low = F.lower(d) if low is None else low
 
     def case(idx: int, other):
         out = None
@@ -106,7 +125,7 @@ def executor_from_path(path: Column, compat: bool = False) -> Column:
 def fmt_fixed(x: Column, decimals: int, thousands: bool = False) -> Column:
     """Python ``f"{x:.Nf}"`` (round half to even), ``thousands`` adds commas."""
     s = F.format_number(x, decimals)
-    return s if thousands else F.regexp_replace(s, ",", "")
+    return s if thousands else F.replace(s, F.lit(","), F.lit(""))
 
 
 def bytes_to_mb(n: Column) -> Column:

@@ -24,12 +24,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# FIXED VALUES: the characters Python's str.isspace() accepts
+PY_WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(col) -> Column:
     """Strip leading/trailing whitespace like Python's ``str.strip``.
 
-    Spark's ``trim`` removes only spaces; tabs and CR would survive it.
+    Spark's ``trim`` removes only spaces; ``btrim`` with Python's whitespace
+    set does the same as ``str.strip`` without a regex.
     """
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def first_group(col, regexes) -> Column:

@@ -85,9 +85,12 @@ def _first_k(distinct: DataFrame, spec: dict[str, tuple[int, str]]) -> DataFrame
 
 
 def _counters(distinct: DataFrame, fields: list[str]) -> DataFrame:
-    aggs = [F.sum(F.when(F.col("f") == "_n", F.col("n"))).cast("bigint").alias("count"),
-            F.min(F.when(F.col("f") == "_n", F.col("o"))).alias("first_seen")]
-    aggs += [F.count_if(F.col("f") == _TAG[f]).cast("bigint").alias("n_" + f)
+    # every column of `distinct` is read here (count(v), min(o), sum(n)) just
+    # as in _first_k, so both branches share one exchange (ReusedExchange)
+    is_n = F.col("f") == "_n"
+    aggs = [F.sum(F.when(is_n, F.col("n"))).cast("bigint").alias("count"),
+            F.min(F.when(is_n, F.col("o"))).alias("first_seen")]
+    aggs += [F.count(F.when(F.col("f") == _TAG[f], F.col("v"))).cast("bigint").alias("n_" + f)
              for f in fields]
     return distinct.groupBy("pattern").agg(*aggs)
 

@@ -33,12 +33,29 @@ def gc_parse(lines: DataFrame, text_col: str = "line_text",
     """
     line = F.col(text_col)
     src = lines.where(line.contains(prefilter)) if prefilter else lines
-    m = (src.where(line.rlike(P.GC_PREFILTER))
-         .select("path", "line_no", line.alias("_l"), G.gc_shape(line).alias("_shape"))
-         .where(F.col("_shape").isNotNull()))
-    L, S = F.col("_l"), F.col("_shape")
-    g = {f: G.gc_group(L, S, f) for f in
-         ("ts", "event", "id", "desc", "before", "after", "heap", "dur")}
+    # Each regex result is materialised by one Project and tested in the
+    # next (Catalyst does not collapse projects that would duplicate it), and
+    # a shape is tried only where the earlier ones failed.
+    L = F.col("_l")
+    pk = G.gc_packed(L)
+
+    def matched(col: str) -> Column:
+        return F.when(F.col(col) != L, F.col(col))
+
+    x = src.select("path", "line_no", line.alias("_l")).select("*", pk["A"].alias("_ra"))
+    x = x.select("path", "line_no", "_l", matched("_ra").alias("_a"))
+    x = x.select("*", F.when(F.col("_a").isNull(), pk["B"]).alias("_rb"))
+    x = x.select("path", "line_no", "_l", "_a", matched("_rb").alias("_b"))
+    x = x.select("*", F.when(F.col("_a").isNull() & F.col("_b").isNull(), pk["C"]).alias("_rc"))
+    x = x.select("path", "line_no", "_a", "_b", matched("_rc").alias("_c"))
+    # lines without a shape drop out through the generator (a filter here
+    # would be pushed below the projects and evaluate the regexes again)
+    hit = F.coalesce(F.col("_a"), F.col("_b"), F.col("_c"))
+    m = x.select("path", "line_no", F.explode(F.when(hit.isNotNull(), F.array(
+        F.split(hit, G.SEP)))).alias("_g"))
+    m = m.select("path", "line_no", *[F.nullif(F.element_at(F.col("_g"), i + 1), F.lit("")).alias(f"_{f}")
+                                      for i, f in enumerate(G.GC_FIELDS)])
+    g = {f: F.col(f"_{f}") for f in G.GC_FIELDS}
     x = m.select(
         "path", "line_no",
         g["event"].alias("event"),
@@ -51,10 +68,11 @@ def gc_parse(lines: DataFrame, text_col: str = "line_text",
         G.size_to_bytes(g["before"]).alias("mem_before_bytes"),
         G.size_to_bytes(g["after"]).alias("mem_after_bytes"),
         G.size_to_bytes(g["heap"]).alias("heap_bytes"),
-        F.coalesce(g["desc"], F.lit("")).alias("_desc"))
+        G.py_strip(F.coalesce(g["desc"], F.lit(""))).alias("_desc"))
+    x = x.select("*", F.lower("_desc").alias("_low"))
     freed = F.when((F.col("mem_before_bytes") >= 0) & (F.col("mem_after_bytes") >= 0),
                    F.col("mem_before_bytes") - F.col("mem_after_bytes"))
-    k = G.gc_kind(F.col("_desc"))
+    k = G.gc_kind(F.col("_desc"), F.col("_low"))
     x = x.select(
         "*", freed.alias("freed_bytes"),
         k["kind"].alias("kind"), k["kind_short"].alias("kind_short"),

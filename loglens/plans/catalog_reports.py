@@ -180,7 +180,7 @@ def markdown_blocks(spark, sf):
     return b.select("path", "line_no", "block_type", "text", F.col("list_id").cast("bigint").alias("list_id"))
 
 
-@register("report_case", "WITH " + O.CASES + f""",
+ORACLE_REPORT_CASE = "WITH " + O.CASES + f""",
 cg AS (SELECT case_id, critic_approve, {O.strip("coalesce(critic_reasons, '')")} reasons,
         greatest(0.0, least(1.0, coalesce(confidence, 0.5) + greatest(-0.25, least(0.25, coalesce(critic_adjust, 0.0))))) conf
       FROM cases),
@@ -209,7 +209,10 @@ SELECT cases.case_id,
   nxt next_action, array_to_string(kw2.keywords, ', ') keywords,
   coalesce(evs.np, 0) evidence_patterns, coalesce(evs.no, 0) evidence_occurrences
 FROM cases JOIN cg2 USING (case_id) JOIN na2 USING (case_id) JOIN kw2 USING (case_id)
-  LEFT JOIN evs USING (case_id) LEFT JOIN er USING (case_id)""")
+  LEFT JOIN evs USING (case_id) LEFT JOIN er USING (case_id)"""
+
+
+@register("report_case", ORACLE_REPORT_CASE)
 def report_case(spark, sf):
     cs = FX.cases(spark, sf).withColumn("keywords", F.col("existing"))
     ev = FX.case_evidence(spark, sf)

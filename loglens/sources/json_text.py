@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.text import py_strip
 
 HIT_SCHEMA = "array<struct<line_text:string,path:string,line_no:bigint>>"
+HIT_STRUCT = "struct<line_text:string,path:string,line_no:bigint>"
+
+
+def parse_hit_array(text: Column) -> Column:
+    """JSON array -> ARRAY<hit struct>; items that are not objects are
+    skipped (the whole array is NULL only when it is not an array)."""
+    items = F.from_json(text, "array<string>")
+    objects = F.filter(items, lambda e: F.ltrim(e).startswith("{"))
+    return F.transform(objects, lambda e: F.from_json(e, HIT_STRUCT))
 
 # Python's str.splitlines() boundaries (also CR LF as one)
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -24,7 +33,7 @@ def hits_from_json(df: DataFrame, col: str, keep: list[str] | None = None) -> Da
     NULL and ``line_text`` defaults to ``''``.
     """
     keep = keep or []
-    arr = F.from_json(F.col(col), HIT_SCHEMA)
+    arr = parse_hit_array(F.col(col))
     return (df.select(*keep, F.posexplode(arr).alias("item_no", "h"))
             .select(*keep, "item_no", F.col("h.path").alias("path"),
                     F.col("h.line_no").alias("line_no"),
@@ -48,8 +57,7 @@ def extract_json_array(text: Column) -> Column:
     unescaped = F.replace(F.replace(body, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'"))
     ok = ((text.contains('"line_text"') | text.contains("'line_text'"))
           & (i > 0) & (j_rev > 0) & (j > i))
-    return F.when(ok, F.coalesce(F.from_json(body, HIT_SCHEMA),
-                                 F.from_json(unescaped, HIT_SCHEMA)))
+    return F.when(ok, F.coalesce(parse_hit_array(body), parse_hit_array(unescaped)))
 
 
 def hits_from_blob(df: DataFrame, col: str, keep: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,21 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it has fewer splits than cores.
+
+    A small file with one row group is read by one task, and every regex
+    after it would run on one core. Large inputs already have thousands of
+    splits and are returned unchanged (no extra shuffle at scale).
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One table; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return balanced(df) if spread else df
