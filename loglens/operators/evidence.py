@@ -43,9 +43,16 @@ def _fact(tag: str, value: Column, idx: Column | None = None) -> Column:
                     _ord(idx).alias("o"))
 
 
-def _facts(keyed: DataFrame, items: list[Column]) -> DataFrame:
-    """keyed has ``pattern``; items are ARRAY<STRUCT<f,v,o>> columns."""
-    return (keyed.select("pattern", F.explode(F.concat(*items)).alias("x"))
+def _facts(keyed: DataFrame, items: list[Column], keep: Column | None = None) -> DataFrame:
+    """keyed has ``pattern``; items are ARRAY<STRUCT<f,v,o>> columns.
+
+    Rows failing ``keep`` yield no facts: dropping them through the
+    generator (not a Filter) keeps Catalyst from pushing the expensive key
+    expression below a shuffle and evaluating it twice."""
+    arr = F.concat(*items)
+    if keep is not None:
+        arr = F.when(keep, arr)
+    return (keyed.select("pattern", F.explode(arr).alias("x"))
             .select("pattern", "x.f", "x.v", "x.o")
             .where(F.col("v").isNotNull() & (F.col("v") != "") | (F.col("f") == "_n")))
 
@@ -152,13 +159,12 @@ def evidence_by_template(hits: DataFrame, *, strip_prefix: bool = True, ts_k: in
     line = F.col("line_text")
     keyed = (hits.where(T.py_strip(line) != "")
              .select("path", "line_no", "line_text",
-                     T.error_pattern(line, strip_prefix=strip_prefix).alias("pattern"))
-             .where(F.col("pattern") != ""))
+                     T.error_pattern(line, strip_prefix=strip_prefix).alias("pattern")))
     facts = _facts(keyed, [
         F.array(_fact("_n", F.lit("")), _fact("ts", T.extract_timestamp(line)),
                 _fact("file", F.col("path")), _fact("sample", line)),
         F.transform(T.extract_variables(line), lambda x, i: _fact("var", x, i)),
-    ])
+    ], keep=F.col("pattern") != "")
     distinct = _distinct_facts(facts)
     lists = _first_k(distinct, {"timestamps": (ts_k, "arrival"),
                                 "files": (files_k, "arrival"),

@@ -12,12 +12,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import gc as GC
@@ -82,38 +78,55 @@ def stream_evidence(spark: SparkSession, folder: str, window: str = "1 day",
             .agg(F.max("count").alias("count")))
 
 
-_INTERVAL_SCHEMA = ("service string, path string, line_no bigint, timestamp_s double, "
-                    "interval_prev_service_s double")
-
-
-def _service_intervals(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    """Per service: previous event time kept in state across batches."""
-    last = state.get[0] if state.exists else None
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["timestamp_s", "event_id", "path", "line_no"], kind="stable")
-        prev = pdf["timestamp_s"].shift(1)
-        if last is not None and len(pdf):
-            prev.iloc[0] = last
-        pdf = pdf.assign(interval_prev_service_s=pdf["timestamp_s"] - prev)
-        if len(pdf):
-            last = float(pdf["timestamp_s"].iloc[-1])
-        yield pdf[["service", "path", "line_no", "timestamp_s", "interval_prev_service_s"]]
-    if last is not None:
-        state.update((last,))
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception:          # folder not written yet (first batch)
+        return None
 
 
 def stream_gc_intervals(spark: SparkSession, folder: str,
                         max_files_per_trigger: int | None = None) -> DataFrame:
-    """Interval to the previous GC event of the same service, in arrival
-    order of micro-batches (within a batch: time order). State per service
-    is one number."""
+    """Interval to the previous GC event of the same service.
+
+    Each micro-batch is ordered exactly like the batch job (range slices,
+    no single task, see :mod:`loglens.operators.ordered`); the last event
+    time per service is kept in a small state table next to the output
+    (``state/batch=<id>`` holds the state *after* batch ``id``), so the
+    first event of a service in a batch continues from earlier batches.
+    Replaying a batch rewrites the same two folders.
+    """
+    from ..operators import ordered as OR
     s = read_log_stream(spark, folder, max_files_per_trigger)
     ev = GC.gc_parse(s.withColumn("line_no", F.lit(None).cast("bigint")))
-    ev = ev.withColumn("service", F.coalesce(F.col("service"), F.lit("_")))
-    out_df = ev.groupBy("service").applyInPandasWithState(
-        _service_intervals, _INTERVAL_SCHEMA, "last double", "append",
-        GroupStateTimeout.NoTimeout)
-    return spark.read.parquet(_run(out_df, "gcint"))
+    out, chk = _dirs(spark, "gcint")
+    state = out + "_state"
+    order = [F.col("timestamp_s"), F.coalesce(F.col("event_id"), F.lit(0)),
+             F.coalesce(F.col("path"), F.lit(""))]
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        b = batch.withColumn("service", F.coalesce(F.col("service"), F.lit("_")))
+        x = OR.slice_by_order(b, [F.col("service")] + order)
+        x = OR.lag_in_order(x, "timestamp_s", "_before", group="service")
+        keys = OR._keys(x)
+        prev = _read_or_none(spark, os.path.join(state, f"batch={batch_id - 1}"))
+        if prev is not None:
+            x = x.join(prev.withColumnRenamed("last_ts", "_carried"), "service", "left")
+        else:
+            x = x.withColumn("_carried", F.lit(None).cast("double"))
+        res = x.select("service", "path", "line_no", "timestamp_s",
+                       (F.col("timestamp_s") - F.coalesce("_before", "_carried"))
+                       .alias("interval_prev_service_s"))
+        res.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        last = x.groupBy("service").agg(F.max_by("timestamp_s", F.struct(*keys)).alias("last_ts"))
+        if prev is not None:
+            last = last.unionByName(prev.join(last.select("service"), "service", "left_anti"))
+        last.write.mode("overwrite").parquet(os.path.join(state, f"batch={batch_id}"))
+
+    q = (ev.writeStream.foreachBatch(process).option("checkpointLocation", chk)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
 
 
 def stream_gc_health(spark: SparkSession, folder: str) -> DataFrame:
