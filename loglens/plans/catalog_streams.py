@@ -36,6 +36,23 @@ def scan_log_lines(spark, sf):
                                                          "line_text")
 
 
+_SCAN_SQL = "WITH " + O.LOG_LINES + f"""
+SELECT {O.service('path')} service, {O.executor('path')} executor_ip,
+  CAST(row_number() OVER (PARTITION BY path ORDER BY line_no) AS BIGINT) line_no, line_text FROM ll"""
+
+
+@register("scan_skip_binary", _SCAN_SQL)
+def scan_skip_binary(spark, sf):
+    # the same lines twice: once as text files, once with a NUL byte at the
+    # start of every file; the scan must return the text copy only
+    import os
+    base = FS.write_log_tree(FX.log_lines(spark, sf))
+    FS.write_log_tree(FX.log_lines(spark, sf).withColumn(
+        "line_text", F.concat(F.lit("\u0000"), F.col("line_text"))), root=os.path.join(base, "binary-copy"))
+    return _path_cols(FS.scan_lines(spark, base)).select("service", "executor_ip", "line_no",
+                                                         "line_text")
+
+
 @register("scan_line_numbers", "WITH " + O.LOG_LINES + f"""
 SELECT {O.executor('path')} executor_ip, CAST(count(*) AS BIGINT) n_lines, CAST(count(*) AS BIGINT) max_line_no
 FROM ll GROUP BY ALL""")

@@ -249,7 +249,7 @@ cev AS (SELECT case_id, c.pattern, CAST(count(*) AS BIGINT) count, min(line_no)
         FROM cl JOIN {class_values()} ON regexp_matches(cl.line_text, c.rx, 'i') GROUP BY ALL),
 agg AS (SELECT user_id case_id, {counts}, sum(v) sv,
           arg_min(path, event_id) FILTER (WHERE event_type = 'error') err_path FROM b GROUP BY user_id),
-sug AS (SELECT case_id, list(pattern ORDER BY first_line) suggested FROM cev GROUP BY case_id),
+sug AS (SELECT case_id, list(pattern ORDER BY first_line, pattern) suggested FROM cev GROUP BY case_id),
 ext AS (SELECT case_id, list(event_type ORDER BY f) existing FROM
           (SELECT user_id case_id, event_type, min(event_id) f FROM b GROUP BY ALL) GROUP BY case_id),
 cases AS (

@@ -18,11 +18,12 @@ def balanced(df: DataFrame) -> DataFrame:
     after it would run on one core. Large inputs already have thousands of
     splits and are returned unchanged (no extra shuffle at scale).
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()          # planning only, no job
+    except Exception:                               # no SparkContext (remote session)
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
