@@ -86,8 +86,8 @@ def error_pattern(col, strip_prefix: bool = True) -> Column:
     c = _c(col)
     rest_first = F.substring(c, F.instr(c, ":") + 1, F.lit(1 << 30))
     if strip_prefix:
-        rest = F.when(c.rlike(P.LEVEL_PREFIX),
-                      F.regexp_replace(c, P.LEVEL_PREFIX, "")).otherwise(rest_first)
+        # one regex evaluation: an unchanged line means the prefix is absent
+        rest = F.coalesce(F.nullif(F.regexp_replace(c, P.LEVEL_PREFIX, ""), c), rest_first)
     else:
         rest = rest_first
     leveled = has_level(c) & (F.instr(c, ":") > 0)
@@ -100,8 +100,9 @@ def typed_variables(col) -> Column:
     c = _c(col)
     items = []
     for rx, kind in P.TYPED_VARIABLE_RULES:
-        v = F.regexp_extract(c, "(?i)" + rx, 1)
-        items.append(F.when(v != "", F.concat(F.lit(kind + ":"), v)))
+        # nullif keeps it to one regex evaluation (no match -> bare prefix -> NULL)
+        tagged = F.concat(F.lit(kind + ":"), F.regexp_extract(c, "(?i)" + rx, 1))
+        items.append(F.nullif(tagged, F.lit(kind + ":")))
     return F.array_compact(F.array(*items))
 
 
