@@ -33,8 +33,9 @@ def event_base(spark, sf_dir: str) -> DataFrame:
                     path.alias("path"))
 
 
-def log_lines(spark, sf_dir: str) -> DataFrame:
-    """Spark-style log lines: (path, line_no, line_text), line_no = event_id."""
+def log_lines(spark, sf_dir: str, with_case: bool = False) -> DataFrame:
+    """Spark-style log lines: (path, line_no, line_text), line_no = event_id;
+    ``with_case`` adds ``case_id`` (the user) from the same row."""
     b = event_base(spark, sf_dir)
     v, uid, et = F.col("v"), F.col("user_id"), F.col("event_type")
     body = (F.when(et == "error", F.concat(
@@ -48,7 +49,8 @@ def log_lines(spark, sf_dir: str) -> DataFrame:
                 F.lit(" INFO X: FetchFailed partition "), _s(v % 4), F.lit(" at 0xab")))
             .otherwise(F.lit(" INFO BlockManager: ok")))
     line = F.concat(F.date_format("ts", LOG_TS_FORMAT), body)
-    return b.select("path", F.col("event_id").alias("line_no"), line.alias("line_text"))
+    extra = [F.col("user_id").alias("case_id")] if with_case else []
+    return b.select("path", F.col("event_id").alias("line_no"), line.alias("line_text"), *extra)
 
 
 def gc_lines(spark, sf_dir: str) -> DataFrame:
@@ -110,10 +112,8 @@ CASE_CLAIM_KEYS = [("error", "OutOfMemoryError"), ("signup", "Executor_lost"),
 
 
 def case_lines(spark, sf_dir: str) -> DataFrame:
-    """Log lines with the case (user) they belong to."""
-    b = event_base(spark, sf_dir).select(F.col("event_id").alias("line_no"),
-                                         F.col("user_id").alias("case_id"))
-    return log_lines(spark, sf_dir).join(b, "line_no")
+    """Log lines with the case (user) they belong to (same projection, no join)."""
+    return log_lines(spark, sf_dir, with_case=True)
 
 
 def case_evidence(spark, sf_dir: str) -> DataFrame:
