@@ -177,6 +177,17 @@ def evidence_by_template(hits: DataFrame, *, strip_prefix: bool = True, ts_k: in
         F.col("first_seen.p").alias("first_path"), F.col("first_seen.l").alias("first_line_no"))
 
 
+def evidence_from_searches(hit_sets: list[DataFrame], strip_prefix: bool = True) -> DataFrame:
+    """Template evidence over several (overlapping) searches: the hit sets
+    are unioned and a line counts once (``dropDuplicates`` on path and line
+    number, a shuffle on a unique key, so no skew), instead of inflating
+    counts on every re-search."""
+    hits = hit_sets[0].select("path", "line_no", "line_text")
+    for h in hit_sets[1:]:
+        hits = hits.unionByName(h.select("path", "line_no", "line_text"))
+    return evidence_by_template(hits.dropDuplicates(["path", "line_no"]), strip_prefix=strip_prefix)
+
+
 def evidence_merge(*maps: DataFrame, ts_k: int = 10, files_k: int = 5,
                    samples_k: int = 3, vars_k: int = 10) -> DataFrame:
     """Merge evidence maps (associative, so usable incrementally).

@@ -166,6 +166,18 @@ def gc_stats(events: DataFrame, approx_percentiles: bool = False) -> DataFrame:
         F.when(span > 0, F.col("total_events") / span * 60.0).alias("events_per_min"))
 
 
+def gc_pause_percentiles(events: DataFrame, ps=(0.5, 0.95, 0.99),
+                         slices: int | None = None) -> DataFrame:
+    """p50/p95/p99 of stop-the-world pauses with a known duration, exact and
+    without a single task holding every value (rank-based, see
+    :func:`loglens.operators.ordered.rank_percentiles`)."""
+    names = [f"p{int(round(p * 100))}_pause_ms" for p in ps]
+    ev = events.select(_stw_dur().alias("d"), F.coalesce(F.col("path"), F.lit("")).alias("_tp"),
+                       F.coalesce(F.col("line_no"), F.lit(0)).alias("_tl"))
+    r = O.rank_percentiles(ev, "d", list(ps), slices, ties=["_tp", "_tl"])
+    return r.select(*[F.col(f"p{i}").alias(n) for i, n in enumerate(names)])
+
+
 def gc_by_executor(events: DataFrame, compat_ip: bool = False) -> DataFrame:
     """Per executor (IP from the path; ``driver`` / ``unknown`` otherwise):
     event counts, max/avg duration, max heap use after GC, health status and

@@ -73,3 +73,40 @@ def index_in_order(sliced: DataFrame, out: str = "pos") -> DataFrame:
 
 def drop_order_cols(df: DataFrame) -> DataFrame:
     return df.drop("_slice", *_keys(df))
+
+
+def rank_percentiles(df: DataFrame, value: str, ps: list[float],
+                     slices: int | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Exact percentiles, linear between closest ranks, without any task
+    holding all values: values get their global position through range
+    slices, only the (at most 2 per p) rows at the needed ranks survive.
+
+    One row with ``p<i>`` columns (NULL when there is no value). ``ties``
+    (unique columns) break ties so that a value repeated on a third of the
+    rows is still spread over slices; equal values are interchangeable, so
+    the result does not depend on them.
+    """
+    ties = ties or []
+    vals = (df.select(F.col(value).cast("double").alias("_x"), *ties)
+            .where(F.col("_x").isNotNull()))
+    pos = index_in_order(slice_by_order(vals, [F.col("_x")] + [F.col(t) for t in ties], slices),
+                         "_pos")
+    n = pos.agg(F.max("_pos")).scalar()
+    outs, needed = [], []
+    for i, p in enumerate(ps):
+        k = (n - 1) * F.lit(float(p))
+        lo = F.floor(k) + 1                       # 1-based ranks
+        hi = F.least(lo + 1, n)
+        needed += [lo, hi]
+        outs.append((i, k, lo, hi))
+    keep = None
+    for c in needed:
+        keep = (F.col("_pos") == c) if keep is None else keep | (F.col("_pos") == c)
+    few = pos.where(keep)
+    aggs = []
+    for i, k, lo, hi in outs:
+        xlo = F.max(F.when(F.col("_pos") == lo, F.col("_x")))
+        xhi = F.max(F.when(F.col("_pos") == hi, F.col("_x")))
+        w = k - (lo - 1)
+        aggs.append((xlo * (1 - w) + xhi * w).alias(f"p{i}"))
+    return few.agg(*aggs)

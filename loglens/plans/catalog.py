@@ -228,10 +228,10 @@ ev AS (
   FROM cnt LEFT JOIN lists USING (pattern) LEFT JOIN samples USING (pattern))"""
 
 
-def _ev_template_sql(strip_prefix: bool) -> str:
+def _ev_template_sql(strip_prefix: bool, where: str = "true") -> str:
     return LL + f""",
 keyed AS (SELECT * FROM (SELECT *, {O.error_pattern('line_text', strip_prefix)} AS pattern FROM ll
-          WHERE {O.strip('line_text')} <> '') WHERE pattern <> ''),
+          WHERE {O.strip('line_text')} <> '' AND ({where})) WHERE pattern <> ''),
 facts AS (
   SELECT pattern, 'ts' f, {O.full_ts('line_text')} v, path p, line_no l, 0 i FROM keyed
   UNION ALL SELECT pattern, 'file' f, path v, path p, line_no l, 0 i FROM keyed
@@ -354,3 +354,14 @@ def evidence_merge(spark, sf):
     a = E.evidence_by_class(ll.where(drv))
     b = E.evidence_by_class(ll.where(~drv))
     return render_evidence(E.evidence_merge(a, b))
+
+
+# evidence over repeated searches: hit sets overlap, a line counts once
+SEARCHES = [["ERROR"], ["Exception"], [r"Lost executor \d+"], ["ERROR", "WARN"]]
+
+
+@register("evidence_incremental", _ev_template_sql(True, " OR ".join(
+    f"regexp_matches(line_text, {q(p)})" for s in SEARCHES for p in s)) + f"\nSELECT {_EV_COLS} FROM ev")
+def evidence_incremental(spark, sf):
+    ll = FX.log_lines(spark, sf)
+    return render_evidence(E.evidence_from_searches([S.grep(ll, s) for s in SEARCHES]))

@@ -101,7 +101,8 @@ def gc_stats(spark, sf):
 
 @register("gc_pause_percentiles", GC_STATS_SQL + "\nSELECT p50_pause_ms, p95_pause_ms, p99_pause_ms FROM st2")
 def gc_pause_percentiles(spark, sf):
-    return GC.gc_stats(events(spark, sf)).select("p50_pause_ms", "p95_pause_ms", "p99_pause_ms")
+    # rank-based exact percentiles (scale path); gc_stats uses `percentile`
+    return GC.gc_pause_percentiles(events(spark, sf))
 
 
 @register("gc_rate", GC_STATS_SQL + "\nSELECT observed_span_s, events_per_min FROM st2")

@@ -103,3 +103,20 @@ def test_config_from_corpus(lines):
     rows = [("a", 1, "PSYoungGen GC(1) 10M->5M(1536M) -Xmx512K")]
     got = {r.parameter: r.value for r in GC.gc_config(lines(rows)).collect()}
     assert got == {"Max Heap Size": "1.5 GB (~observed)", "GC Algorithm": "Parallel GC"}
+
+
+def test_rank_percentiles_match_python(spark):
+    import random
+    from loglens.operators.ordered import rank_percentiles
+    rnd = random.Random(1)
+    xs = [float(rnd.choice([1, 2, 2, 2, 3, 50, rnd.randint(0, 999)])) for _ in range(997)]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(xs)], "x double, i long")
+    got = rank_percentiles(df, "x", [0.0, 0.5, 0.95, 0.99, 1.0], slices=6, ties=["i"]).first()
+    s = sorted(xs)
+
+    def q(p):
+        k = p * (len(s) - 1)
+        lo, hi = int(k), min(int(k) + 1, len(s) - 1)
+        return s[lo] * (1 - (k - lo)) + s[hi] * (k - lo)
+    for i, p in enumerate([0.0, 0.5, 0.95, 0.99, 1.0]):
+        assert math.isclose(got[f"p{i}"], q(p), rel_tol=1e-12)
