@@ -54,16 +54,18 @@ def critic_gate(cases: DataFrame) -> DataFrame:
 
 
 def next_action(cases: DataFrame, max_iter: int = P.MAX_OUTER_ITERATIONS,
-                threshold: float = P.CONFIDENCE_THRESHOLD) -> DataFrame:
+                threshold: float = P.CONFIDENCE_THRESHOLD, strict: bool = False) -> DataFrame:
     """Supervisor policy: allowed actions per stage, a proposed action inside
     them wins, else the fallback chain; iteration + 1 on a new reasoning
-    cycle."""
+    cycle. As coded, the confidence threshold only guards the fallback;
+    ``strict=True`` also keeps a proposed ``end`` out until it is met."""
     it, st = F.col("iteration"), F.coalesce(F.col("last_status"), F.lit(""))
     ok, conf = F.coalesce(F.col("critic_approved"), F.lit(False)), F.col("confidence")
     prop = F.lower(G.py_strip(F.coalesce(F.col("proposed_action"), F.lit(""))))
+    can_end = ok & (conf >= threshold) if strict else ok
     allowed = (F.when(it == 0, F.array(F.lit("reasoning")))
                .when((st == "summarized") & ~ok, F.array(F.lit("critic"), F.lit("reasoning")))
-               .when(ok, F.array(F.lit("end"), F.lit("reasoning")))
+               .when(can_end, F.array(F.lit("end"), F.lit("reasoning")))
                .otherwise(F.array(F.lit("reasoning"))))
     fallback = (F.when(it == 0, F.lit("reasoning"))
                 .when((st == "summarized") & ~ok, F.lit("critic"))

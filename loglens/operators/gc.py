@@ -91,16 +91,35 @@ def _service_major_order() -> list[Column]:
             F.coalesce(F.col("line_no"), F.lit(0))]
 
 
-def gc_with_intervals(events: DataFrame, slices: int | None = None) -> DataFrame:
+def gc_compat(events: DataFrame) -> DataFrame:
+    """The original row encoding: missing numbers as -1 / -1.0 sentinels
+    instead of NULL (display strings already carry ``?``)."""
+    minus1 = {"duration_ms": -1.0, "timestamp_s": -1.0, "freed_pct": -1.0,
+              "mem_before_bytes": -1, "mem_after_bytes": -1, "heap_bytes": -1, "freed_bytes": -1}
+    return events.select(*[F.coalesce(F.col(c), F.lit(minus1[c])).alias(c) if c in minus1
+                           else F.col(c) for c in events.columns])
+
+
+def _time_major_order() -> list[Column]:
+    return [F.col("timestamp_s"), F.coalesce(F.col("service"), F.lit("")),
+            F.coalesce(F.col("event_id"), F.lit(0)), F.coalesce(F.col("path"), F.lit("")),
+            F.coalesce(F.col("line_no"), F.lit(0))]
+
+
+def gc_with_intervals(events: DataFrame, slices: int | None = None,
+                      global_order: str = "service") -> DataFrame:
     """Add ``interval_prev_s`` (previous event in service-major order, so it
     crosses services) and ``interval_prev_service_s`` (previous event of the
     same service; NULL service is a group of its own).
 
     Both use one range partitioning on (service, ts, event_id, path,
     line_no); no task ever holds more than one slice of the order.
+    ``global_order="time"`` orders the global interval by time first (the
+    per-service interval is the same either way).
     """
+    order = _time_major_order() if global_order == "time" else _service_major_order()
     x = O.slice_by_order(events.withColumn("_grp", F.coalesce(F.col("service"), F.lit("_"))),
-                         _service_major_order(), slices)
+                         order, slices)
     x = O.lag_in_order(x, "timestamp_s", "_prev_g")
     x = O.lag_in_order(x, "timestamp_s", "_prev_s", group="_grp")
     x = (x.withColumn("interval_prev_s", F.col("timestamp_s") - F.col("_prev_g"))

@@ -229,3 +229,19 @@ u AS (SELECT case_id, pattern, count, o FROM m
 SELECT case_id, CAST(o + 1 AS BIGINT) pos, pattern, count FROM u""")
 def report_evidence(spark, sf):
     return C.report_evidence(FX.cases(spark, sf), FX.case_evidence(spark, sf))
+
+
+@register("case_next_action_strict", WC + f""",
+a AS (SELECT case_id, iteration it, coalesce(last_status, '') st, coalesce(critic_approved, false) ok, confidence conf,
+        lower({O.strip("coalesce(proposed_action, '')")}) prop,
+        CASE WHEN iteration = 0 THEN ['reasoning']
+             WHEN coalesce(last_status, '') = 'summarized' AND NOT coalesce(critic_approved, false) THEN ['critic', 'reasoning']
+             WHEN coalesce(critic_approved, false) AND confidence >= 0.75 THEN ['end', 'reasoning'] ELSE ['reasoning'] END allowed
+      FROM cases),
+n AS (SELECT *, CASE WHEN it >= 6 AND st <> '' THEN 'end' WHEN list_contains(allowed, prop) THEN prop
+        WHEN it = 0 THEN 'reasoning' WHEN st = 'summarized' AND NOT ok THEN 'critic'
+        WHEN ok AND conf >= 0.75 THEN 'end' ELSE 'reasoning' END nxt FROM a)
+SELECT case_id, array_to_string(allowed, '|') allowed_actions, nxt next_action,
+  CASE WHEN nxt = 'reasoning' THEN it + 1 ELSE it END new_iteration FROM n""")
+def case_next_action_strict(spark, sf):
+    return C.next_action(FX.cases(spark, sf), strict=True)

@@ -232,3 +232,21 @@ def gc_top_freed(spark, sf):
 SELECT path, line_no FROM gev WHERE contains(lower(coalesce(path, 'None')), 'driver')""")
 def gc_driver_events(spark, sf):
     return GC.gc_driver_events(events(spark, sf)).select("path", "line_no")
+
+
+@register("gc_parse_compat", GE + """
+SELECT path, line_no, coalesce(duration_ms, -1.0) duration_ms, coalesce(mem_before_bytes, -1) mem_before_bytes,
+  coalesce(mem_after_bytes, -1) mem_after_bytes, coalesce(heap_bytes, -1) heap_bytes,
+  coalesce(freed_bytes, -1) freed_bytes, coalesce(freed_pct, -1.0) freed_pct FROM gev""")
+def gc_parse_compat(spark, sf):
+    return GC.gc_compat(events(spark, sf)).select(
+        "path", "line_no", "duration_ms", "mem_before_bytes", "mem_after_bytes", "heap_bytes",
+        "freed_bytes", "freed_pct")
+
+
+@register("gc_interval_time_major", GE + """
+SELECT path, line_no, timestamp_s - lag(timestamp_s) OVER (ORDER BY timestamp_s, coalesce(service, ''),
+  coalesce(event_id, 0), coalesce(path, ''), coalesce(line_no, 0)) AS interval_prev_s FROM gev""")
+def gc_interval_time_major(spark, sf):
+    return GC.gc_with_intervals(events(spark, sf), global_order="time").select(
+        "path", "line_no", "interval_prev_s")
