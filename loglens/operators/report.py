@@ -187,3 +187,53 @@ def report_case(cases: DataFrame, critic: DataFrame, action: DataFrame,
         "next_action", F.array_join("keywords", ", ").alias("keywords"),
         F.coalesce("evidence_patterns", F.lit(0)).cast("bigint").alias("evidence_patterns"),
         F.coalesce("evidence_occurrences", F.lit(0)).cast("bigint").alias("evidence_occurrences"))
+
+
+# FIXED VALUES: markdown headers of the GC tables, and their empty-table notes
+DRIVER_TABLE_HEADER = ("**Driver GC Events**\n\n"
+                       "| Timestamp | GC Type | Duration | Before GC | After GC | Reclaimed | Heap % Used |\n"
+                       "|---:|---|---:|---:|---:|---:|---:|")
+DRIVER_TABLE_EMPTY = "_No driver GC events found_"
+EXECUTOR_TABLE_HEADER = ("**Executor GC Summary**\n\n"
+                         "| Executor IP | Total Full GCs | Max GC Duration | Max Heap Used | GC Status |\n"
+                         "|---|---:|---:|---:|---|")
+EXECUTOR_TABLE_EMPTY = "_No executor GC events found_"
+
+
+def report_markdown(rows: DataFrame, cols: list[str], header: str, empty: str,
+                    more: Column | None = None) -> DataFrame:
+    """One-row markdown table of a *bounded* report (rows carry ``pos``):
+    ``| a | b |`` lines in ``pos`` order under ``header``; ``empty`` when
+    there is no row. Only for tables limited by construction (top-k, one row
+    per executor)."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c) for c in cols]), F.lit(" |"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))),
+                                    lambda s: s["l"]), "\n")
+    aggs = [F.count(F.lit(1)).alias("_n"), body.alias("_b")]
+    if more is not None:
+        aggs.append(F.max(more).alias("_m"))
+    a = rows.agg(*aggs)
+    text = F.concat(F.lit(header + "\n"), F.col("_b"))
+    if more is not None:
+        text = F.concat(text, F.when(F.col("_m") > 0, F.concat(
+            F.lit("\n\n_... "), F.col("_m").cast("string"), F.lit(" more events_"))).otherwise(F.lit("")))
+    return a.select(F.when(F.col("_n") > 0, text).otherwise(F.lit(empty)).alias("markdown"))
+
+
+def gc_evidence_row(events: DataFrame, sort_by: str = "duration", logs_path: str = "") -> DataFrame:
+    """The GC analysis folded into one evidence row (pattern ``GC_Analysis``):
+    summary, driver table and executor table, the text cut to 500 chars."""
+    summary = report_gc_summary(GC.gc_stats(events)).select(F.col("summary").alias("_s"))
+    drv = report_markdown(report_gc_driver(events, sort_by, 50),
+                          ["timestamp", "gc_type", "duration", "before", "after", "reclaimed",
+                           "heap_pct"], DRIVER_TABLE_HEADER, DRIVER_TABLE_EMPTY,
+                          more=F.col("more_rows")).select(F.col("markdown").alias("_d"))
+    exe = report_markdown(report_gc_executors(GC.gc_by_executor(events)),
+                          ["executor_ip", "full_gcs", "max_duration", "max_heap", "status"],
+                          EXECUTOR_TABLE_HEADER, EXECUTOR_TABLE_EMPTY).select(F.col("markdown").alias("_e"))
+    text = F.concat_ws("\n\n", summary.select("_s").scalar(), drv.select("_d").scalar(),
+                       exe.select("_e").scalar())
+    spark = events.sparkSession
+    return spark.range(1).select(
+        F.lit("GC_Analysis").alias("pattern"), F.lit(1).cast("bigint").alias("count"),
+        F.lit(logs_path).alias("files"), F.substring(text, 1, 500).alias("sample_lines"))

@@ -88,7 +88,7 @@ def report_gc_summary(spark, sf):
     return R.report_gc_summary(GC.gc_stats(events(spark, sf)))
 
 
-@register("report_gc_driver", GE + f""",
+ORACLE_DRIVER = GE + f""",
 d AS (SELECT *, row_number() OVER (ORDER BY {_MAIN_ORDER}) pos, count(*) OVER () total FROM gev
       WHERE contains(lower(coalesce(path, 'None')), 'driver'))
 SELECT CAST(pos AS BIGINT) pos, CASE WHEN timestamp_s >= 0 THEN {O.fmt('timestamp_s', 0)} || 's' ELSE '?' END "timestamp",
@@ -97,17 +97,23 @@ SELECT CAST(pos AS BIGINT) pos, CASE WHEN timestamp_s >= 0 THEN {O.fmt('timestam
   mem_before_str before, mem_after_str "after", freed_mb_str reclaimed,
   CASE WHEN heap_bytes > 0 AND mem_after_bytes >= 0 THEN {O.fmt('mem_after_bytes / heap_bytes * 100.0', 0)} || '%' ELSE '?' END heap_pct,
   CAST(greatest(total - 50, 0) AS BIGINT) more_rows
-FROM d WHERE pos <= 50""")
+FROM d WHERE pos <= 50"""
+
+
+@register("report_gc_driver", ORACLE_DRIVER)
 def report_gc_driver(spark, sf):
     return R.report_gc_driver(events(spark, sf), "duration", 50)
 
 
-@register("report_gc_executors", f"""
+ORACLE_EXECUTORS = f"""
 SELECT CAST(row_number() OVER (ORDER BY full_gc_count DESC, executor_ip) AS BIGINT) pos, executor_ip,
   CASE WHEN full_gc_count >= 15 THEN CAST(full_gc_count AS VARCHAR) || '+' ELSE CAST(full_gc_count AS VARCHAR) END full_gcs,
   CASE WHEN max_duration_sec > 0 THEN {O.fmt('max_duration_sec', 2)} || ' sec' ELSE '?' END max_duration,
   {O.bytes_to_mb('max_heap_used_bytes')} max_heap, health_status status
-FROM ({GC_BY_EXEC_SQL}) bx WHERE executor_ip NOT IN ('driver', 'unknown')""")
+FROM ({GC_BY_EXEC_SQL}) bx WHERE executor_ip NOT IN ('driver', 'unknown')"""
+
+
+@register("report_gc_executors", ORACLE_EXECUTORS)
 def report_gc_executors(spark, sf):
     return R.report_gc_executors(GC.gc_by_executor(events(spark, sf)))
 
@@ -218,3 +224,23 @@ def report_case(spark, sf):
     ev = FX.case_evidence(spark, sf)
     return R.report_case(cs, C.critic_gate(cs), C.next_action(cs), C.keyword_union(cs), ev,
                          C.input_errors(cs, ev))
+
+
+def _md_sql(sql: str, cols: list[str], header: str, empty: str, more: bool) -> str:
+    line = "'| ' || concat_ws(' | ', " + ", ".join(f'"{c}"' for c in cols) + ") || ' |'"
+    tail = (" || CASE WHEN max(more_rows) > 0 THEN chr(10) || chr(10) || '_... ' || CAST(max(more_rows) AS VARCHAR)"
+            " || ' more events_' ELSE '' END") if more else ""
+    return (f"SELECT CASE WHEN count(*) > 0 THEN {q(header)} || chr(10) || "
+            f"string_agg({line}, chr(10) ORDER BY pos){tail} ELSE {q(empty)} END md FROM ({sql}) t")
+
+
+@register("gc_evidence_row", f"""
+WITH sm AS ({_summary_sql()}),
+drv AS ({_md_sql(ORACLE_DRIVER, ["timestamp", "gc_type", "duration", "before", "after", "reclaimed", "heap_pct"],
+                 R.DRIVER_TABLE_HEADER, R.DRIVER_TABLE_EMPTY, True)}),
+exe AS ({_md_sql(ORACLE_EXECUTORS, ["executor_ip", "full_gcs", "max_duration", "max_heap", "status"],
+                 R.EXECUTOR_TABLE_HEADER, R.EXECUTOR_TABLE_EMPTY, False)})
+SELECT 'GC_Analysis' pattern, CAST(1 AS BIGINT) count, '' files,
+  substr(concat_ws(chr(10) || chr(10), (SELECT summary FROM sm), (SELECT md FROM drv), (SELECT md FROM exe)), 1, 500) sample_lines""")
+def gc_evidence_row(spark, sf):
+    return R.gc_evidence_row(events(spark, sf), "duration")
