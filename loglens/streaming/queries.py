@@ -58,11 +58,13 @@ def stream_grep(spark: SparkSession, folder: str, patterns, **grep_opts) -> Data
 
 
 def stream_evidence(spark: SparkSession, folder: str, window: str = "1 day",
-                    watermark: str = "1 hour", strip_prefix: bool = False) -> DataFrame:
+                    watermark: str = "1 hour", strip_prefix: bool = False,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
     """Counts per (event-time window, template), watermarked; update mode,
     each batch writes the windows it changed; the latest count of a window
-    wins when reading back (counts only grow)."""
-    s = read_log_stream(spark, folder)
+    wins when reading back (counts only grow). Lines whose event time is
+    behind the watermark of earlier batches are dropped as late."""
+    s = read_log_stream(spark, folder, max_files_per_trigger)
     line = F.col("line_text")
     keyed = (s.where(T.py_strip(line) != "")
              .select(F.try_to_timestamp(F.substring(line, 1, 17), F.lit(LOG_TS_FORMAT))

@@ -40,3 +40,19 @@ def test_stream_grep_and_evidence(spark):
           for r in ST.stream_evidence(spark, root, strip_prefix=True).collect()}
     assert ev == {("2024-01-01", "Exception in task * in stage * (TID *)"): 2,
                   ("2024-01-02", "ok"): 1}
+
+
+def test_stream_evidence_merges_counts_across_batches(spark):
+    # Spark's guarantee: rows within the watermark delay are aggregated, and a
+    # window's running count continues across micro-batches (update mode).
+    # (Rows older than the watermark "may or may not" be dropped, so no
+    # assertion is made on them.)
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    now = time.time()
+    _write(root, "service=driver/a.log", ["24/01/02 10:00:00 ERROR X: boom"], now - 100)
+    _write(root, "service=driver/b.log", ["24/01/02 09:30:00 ERROR X: boom",      # late, within 1 h
+                                          "24/01/02 10:30:00 ERROR X: boom"], now - 50)
+    ev = {(r.window_start.strftime("%Y-%m-%d"), r.pattern): r["count"]
+          for r in ST.stream_evidence(spark, root, strip_prefix=True, watermark="1 hour",
+                                      max_files_per_trigger=1).collect()}
+    assert ev == {("2024-01-02", "boom"): 3}
