@@ -128,6 +128,13 @@ def fmt_fixed(x: Column, decimals: int, thousands: bool = False) -> Column:
     return s if thousands else F.replace(s, F.lit(","), F.lit(""))
 
 
+def py_format(template: str, x: Column) -> Column:
+    """A one-placeholder Python format such as ``"Long pause ({:.2f}s)"``."""
+    import re
+    m = re.fullmatch(r"(.*)\{:\.(\d)f\}(.*)", template, flags=re.S)
+    return F.concat(F.lit(m.group(1)), fmt_fixed(x, int(m.group(2))), F.lit(m.group(3)))
+
+
 def bytes_to_mb(n: Column) -> Column:
     """``123MB`` or ``?`` for missing."""
     return F.when(n >= 0, F.concat(fmt_fixed(F.greatest(n, F.lit(0)) / 1048576.0, 0),

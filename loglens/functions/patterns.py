@@ -102,6 +102,16 @@ HEALTH_HEAP_PCT = 90.0
 STATUS_HEAVY = "⚠️ Heavy GC activity"
 STATUS_MODERATE = "⚠️ Moderate GC activity"
 STATUS_HEALTHY = "✅ Healthy"
+ISSUE_EXCESSIVE_FULL = "Excessive Full GCs"
+ISSUE_HIGH_FULL = "High Full GC count"
+ISSUE_LONG_PAUSE = "Long pause ({:.2f}s)"          # seconds
+ISSUE_HEAP_PRESSURE = "High heap pressure ({:.0f}%)"
+
+# FIXED VALUES: GC configuration table (parameter names and value formats)
+CONFIG_MAX_HEAP = "Max Heap Size"
+CONFIG_ALGORITHM = "GC Algorithm"
+CONFIG_XMX_FORMAT = "{value} GB (-Xmx{arg})"
+CONFIG_OBSERVED_FORMAT = "{value} GB (~observed)"
 
 # FIXED VALUES: GC algorithm markers, first hit wins.
 GC_ALGORITHMS = [
@@ -120,6 +130,11 @@ CRITIC_MAX_ADJUST = 0.25
 CRITIC_MIN_CONFIDENCE = 0.6
 CRITIC_LOW_DEFAULT = ("Confidence is too low (< 0.6). Please gather more "
                       "evidence or refine the hypothesis.")
+CRITIC_LOW_PREFIX = "Confidence too low ({:.2f}). "
+INPUT_ERROR_PROBLEM = ("System Configuration Error: Unable to perform analysis due to "
+                       "missing or invalid inputs.")
+NO_LOGS_PATH_KEY = "CRITICAL_ERROR_NO_LOGS_PATH"
+NO_KEYWORDS_KEY = "error_no_keywords"
 KEYWORD_CAP = 15
 DEFAULT_KEYWORDS = ["ERROR", "Exception", "Executor lost", "OutOfMemoryError",
                     "GC overhead", "Container exited"]

@@ -46,8 +46,7 @@ def critic_gate(cases: DataFrame) -> DataFrame:
     reasons = G.py_strip(F.coalesce(F.col("critic_reasons"), F.lit("")))
     low = conf < P.CRITIC_MIN_CONFIDENCE
     critique = (F.when(low & (reasons == ""), F.lit(P.CRITIC_LOW_DEFAULT))
-                .when(low, F.concat(F.lit("Confidence too low ("), G.fmt_fixed(conf, 2),
-                                    F.lit("). "), reasons))
+                .when(low, F.concat(G.py_format(P.CRITIC_LOW_PREFIX, conf), reasons))
                 .otherwise(reasons))
     return cases.select("case_id", (F.col("critic_approve") & ~low).alias("critic_approved"),
                         critique.alias("critique"), conf.alias("confidence"))
@@ -115,9 +114,9 @@ def input_errors(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     synthetic = cases.select(
         "case_id", F.explode(F.array_compact(F.array(
             F.when(G.py_strip(F.coalesce(F.col("logs_path"), F.lit(""))) == "",
-                   F.lit("CRITICAL_ERROR_NO_LOGS_PATH")),
+                   F.lit(P.NO_LOGS_PATH_KEY)),
             F.when(F.size(F.coalesce(F.col("keywords"), F.array())) == 0,
-                   F.lit("error_no_keywords"))))).alias("pattern"))
+                   F.lit(P.NO_KEYWORDS_KEY))))).alias("pattern"))
     keys = evidence.select("case_id", "pattern").unionByName(synthetic)
     bad = F.lit(False)
     for m in P.FATAL_INPUT_MARKERS:
@@ -127,9 +126,7 @@ def input_errors(cases: DataFrame, evidence: DataFrame) -> DataFrame:
         "case_id", F.coalesce(F.col("has_input_error"), F.lit(False)).alias("has_input_error"))
     return out.select(
         "case_id", "has_input_error",
-        F.when(F.col("has_input_error"), F.lit(
-            "System Configuration Error: Unable to perform analysis due to missing or "
-            "invalid inputs.")).alias("problem"),
+        F.when(F.col("has_input_error"), F.lit(P.INPUT_ERROR_PROBLEM)).alias("problem"),
         F.when(F.col("has_input_error"), F.lit(0.0)).alias("confidence"))
 
 

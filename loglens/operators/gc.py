@@ -230,12 +230,10 @@ def gc_health(agg: DataFrame) -> DataFrame:
     lifted = F.when(((mx >= P.HEALTH_LONG_PAUSE_MS) | (hp >= P.HEALTH_HEAP_PCT))
                     & (base == P.STATUS_HEALTHY), F.lit(P.STATUS_HEAVY)).otherwise(base)
     issues = F.array_compact(F.array(
-        F.when(full >= P.HEALTH_FULL_HEAVY, F.lit("Excessive Full GCs"))
-        .when(full >= P.HEALTH_FULL_MODERATE, F.lit("High Full GC count")),
-        F.when(mx >= P.HEALTH_LONG_PAUSE_MS,
-               F.concat(F.lit("Long pause ("), G.fmt_fixed(mx / 1000.0, 2), F.lit("s)"))),
-        F.when(hp >= P.HEALTH_HEAP_PCT,
-               F.concat(F.lit("High heap pressure ("), G.fmt_fixed(hp, 0), F.lit("%)")))))
+        F.when(full >= P.HEALTH_FULL_HEAVY, F.lit(P.ISSUE_EXCESSIVE_FULL))
+        .when(full >= P.HEALTH_FULL_MODERATE, F.lit(P.ISSUE_HIGH_FULL)),
+        F.when(mx >= P.HEALTH_LONG_PAUSE_MS, G.py_format(P.ISSUE_LONG_PAUSE, mx / 1000.0)),
+        F.when(hp >= P.HEALTH_HEAP_PCT, G.py_format(P.ISSUE_HEAP_PRESSURE, hp))))
     return agg.withColumn("health_status", lifted).withColumn("health_issues", issues)
 
 
@@ -265,19 +263,24 @@ def gc_config(lines: DataFrame, text_col: str = "line_text") -> DataFrame:
         *algo_flags)
     n, u = F.col("_x.n"), F.col("_x.u")
     val = n.try_cast("double")
-    xmx = (F.when(u == "G", F.concat(val.cast("string"), F.lit(" GB (-Xmx"), n, u, F.lit(")")))
-           .when(u == "M", F.concat(G.fmt_fixed(val / 1024.0, 1), F.lit(" GB (-Xmx"), n, u,
-                                    F.lit(")"))))
+    xmx_head, xmx_tail = P.CONFIG_XMX_FORMAT.split("{value}")
+    xmx_mid, xmx_end = xmx_tail.split("{arg}")
+    obs_tail = P.CONFIG_OBSERVED_FORMAT.split("{value}")[1]
+
+    def xmx_text(v: Column) -> Column:
+        return F.concat(F.lit(xmx_head), v, F.lit(xmx_mid), n, u, F.lit(xmx_end))
+    xmx = (F.when(u == "G", xmx_text(val.cast("string")))
+           .when(u == "M", xmx_text(G.fmt_fixed(val / 1024.0, 1))))
     observed = F.when(F.col("_maxheap") > 0, F.concat(
-        G.fmt_fixed(F.col("_maxheap") / 1073741824.0, 1), F.lit(" GB (~observed)")))
+        G.fmt_fixed(F.col("_maxheap") / 1073741824.0, 1), F.lit(obs_tail)))
     algo = None
     for i, (name, _) in enumerate(P.GC_ALGORITHMS):
         cond = F.col(f"_a{i}") == 1
         algo = F.when(cond, F.lit(name)) if algo is None else algo.when(cond, F.lit(name))
     rows = F.array(
-        F.struct(F.lit(1).alias("ord"), F.lit("Max Heap Size").alias("parameter"),
+        F.struct(F.lit(1).alias("ord"), F.lit(P.CONFIG_MAX_HEAP).alias("parameter"),
                  F.coalesce(xmx, observed).alias("value")),
-        F.struct(F.lit(2).alias("ord"), F.lit("GC Algorithm").alias("parameter"),
+        F.struct(F.lit(2).alias("ord"), F.lit(P.CONFIG_ALGORITHM).alias("parameter"),
                  algo.alias("value")))
     return (a.select(F.inline(rows)).where(F.col("value").isNotNull())
             .select("ord", "parameter", "value"))
