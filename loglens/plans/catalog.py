@@ -12,7 +12,6 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import search as S

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import gcparse as G
-from ..functions import text as T
-from ..operators import gc as GC
 from ..sources import files as FS
 from ..sources import fixtures as FX
 from ..streaming import queries as ST

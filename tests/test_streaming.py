@@ -4,7 +4,6 @@ import os
 import tempfile
 import time
 
-from pyspark.sql import functions as F
 
 from loglens.streaming import queries as ST
 
