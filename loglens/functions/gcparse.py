@@ -55,13 +55,19 @@ def gc_shape(line: Column) -> Column:
 GC_FIELDS = ["ts", "event", "id", "desc", "before", "after", "heap", "dur"]
 
 
-def size_to_bytes(s: Column) -> Column:
-    """``1,024M`` -> 1073741824 (binary units, K/M/G/T[B], truncated),
-    bare digits are bytes, anything else NULL."""
-    s2 = F.upper(F.replace(py_strip(s), F.lit(","), F.lit("")))
-    rx = r"^(\d+(?:\.\d+)?)\s*([KMGT])B?$"
-    num = F.regexp_extract(s2, rx, 1)
-    unit = F.regexp_extract(s2, rx, 2)
+SIZE_RX = r"^(\d+(?:\.\d+)?)\s*([KMGT])B?$"
+
+
+def size_norm(s: Column) -> Column:
+    """Stripped, upper-cased, commas removed (what the size rules see)."""
+    return F.upper(F.replace(py_strip(s), F.lit(","), F.lit("")))
+
+
+def size_from_norm(s2: Column) -> Column:
+    """Bytes of a normalised size: ``N[.M]`` K/M/G/T[B] (binary, truncated),
+    bare digits are bytes, else NULL."""
+    num = F.regexp_extract(s2, SIZE_RX, 1)
+    unit = F.regexp_extract(s2, SIZE_RX, 2)
     mult = reduce(lambda acc, u: acc.when(unit == u[0], F.lit(float(u[1]))),
                   P.SIZE_UNITS[1:],
                   F.when(unit == P.SIZE_UNITS[0][0], F.lit(float(P.SIZE_UNITS[0][1]))))
@@ -70,6 +76,12 @@ def size_to_bytes(s: Column) -> Column:
             .when(s2.rlike(r"^\d+$"), s2.try_cast("bigint")))
 
 
+def size_to_bytes(s: Column) -> Column:
+    """``1,024M`` -> 1073741824 (binary units, K/M/G/T[B], truncated),
+    bare digits are bytes, anything else NULL."""
+    return size_from_norm(size_norm(s))
+
+
 def duration_ms(s: Column) -> Column:
     """``3.4ms`` -> 3.4, ``1.5s`` -> 1500.0, bare numbers are ms; NULL when
     the number does not parse (``1.2.3ms``)."""
@@ -82,25 +94,34 @@ def duration_ms(s: Column) -> Column:
             .otherwise(s2.try_cast("double")))
 
 
-def gc_kind(desc: Column, low: Column | None = None) -> dict[str, Column]:
-    """kind, kind_short, stw, full, cause of a GC description (``desc``
-    stripped; ``low`` its lower-case form when already computed)."""
-    d = desc
-    low = F.lower(d) if low is None else low
+def gc_kind_of(low: Column) -> Column:
+    """kind of a lower-cased GC description (first rule that matches)."""
+    out = None
+    for kind in P.GC_KINDS:
+        cond = reduce(lambda a, b: a | b, [low.contains(sub) for sub in kind[4]])
+        out = F.when(cond, F.lit(kind[0])) if out is None else out.when(cond, F.lit(kind[0]))
+    return out.otherwise(F.lit("other"))
+
 
-    def case(idx: int, other):
+def gc_kind_attrs(kind: Column, desc: Column) -> dict[str, Column]:
+    """kind_short, stw, full, cause from the kind and the stripped text."""
+    def by_kind(idx: int, other):
         out = None
-        for kind in P.GC_KINDS:
-            cond = reduce(lambda a, b: a | b, [low.contains(sub) for sub in kind[4]])
-            val = F.lit(kind[idx])
-            out = F.when(cond, val) if out is None else out.when(cond, val)
+        for k in P.GC_KINDS:
+            out = F.when(kind == k[0], F.lit(k[idx])) if out is None else \
+                out.when(kind == k[0], F.lit(k[idx]))
         return out.otherwise(other)
-
-    short_other = F.when(F.substring(d, 1, 32) != "", F.substring(d, 1, 32)).otherwise("Other")
-    cause = F.nullif(F.array_join(F.regexp_extract_all(d, F.lit(r"\(([^)]+)\)"), 1), " | "),
+    short_other = F.when(F.substring(desc, 1, 32) != "", F.substring(desc, 1, 32)).otherwise("Other")
+    cause = F.nullif(F.array_join(F.regexp_extract_all(desc, F.lit(r"\(([^)]+)\)"), 1), " | "),
                      F.lit(""))
-    return {"kind": case(0, F.lit("other")), "kind_short": case(1, short_other),
-            "stw": case(2, F.lit(False)), "full": case(3, F.lit(False)), "cause": cause}
+    return {"kind_short": by_kind(1, short_other), "stw": by_kind(2, F.lit(False)),
+            "full": by_kind(3, F.lit(False)), "cause": cause}
+
+
+def gc_kind(desc: Column, low: Column | None = None) -> dict[str, Column]:
+    """kind, kind_short, stw, full, cause of a stripped GC description."""
+    kind = gc_kind_of(F.lower(desc) if low is None else low)
+    return {"kind": kind, **gc_kind_attrs(kind, desc)}
 
 
 def service_from_path(path: Column) -> Column:

@@ -56,26 +56,32 @@ def gc_parse(lines: DataFrame, text_col: str = "line_text",
     m = m.select("path", "line_no", *[F.nullif(F.element_at(F.col("_g"), i + 1), F.lit("")).alias(f"_{f}")
                                       for i, f in enumerate(G.GC_FIELDS)])
     g = {f: F.col(f"_{f}") for f in G.GC_FIELDS}
+    # normalised size strings and description first, so the parsers below
+    # read plain columns (small generated code, one evaluation each)
+    m = m.select("path", "line_no", "_event", "_id", "_ts", "_dur", "_before", "_after", "_heap",
+                 G.size_norm(g["before"]).alias("_b2"), G.size_norm(g["after"]).alias("_a2"),
+                 G.size_norm(g["heap"]).alias("_h2"),
+                 G.py_strip(F.coalesce(g["desc"], F.lit(""))).alias("_desc"))
+    m = m.select("*", F.lower("_desc").alias("_low"))
     x = m.select(
-        "path", "line_no",
-        g["event"].alias("event"),
-        g["id"].try_cast("bigint").alias("event_id"),
-        g["ts"].try_cast("double").alias("timestamp_s"),
-        G.duration_ms(g["dur"]).alias("duration_ms"),
-        F.coalesce(g["before"], F.lit("?")).alias("mem_before_str"),
-        F.coalesce(g["after"], F.lit("?")).alias("mem_after_str"),
-        F.coalesce(g["heap"], F.lit("?")).alias("heap_str"),
-        G.size_to_bytes(g["before"]).alias("mem_before_bytes"),
-        G.size_to_bytes(g["after"]).alias("mem_after_bytes"),
-        G.size_to_bytes(g["heap"]).alias("heap_bytes"),
-        G.py_strip(F.coalesce(g["desc"], F.lit(""))).alias("_desc"))
-    x = x.select("*", F.lower("_desc").alias("_low"))
+        "path", "line_no", "_desc",
+        F.col("_event").alias("event"),
+        F.col("_id").try_cast("bigint").alias("event_id"),
+        F.col("_ts").try_cast("double").alias("timestamp_s"),
+        G.duration_ms(F.col("_dur")).alias("duration_ms"),
+        F.coalesce(F.col("_before"), F.lit("?")).alias("mem_before_str"),
+        F.coalesce(F.col("_after"), F.lit("?")).alias("mem_after_str"),
+        F.coalesce(F.col("_heap"), F.lit("?")).alias("heap_str"),
+        G.size_from_norm(F.col("_b2")).alias("mem_before_bytes"),
+        G.size_from_norm(F.col("_a2")).alias("mem_after_bytes"),
+        G.size_from_norm(F.col("_h2")).alias("heap_bytes"),
+        G.gc_kind_of(F.col("_low")).alias("kind"))
     freed = F.when((F.col("mem_before_bytes") >= 0) & (F.col("mem_after_bytes") >= 0),
                    F.col("mem_before_bytes") - F.col("mem_after_bytes"))
-    k = G.gc_kind(F.col("_desc"), F.col("_low"))
+    k = G.gc_kind_attrs(F.col("kind"), F.col("_desc"))
     x = x.select(
         "*", freed.alias("freed_bytes"),
-        k["kind"].alias("kind"), k["kind_short"].alias("kind_short"),
+        k["kind_short"].alias("kind_short"),
         k["stw"].alias("stw"), k["full"].alias("full"), k["cause"].alias("cause"),
         G.service_from_path(F.col("path")).alias("service"))
     x = x.select(
