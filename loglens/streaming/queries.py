@@ -62,8 +62,10 @@ def stream_evidence(spark: SparkSession, folder: str, window: str = "1 day",
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """Counts per (event-time window, template), watermarked; update mode,
     each batch writes the windows it changed; the latest count of a window
-    wins when reading back (counts only grow). Lines whose event time is
-    behind the watermark of earlier batches are dropped as late."""
+    wins when reading back (counts only grow). Lines within the watermark
+    delay are always counted; older lines may or may not be (Spark's
+    watermark guarantee), and windows behind the watermark are evicted from
+    state."""
     s = read_log_stream(spark, folder, max_files_per_trigger)
     line = F.col("line_text")
     keyed = (s.where(T.py_strip(line) != "")
