@@ -7,12 +7,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from loglens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data missing")
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {n: f for n, f in entry.queries().items() if n in catalog.QUERIES}
+ORACLE = {n: f for n, f in entry.oracle_sql().items() if n in catalog.QUERIES}
 
 
 def _norm(v):
