@@ -11,7 +11,11 @@ A text's set are its distinct shingles of ``k`` words. Two texts link when
    shuffled. The sketch decides how long the candidate lists get, never which pairs link.
 3. Texts that share one of them, and whose sizes and positions allow a link, are candidates. In
    a list of at most ``LIST`` texts each such pair is noted. Longer lists, and shingles that the
-   sketch knows to be frequent, note their members only. Both connect texts to blocks.
+   sketch knows to be frequent, note their members only, and connect them to families.
+   The pass of step 1 also gives each set a parity signature: bit ``hash mod width`` is flipped
+   for each shingle, so two signatures differ in no more bits than the sets in shingles. Pairs,
+   and in families all texts against each other, whose signatures differ too much are left.
+   What remains connects texts to blocks, as a spanning forest for each task.
 4. A block's sets are joined by a prefix tree: sets in one order, most shared shingle first, share
    the nodes of common prefixes; a query walks down with its overlap so far, and leaves a subtree
    when the shingles left on either side cannot make up the overlap that a link needs. Blocks of
@@ -42,6 +46,7 @@ from .textbytes import NONSPACE, inside, mixed, window_hashes, words
 
 LIST = 64
 TILE = 1 << 20
+SIGNATURES = 8 << 20         # bytes of signatures in a tile
 _CHUNK = 1 << 14
 
 
@@ -71,7 +76,26 @@ def _sums(values, bounds):
     return [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in (a, b)]
 
 
-_SUMMARY = "doc bigint, n int, s1 bigint, s2 bigint, chunk int, part int, counts binary"
+def signature_bits(n: int) -> int:
+    """Width for a set of n: a power of two of about 2n (fixed bounds)."""
+    return min(1 << 17, max(256, 1 << (2 * n - 1).bit_length() if n else 0))
+
+
+def signatures(values, bounds) -> list[bytes]:
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        width = signature_bits(b - a)
+        odd = np.bincount((values[a:b] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words folded to fewer words: the signature of a smaller width."""
+    return np.bitwise_xor.reduce(sig.reshape(len(sig), -1, words), axis=1)
+
+
+_SUMMARY = "doc bigint, n int, s1 bigint, s2 bigint, sig binary, chunk int, part int, counts binary"
 
 
 def _summaries(docs: DataFrame, doc: str, text: str, k: int, bits: int) -> DataFrame:
@@ -86,14 +110,14 @@ def _summaries(docs: DataFrame, doc: str, text: str, k: int, bits: int) -> DataF
                 chunks = range(0, len(sketch), _CHUNK)
                 m = len(chunks)
                 none = [None] * m
-                return {"doc": none, "n": none, "s1": none, "s2": none, "chunk": [c // _CHUNK for c in chunks], "part": [part] * m,
+                return {"doc": none, "n": none, "s1": none, "s2": none, "sig": none, "chunk": [c // _CHUNK for c in chunks], "part": [part] * m,
                         "counts": [zlib.compress(sketch[c:c + _CHUNK].tobytes(), 1) for c in chunks]}
             values, bounds = shingle_sets(data, offs, k)
             np.add.at(sketch, (values >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             s1, s2 = _sums(values, bounds)
             none = pa.nulls(len(s1))
             return {"doc": rows.column(rows.schema.get_field_index(doc)), "n": np.diff(bounds).astype(np.int32), "s1": s1, "s2": s2,
-                    "chunk": none, "part": none, "counts": none}
+                    "sig": signatures(values, bounds), "chunk": none, "part": none, "counts": none}
         return kernel
     return map_texts(docs, text, make, _SUMMARY, [doc], one_to_one=False, finish=True)
 
@@ -323,44 +347,100 @@ def links_within(ids, sets: list[np.ndarray], queries: list[int], tree: list[int
     ranked = rank[inverse]
     seqs = [np.sort(ranked[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     trie = Trie([seqs[i] for i in tree])
-    root = list(range(len(sets)))
+    forest, out = Forest(len(sets)), []
+    for q in queries:
+        for t in trie.linked(seqs[q], len(tokens), percent):
+            if ids[q] != ids[tree[t]] and forest.joins(q, tree[t]):
+                out.append((ids[q], ids[tree[t]]))
+    return out
+
+
+def _near_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in no more bits than the sets of a link can."""
+    one = sigs.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    two = sigs.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    ddl = "a bigint, b bigint"
+    schema = arrow_schema(as_fields(ddl))
+
+    def run(batches):
+        for t in batches:
+            a, b, na, nb, sa, sb = (c.to_pylist() for c in t.columns)
+            keep = [i for i in range(len(a)) if near(na[i], sa[i], nb[i], sb[i], percent)]
+            yield record_batch({"a": [a[i] for i in keep], "b": [b[i] for i in keep]}, schema)
+
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, ddl))
+
+
+def near(na: int, sa: bytes, nb: int, sb: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(sa, np.uint64)[None], np.frombuffer(sb, np.uint64)[None]
+    w = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) <= na + nb - 2 * needed(na, nb, percent)
+
+
+class Forest:
+    """Union-find that says which edges join two trees."""
 
-    def find(x):
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    out = []
+    def joins(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[x] = y
+        return x != y
+
+
+def near_within(ids, n: np.ndarray, sigs: list[bytes], queries: list[int], tree: list[int], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``queries`` x ``tree`` whose sizes and signatures allow a link."""
+    widths = np.array([len(s) // 8 for s in sigs])
+    forest, out = Forest(len(ids)), []
+    tree = sorted(tree, key=lambda i: int(n[i]))
+    at, sizes = np.array(tree), n[tree]
+    by_width = {int(w): (pos := np.flatnonzero(widths[at] == w), np.stack([np.frombuffer(sigs[at[i]], np.uint64) for i in pos]))
+                for w in np.unique(widths[at])}
     for q in queries:
-        for t in trie.linked(seqs[q], len(tokens), percent):
-            x, y = find(q), find(tree[t])
-            if x != y and ids[q] != ids[tree[t]]:
-                root[x] = y
-                out.append((ids[q], ids[tree[t]]))
+        size, mine = int(n[q]), np.frombuffer(sigs[q], np.uint64)[None]
+        lo = np.searchsorted(sizes, -(-percent * size // 100))
+        hi = np.searchsorted(sizes, 100 * size // percent, "right")
+        for w, (pos, rows) in by_width.items():
+            a, b = np.searchsorted(pos, lo), np.searchsorted(pos, hi)
+            if a == b:
+                continue
+            m = min(w, mine.shape[1])
+            differ = np.bitwise_count(folded(rows[a:b], m) ^ folded(mine, m)).sum(1, dtype=np.int64)
+            other = at[pos[a:b]]
+            for t in other[differ <= size + n[other] - 2 * needed(size, n[other], percent)].tolist():
+                if ids[q] != ids[t] and forest.joins(q, t):
+                    out.append((ids[q], ids[t]))
     return out
 
 
-def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links within every block. ``sets`` (doc, n, tokens); ``blocks`` (node, component)."""
-    sized = stored(sets.select("doc", "n").join(blocks, F.col("doc") == F.col("node")).groupBy("component")
-                   .agg(F.ceil(F.sum("n") / F.lit(TILE // 2)).cast("int").alias("parts")))
-    of = sets.join(blocks, F.col("doc") == F.col("node")).join(sized, "component")
-    of = of.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    # Part i meets part j >= i in tile (i, j): every set goes to ``parts`` tiles.
+def _tiled(rows: DataFrame, blocks: DataFrame, weight: str, most: int, work) -> DataFrame:
+    """(a, b) of ``work(ids, n, values, queries, tree)`` over every pair of parts of every block.
+
+    ``rows``: (doc, n, value); ``blocks``: (node, component). A block of ``weight`` over ``most``
+    is dealt by the ids' hash to parts; part i meets part j >= i in tile (i, j).
+    """
+    mine = rows.join(blocks, F.col("doc") == F.col("node"))
+    sized = stored(mine.groupBy("component").agg(F.ceil(F.sum(F.expr(weight)) / F.lit(most / 2)).cast("int").alias("parts")))
+    of = mine.join(sized, "component").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     tiles = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.select("component", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-                         "mine", "doc", "tokens")
+                         "mine", "doc", "n", "value")
     ddl = "a bigint, b bigint"
     schema = arrow_schema(as_fields(ddl))
 
     def join(tab: pa.Table) -> pa.Table:
         x, y = tab["x"][0].as_py(), tab["y"][0].as_py()
-        mine, ids = tab["mine"].to_pylist(), tab["doc"].to_pylist()
-        sets = [np.frombuffer(t, np.uint64) for t in tab["tokens"].to_pylist()]
-        tree = [i for i, m in enumerate(mine) if m == x]
-        queries = [i for i, m in enumerate(mine) if m == y]
-        got = links_within(ids, sets, queries, tree, percent)
+        part = tab["mine"].to_pylist()
+        got = work(tab["doc"].to_pylist(), tab["n"].to_numpy().astype(np.int64), tab["value"].to_pylist(),
+                   [i for i, m in enumerate(part) if m == y], [i for i, m in enumerate(part) if m == x])
         return pa.table({"a": [g[0] for g in got], "b": [g[1] for g in got]}, schema=schema)
 
     return tiles.groupBy("component", "x", "y").applyInArrow(join, ddl)
@@ -390,9 +470,12 @@ def near_duplicate_groups(docs: DataFrame, doc: str = "doc_id", text: str = "tex
     cand = stored(_candidates(_prefixes(chosen, "doc", "body", k, percent, bits, levels), percent))
     member_rows = cand.filter("h IS NOT NULL").select("h", "a")
     stars = member_rows.groupBy("h").agg(F.min("a").alias("b"))
-    edges = (cand.filter("h IS NULL").select("a", "b")
-             .unionByName(member_rows.join(stars, "h").filter("a <> b").select("a", "b").distinct()))
-    blocks = connected_components(edges)
+    sigs = summary.filter("n > 0").select("doc", "n", "sig")
+    families = connected_components(member_rows.join(stars, "h").filter("a <> b").select("a", "b").distinct())
+    near_kin = _tiled(sigs.withColumnRenamed("sig", "value"), families, "octet_length(value)", SIGNATURES,
+                      lambda ids, n, values, q, t: near_within(ids, n, values, q, t, percent))
+    pairs = _near_pairs(cand.filter("h IS NULL").select("a", "b"), sigs, percent)
+    blocks = connected_components(pairs.unionByName(near_kin))
 
     def sets_kernel():
         def kernel(data, offs, rows):
@@ -401,7 +484,8 @@ def near_duplicate_groups(docs: DataFrame, doc: str = "doc_id", text: str = "tex
         return kernel
     wanted = chosen.join(small_side(blocks.select(F.col("node").alias("doc")), 16), "doc", "left_semi")
     sets = stored(map_texts(wanted, "body", sets_kernel, "n int, tokens binary", ["doc"]))
-    links = _links(sets, blocks, percent)
+    links = _tiled(sets.withColumnRenamed("tokens", "value"), blocks, "n", TILE, lambda ids, n, values, q, t: links_within(
+        ids, [np.frombuffer(v, np.uint64) for v in values], q, t, percent))
     groups = connected_components(links.unionByName(same_node))
     # Equal sets share the class's component; texts without a set are alone.
     out = member.join(groups, F.col("rep") == F.col("node"), "left")

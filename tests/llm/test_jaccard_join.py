@@ -42,6 +42,7 @@ def test_long_lists_and_cut_blocks(docs, monkeypatch):
     """A list of more than LIST texts becomes a block; a block beyond TILE is cut into parts."""
     monkeypatch.setattr(J, "LIST", 4)
     monkeypatch.setattr(J, "TILE", 3000)
+    monkeypatch.setattr(J, "SIGNATURES", 2000)
     rows = near_copies(2, 8)
     check(J.near_duplicate_groups(docs(rows)).collect(), rows)
 
@@ -64,3 +65,13 @@ def test_prefix_tree_finds_every_link(sets, percent):
     for i, s in enumerate(sets):
         want = {j for j, t in enumerate(sets) if 100 * len(s & t) >= percent * len(s | t)}
         assert set(trie.linked(seqs[i], 31, percent)) == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 1 << 60), max_size=400), st.sets(st.integers(0, 1 << 60), max_size=40), st.sets(st.integers(0, 1 << 60), max_size=40))
+def test_signatures_never_differ_more_than_the_sets(common, left, right):
+    a, b = common | left, common | right
+    values = np.array(sorted(a) + sorted(b), np.uint64)
+    x, y = (np.frombuffer(s, np.uint64)[None] for s in J.signatures(values, np.array([0, len(a), len(a) + len(b)])))
+    w = min(x.shape[1], y.shape[1])
+    assert int(np.bitwise_count(J.folded(x, w) ^ J.folded(y, w)).sum()) <= len(a ^ b)
