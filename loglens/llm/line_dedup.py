@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_fields, record_batch, small_side, stored
+from .common import arrow_schema, as_fields, record_batch, stored
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _STRIP = " \t\n\x0b\x0c\r"
@@ -147,7 +147,7 @@ def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_c
     A key found in ``min_docs`` documents or more stays in one only: the largest id
     (``keep="last"``) or the smallest (``"first"``).
     """
-    occ = _occurrences(with_key(docs, doc, text), min_chars)
+    occ = stored(_occurrences(with_key(docs, doc, text), min_chars))     # read twice: range bounds are sampled
     of_doc = F.col("doc").desc_nulls_last() if keep == "last" else F.col("doc").asc_nulls_last()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (occ.repartitionByRange(parts, "h1", "h2", of_doc, "text_key")
@@ -210,8 +210,8 @@ def kept_lines(text: str | None, bits: bytes | None) -> tuple[int, int, str]:
 def apply(docs: DataFrame, bitmaps: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents' columns, the text without dropped lines, and n_lines, n_dropped.
 
-    The bitmaps are joined by id and text hash: broadcast if their counted rows prove them
-    small, else by a shuffle of the documents.
+    The bitmaps are joined by id and text hash. Their number grows with the corpus, so this is
+    an ordinary join (one shuffle of the documents), which Spark may turn into a broadcast.
     """
     made = {"n_lines", "n_dropped"}
     cols = [c for c in docs.columns if c not in made]
@@ -241,5 +241,4 @@ def apply(docs: DataFrame, bitmaps: DataFrame, doc: str = "doc_id", text: str =
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = 40,
                  min_docs: int = 5, keep: str = "last") -> DataFrame:
-    bits = stored(keep_bitmaps(docs, doc, text, min_chars, min_docs, keep))
-    return apply(docs, small_side(bits, 100), doc, text)
+    return apply(docs, keep_bitmaps(docs, doc, text, min_chars, min_docs, keep), doc, text)
