@@ -42,7 +42,8 @@ def op4_bm25_topk(spark, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    rule = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(a).alias("action")) for h, p, a in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rule)))
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
