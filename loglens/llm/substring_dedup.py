@@ -8,8 +8,8 @@ stays, and every sentence that a later place covers is removed.
 
 The hashes are counted with partial aggregation, so a run that a third of all documents hold
 is a few rows for each task; the join back to places is left to Spark's skew handling. The
-removed positions are gathered by document. They join the documents by a broadcast if their
-counted rows prove them small, else by a shuffle.
+removed positions are gathered by document and joined to the documents. Their number grows
+with the corpus, so this is an ordinary join (one shuffle of the documents).
 
 Defined cases: a null or empty text has no sentences and stays as it is. A text with fewer than
 ``run`` sentences loses nothing. Null ids come before all others. Rows with the same id and text
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, as_fields, record_batch, small_side, stored
+from .common import arrow_schema, as_fields, record_batch
 
 _END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c > 0x7F or chr(c).isalnum() else 0x20 for c in range(256))
@@ -131,6 +131,4 @@ def apply(docs: DataFrame, repeated: DataFrame, doc: str = "doc_id", text: str =
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 10) -> DataFrame:
-    far = stored(repeated_runs(docs, doc, text, run, min_words))
-    # A document's starts are bounded by its sentences; 400 bytes a row is their usual size.
-    return apply(docs, small_side(far, 400), doc, text, run)
+    return apply(docs, repeated_runs(docs, doc, text, run, min_words), doc, text, run)
