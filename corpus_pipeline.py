@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
-from loglens.llm.common import small_side, stored, table
+from loglens.llm.common import bounded_batches, small_side, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose main language holds less of its letters than this is rejected.
@@ -19,6 +19,7 @@ MIN_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those of which no language holds half."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     model = language_id.train(docs.filter(~language_id.is_held_out("doc_id")))
     got = language_id.labelled(docs, model, keep=COLUMNS)

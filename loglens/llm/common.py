@@ -19,12 +19,21 @@ from pyspark.sql import types as T
 from ..session import checkpoint_dir
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 #: A side of a join is broadcast when its rows times the width stated by the caller stay under this.
 BROADCAST_BYTES = 8 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: fewer of them go to a Python worker at once than Spark's default 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table as it lies in the folder: no repartitioning, any file system Spark reads."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

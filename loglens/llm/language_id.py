@@ -34,7 +34,7 @@ from .common import arrow_schema, as_fields, record_batch
 BUCKETS = 1 << 16          # for each of the two n-gram lengths
 SWITCH = 14.0
 MIN_SCRIPT = 0.01
-WORDS = 2_000_000
+WORDS = 1_000_000
 UND = "und"
 _TOP = 0x20000             # code points above are letters of the Han script (or of none)
 # First code points of Unicode's script blocks.
@@ -173,7 +173,7 @@ def model_of(langs: list[str], counts: np.ndarray) -> dict:
     return {"langs": langs, "scores": np.ascontiguousarray(np.concatenate(scores, 1).T / 2, np.float32), "allowed": allowed.T.copy()}
 
 
-def _pieces(texts: list[str], most: int = 1 << 20):
+def _pieces(texts: list[str], most: int = 1 << 19):
     a, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -257,7 +257,7 @@ def label_texts(texts: list[str | None], model: dict, switch: float = SWITCH) ->
     total = np.zeros((n, k))
     filled = np.flatnonzero(np.diff(first))
     if len(filled):
-        total[filled] = np.add.reduceat(e.astype(np.float64), first[filled], axis=0)
+        total[filled] = np.add.reduceat(e, first[filled], axis=0, dtype=np.float64)
     best = np.lexsort((np.broadcast_to(-np.arange(k), (n, k)), total, held), axis=1)[:, -1]
     letters = held.sum(1)
     share = np.where(letters > 0, held[np.arange(n), best] / np.maximum(letters, 1), 0.0)
