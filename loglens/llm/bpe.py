@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, as_fields, record_batch
+from .common import arrow_schema, as_fields, record_batch, tidy
 
 
 
@@ -82,7 +82,7 @@ def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
                     yield record_batch({"text_key": [key], "k": [k], "last": [k == n - 1],
                                         "body": [text[k * chunk:(k + 1) * chunk + overlap]]}, schema)
 
-    return long.select("text_key", "body").mapInArrow(run, ddl).dropDuplicates(["text_key", "k"])
+    return long.select("text_key", "body").mapInArrow(tidy(run), ddl).dropDuplicates(["text_key", "k"])
 
 
 def _boundaries(chunks: DataFrame, vocab: Vocabulary, chunk: int, overlap: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _boundaries(chunks: DataFrame, vocab: Vocabulary, chunk: int, overlap: int)
                 out["tail"].append([s for s in starts if s >= (k + 1) * chunk and not last])
             yield record_batch(out, schema)
 
-    return chunks.mapInArrow(run, ddl)
+    return chunks.mapInArrow(tidy(run), ddl)
 
 
 def _pieces(bounds: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _encode_long(long: DataFrame, vocab: Vocabulary, chunk: int, overlap: int) -
                 text = body[start - base:None if stop is None else stop - base]
                 yield record_batch({"text_key": [key], "k": [k], "part": [encode_text(enc, text)]}, schema)
 
-    ids = parts.select("text_key", "k", "body", "start", "stop").mapInArrow(encode, ddl)
+    ids = parts.select("text_key", "k", "body", "start", "stop").mapInArrow(tidy(encode), ddl)
     ids = ids.repartition("text_key").sortWithinPartitions("text_key", "k")
     ddl2 = "text_key string, ids binary"
     schema2 = arrow_schema(as_fields(ddl2))
@@ -149,7 +149,7 @@ def _encode_long(long: DataFrame, vocab: Vocabulary, chunk: int, overlap: int) -
         if key is not None:
             yield record_batch({"text_key": [key], "ids": [b"".join(got)]}, schema2)
 
-    stitched = ids.select("text_key", "part").mapInArrow(joined, ddl2)
+    stitched = ids.select("text_key", "part").mapInArrow(tidy(joined), ddl2)
     # Texts whose chunks don't meet are encoded whole.
     broken = pieces.filter("NOT ok").select("text_key").distinct()
     rest = long.select("text_key", "body").dropDuplicates(["text_key"]).join(broken, "text_key", "left_semi")
@@ -160,7 +160,7 @@ def _encode_long(long: DataFrame, vocab: Vocabulary, chunk: int, overlap: int) -
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield record_batch({"text_key": [key], "ids": [encode_text(enc, text)]}, schema2)
 
-    return stitched.unionByName(rest.select("text_key", "body").mapInArrow(whole, ddl2))
+    return stitched.unionByName(rest.select("text_key", "body").mapInArrow(tidy(whole), ddl2))
 
 
 # --------------------------------------------------------------- operator --
@@ -180,7 +180,7 @@ def _map_column(df: DataFrame, column: str, keep, fields, work) -> DataFrame:
                 rows = b.slice(a, step)
                 yield record_batch({**{c: rows.column(rows.schema.get_field_index(c)) for c in keep}, **got}, schema)
 
-    return src.mapInArrow(run, T.StructType(out_fields))
+    return src.mapInArrow(tidy(run), T.StructType(out_fields))
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, text: str = "text", keep=None, chunk: int = 1 << 16,

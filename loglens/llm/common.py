@@ -7,6 +7,9 @@ single text is longer) and not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -54,6 +57,17 @@ def small_side(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
 
 
+def tidy(run):
+    """A batch function that hands freed memory back at the end: workers live on between tasks."""
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):      # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+    return tidied
+
+
 def arrow_schema(fields: Sequence[T.StructField]) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(T.StructType(list(fields)))
@@ -119,7 +133,7 @@ def map_texts(df: DataFrame, text: str, kernel_maker: Callable[[], Kernel], ddl:
         if finish and (got := kernel(None, None, None)) is not None:
             yield record_batch(got, schema)
 
-    return src.mapInArrow(run, T.StructType(fields))
+    return src.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def record_batch(cols: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_fields, binary_rows, map_texts, record_batch, small_side, stored
+from .common import arrow_schema, as_fields, binary_rows, map_texts, record_batch, small_side, stored, tidy
 from .components import connected_components
 from .textbytes import NONSPACE, inside, mixed, window_hashes, words
 
@@ -251,7 +251,7 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
             yield from work([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], False)
         yield from work([np.zeros(0, np.int64)] * 4, True)
 
-    found = rare.mapInArrow(run, ddl).distinct()
+    found = rare.mapInArrow(tidy(run), ddl).distinct()
     hot = prefixes.filter("hot").select("h", F.col("doc").alias("a"), F.lit(None).cast("bigint").alias("b"))
     return found.unionByName(hot)
 
@@ -368,7 +368,7 @@ def _near_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             keep = [i for i in range(len(a)) if near(na[i], sa[i], nb[i], sb[i], percent)]
             yield record_batch({"a": [a[i] for i in keep], "b": [b[i] for i in keep]}, schema)
 
-    return (pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, ddl))
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), ddl))
 
 
 def near(na: int, sa: bytes, nb: int, sb: bytes, percent: int) -> bool:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, as_fields, record_batch
+from .common import arrow_schema, as_fields, record_batch, tidy
 
 BUCKETS = 1 << 16          # for each of the two n-gram lengths
 SWITCH = 14.0
@@ -149,7 +149,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict:
                          "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())}, schema=schema)
 
     got = (rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-           .mapInArrow(count, ddl))
+           .mapInArrow(tidy(count), ddl))
     # Summed in two steps: no group is larger than 64 tasks' chunks or the number of such groups.
     got = got.groupBy("lang", "chunk", F.expr("part div 64")).applyInArrow(added, ddl)
     got = got.groupBy("lang", "chunk").applyInArrow(added, ddl)
@@ -288,7 +288,7 @@ def labelled(docs: DataFrame, model: dict, text: str = "text", keep=None, switch
                 rows = b.slice(a, z - a)
                 yield record_batch({**{c: rows.column(rows.schema.get_field_index(c)) for c in keep}, **got}, schema)
 
-    return src.mapInArrow(run, T.StructType(fields))
+    return src.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def is_held_out(doc: str) -> Column:

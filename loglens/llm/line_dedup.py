@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_fields, record_batch, stored
+from .common import arrow_schema, as_fields, record_batch, stored, tidy
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _STRIP = " \t\n\x0b\x0c\r"
@@ -72,7 +72,7 @@ def _occurrences(keyed: DataFrame, min_chars: int) -> DataFrame:
                     out, size = {f.name: [] for f in schema}, 0
             yield record_batch(out, schema)
 
-    return keyed.mapInArrow(run, _OCC)
+    return keyed.mapInArrow(tidy(run), _OCC)
 
 
 def _streamed(ordered: DataFrame, min_docs: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _streamed(ordered: DataFrame, min_docs: int) -> DataFrame:
         close(True)
         yield record_batch(out, schema)
 
-    return ordered.mapInArrow(run, _RUN)
+    return ordered.mapInArrow(tidy(run), _RUN)
 
 
 def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = 40,
@@ -193,7 +193,7 @@ def _bitmaps(dropped: DataFrame) -> DataFrame:
                 bits.append(zlib.compress(np.packbits(keep).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bits, pa.binary())], schema=out)
 
-    return got.mapInArrow(run, "doc bigint, text_key bigint, n_lines int, keep_bits binary")
+    return got.mapInArrow(tidy(run), "doc bigint, text_key bigint, n_lines int, keep_bits binary")
 
 
 def kept_lines(text: str | None, bits: bytes | None) -> tuple[int, int, str]:
@@ -236,7 +236,7 @@ def apply(docs: DataFrame, bitmaps: DataFrame, doc: str = "doc_id", text: str =
             arrays[at] = pa.array(new, arrow.field(at).type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], schema=arrow)
 
-    return joined.mapInArrow(run, T.StructType(schema))
+    return joined.mapInArrow(tidy(run), T.StructType(schema))
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = 40,

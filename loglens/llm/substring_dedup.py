@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, as_fields, record_batch
+from .common import arrow_schema, as_fields, record_batch, tidy
 
 _END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c > 0x7F or chr(c).isalnum() else 0x20 for c in range(256))
@@ -79,7 +79,7 @@ def _runs(docs: DataFrame, doc: str, text: str, run: int, min_words: int) -> Dat
 
     keyed = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("body"),
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
-    return keyed.mapInArrow(work, _RUNS)
+    return keyed.mapInArrow(tidy(work), _RUNS)
 
 
 def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", run: int = 3,
@@ -127,7 +127,7 @@ def apply(docs: DataFrame, repeated: DataFrame, doc: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([g[0] for g in got], pa.int64()),
                                               pa.array([g[1] for g in got], pa.int64())], schema=schema)
 
-    return joined.mapInArrow(work, T.StructType(fields))
+    return joined.mapInArrow(tidy(work), T.StructType(fields))
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 10) -> DataFrame:
