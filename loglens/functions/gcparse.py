@@ -35,13 +35,15 @@ def _packer(shape: str) -> tuple[str, str]:
 
 def gc_packed(line: Column) -> dict[str, Column]:
     """Per shape: the line rewritten to its packed groups; equal to the line
-    when the shape does not match. Shapes A and B need an arrow, which a
-    plain ``contains`` rules out cheaply (NULL then)."""
+    when the shape does not match. Every shape needs ``GC(``, shapes A and B
+    also an arrow; a plain ``contains`` rules the other lines out before a
+    regex backtracks over them (NULL then)."""
+    is_gc = F.lower(line).contains("gc(")
     out = {}
     for shape in ("A", "B", "C"):
         rx, rep = _packer(shape)
         packed = F.regexp_replace(line, rx, rep)
-        out[shape] = F.when(line.contains("->"), packed) if shape in ("A", "B") else packed
+        out[shape] = F.when(is_gc & line.contains("->") if shape in ("A", "B") else is_gc, packed)
     return out
 
 

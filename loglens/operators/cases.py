@@ -166,20 +166,24 @@ def drilldown(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     return obs.join(F.broadcast(rules), "symptom").select("case_id", "symptom", "cause", "keyword")
 
 
-def causal_chain(spark: SparkSession, evidence: DataFrame, rules: DataFrame,
-                 max_depth: int = P.MAX_ANALYZE_PARSE_LOOPS) -> DataFrame:
-    """Chains symptom -> cause -> cause ... from each observed class, by a
-    recursive CTE over the rule table (depth capped for cyclic rules)."""
-    obs = evidence.select("case_id", F.col("pattern").alias("node")).distinct()
-    return spark.sql(f"""
-        WITH RECURSIVE chain (case_id, root, node, depth, path) AS (
-          SELECT case_id, node, node, 0, node FROM {{obs}}
+def causal_chain(spark: SparkSession, evidence: DataFrame, rules: DataFrame) -> DataFrame:
+    """Chains symptom -> cause -> cause ... from each observed class.
+
+    The rule table is closed once by a recursive CTE that never visits a node
+    of its own path again, so cyclic rules end and long chains are whole. The
+    closed rules are then joined to the observed classes: the recursion's size
+    depends on the rules alone, not on the number of cases."""
+    closed = spark.sql("""
+        WITH RECURSIVE chain (root, node, depth, nodes) AS (
+          SELECT DISTINCT symptom, symptom, 0, array(symptom) FROM {rules}
           UNION ALL
-          SELECT c.case_id, c.root, r.cause, c.depth + 1, concat(c.path, ' -> ', r.cause)
-          FROM chain c JOIN {{rules}} r ON c.node = r.symptom
-          WHERE c.depth < {int(max_depth)})
-        SELECT case_id, root, node AS cause, depth, path FROM chain WHERE depth > 0""",
-                     obs=obs, rules=rules)
+          SELECT c.root, r.cause, c.depth + 1, array_append(c.nodes, r.cause)
+          FROM chain c JOIN {rules} r ON c.node = r.symptom
+          WHERE NOT array_contains(c.nodes, r.cause))
+        SELECT root, node AS cause, depth, array_join(nodes, ' -> ') AS path
+        FROM chain WHERE depth > 0""", rules=rules)
+    obs = evidence.select("case_id", F.col("pattern").alias("root")).distinct()
+    return obs.join(closed, "root").select("case_id", "root", "cause", "depth", "path")
 
 
 def report_evidence(cases: DataFrame, evidence: DataFrame, top_n: int = 5) -> DataFrame:

@@ -211,7 +211,8 @@ chain(case_id, root, node, depth, path) AS (
   SELECT case_id, node, node, 0, node FROM obs
   UNION ALL
   SELECT c.case_id, c.root, r.cause, c.depth + 1, c.path || ' -> ' || r.cause
-  FROM chain c JOIN rules r ON c.node = r.symptom WHERE c.depth < 6)
+  FROM chain c JOIN rules r ON c.node = r.symptom
+  WHERE NOT list_contains(string_split(c.path, ' -> '), r.cause))
 SELECT case_id, root, node AS cause, depth, path FROM chain WHERE depth > 0""")
 def causal_chain(spark, sf):
     return C.causal_chain(spark, FX.case_evidence(spark, sf), C.rules_table(spark))

@@ -39,6 +39,11 @@ def path_allowed(target: str, allowed_roots: list[str] | None) -> bool:
     return any(str(target).startswith(r) for r in allowed_roots)
 
 
+def _plain_path(path):
+    """File metadata gives paths percent-encoded; other readers give them plain."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def scan_lines(spark: SparkSession, target: str, *, recursive: bool = True,
                max_bytes_per_file: int | None = None, skip_binary: bool = True,
                allowed_roots: list[str] | None = None) -> DataFrame:
@@ -47,7 +52,7 @@ def scan_lines(spark: SparkSession, target: str, *, recursive: bool = True,
         return _empty(spark)
     reader = spark.read.option("recursiveFileLookup", "true")
     raw = reader.text(target).select(
-        F.col("_metadata.file_path").alias("path"),
+        _plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.col("_metadata.file_size").alias("_size"),
         F.monotonically_increasing_id().alias("_id"),
@@ -55,7 +60,8 @@ def scan_lines(spark: SparkSession, target: str, *, recursive: bool = True,
     if not recursive:
         root = target.rstrip("/") + "/"
         rel = F.regexp_replace(F.col("path"), r"^[a-z]+:", "")
-        raw = raw.where(~F.substring_index(rel, root, -1).contains("/"))
+        # direct children, or the target itself if it is a file
+        raw = raw.where(rel.endswith(target.rstrip("/")) | ~F.substring_index(rel, root, -1).contains("/"))
     if max_bytes_per_file is not None:
         raw = raw.where(F.col("_size") <= max_bytes_per_file)
     blocks = (raw.groupBy("path", "_blk")

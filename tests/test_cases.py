@@ -67,3 +67,18 @@ def test_claims_and_causal_chain(spark):
     assert "Executor_lost -> OutOfMemoryError -> Data_skew" in paths
     rep = {(r.case_id, r.pos): r.pattern for r in C.report_evidence(cases, ev).collect()}
     assert rep == {(1, 1): "Executor_lost", (2, 1): "WARN"}
+
+
+def test_causal_chain_is_whole_for_long_and_cyclic_rules(spark):
+    long = [(f"n{i}", f"n{i + 1}", "k") for i in range(9)]
+    cycle = [("a", "b", "k"), ("b", "a", "k")]
+    rules = spark.createDataFrame(long + cycle, "symptom string, cause string, keyword string")
+    ev = spark.createDataFrame([(1, "n0", 1), (2, "a", 1), (3, "unknown", 1)], "case_id bigint, pattern string, count bigint")
+    got = {(r.case_id, r.depth, r.cause) for r in C.causal_chain(spark, ev, rules).collect()}
+    assert got == {(1, i, f"n{i}") for i in range(1, 10)} | {(2, 1, "b")}
+
+
+def test_causal_chain_of_many_cases(spark):
+    """The recursion runs over the rules only, so the number of cases has no limit."""
+    ev = spark.range(400_000).selectExpr("id AS case_id", "'Executor_lost' AS pattern", "1L AS count")
+    assert C.causal_chain(spark, ev, C.rules_table(spark)).count() == 400_000 * 6

@@ -120,3 +120,14 @@ def test_rank_percentiles_match_python(spark):
         return s[lo] * (1 - (k - lo)) + s[hi] * (k - lo)
     for i, p in enumerate([0.0, 0.5, 0.95, 0.99, 1.0]):
         assert math.isclose(got[f"p{i}"], q(p), rel_tol=1e-12)
+
+
+def test_long_lines_without_gc_cost_no_regex(spark):
+    """A line that only looks like a duration list is ruled out before the lazy patterns run over it."""
+    import time
+    from loglens.operators.gc import gc_parse
+    line = "took 12s in stage " * 350
+    df = spark.range(4000).selectExpr("'p' AS path", "id AS line_no", f"'{line}' AS line_text")
+    t = time.time()
+    assert gc_parse(df).count() == 0
+    assert time.time() - t < 20

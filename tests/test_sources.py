@@ -92,3 +92,19 @@ def test_user_context(spark):
          (1, 4, "user", ""), (2, 1, "system", "s")], "conv_id bigint, turn bigint, role string, text string")
     got = {r.conv_id: r.user_context for r in J.user_context(conv).collect()}
     assert got == {1: "first\n\nsecond", 2: ""}
+
+
+def test_scan_of_paths_with_blanks_and_plus(spark, tmp_path):
+    from loglens.sources.files import scan_lines
+    root = tmp_path / "my logs+1"
+    (root / "sub").mkdir(parents=True)
+    (root / "a b.log").write_text("one\ntwo\n")
+    (root / "bin.log").write_bytes(b"x\x00y\n")
+    (root / "sub" / "c.log").write_text("three\n")
+    got = scan_lines(spark, str(root)).collect()
+    assert {(r.path.split("my logs+1")[-1], r.line_no, r.line_text) for r in got} == {
+        ("/a b.log", 1, "one"), ("/a b.log", 2, "two"), ("/sub/c.log", 1, "three")}
+    flat = scan_lines(spark, str(root), recursive=False).collect()
+    assert {r.line_text for r in flat} == {"one", "two"}
+    alone = scan_lines(spark, str(root / "a b.log"), recursive=False).collect()
+    assert sorted(r.line_text for r in alone) == ["one", "two"]
