@@ -15,8 +15,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     (so labels travel further each round). Rounds end when no label changes; each is written
     to the shared folder, so neither lineage nor plan grows.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sym = stored(both.filter("a <> b").distinct())
+    # Both directions come from one pass: a union would work ``edges`` out twice, and a spanning
+    # forest need not be the same one the second time.
+    sym = stored(edges.filter("a <> b").select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+                 .distinct())
     labels = stored(sym.groupBy("a").agg(F.min("b").alias("b"))
                     .select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
     if labels.isEmpty():

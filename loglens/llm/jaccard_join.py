@@ -425,7 +425,9 @@ def _tiled(rows: DataFrame, blocks: DataFrame, weight: str, most: int, work) ->
     """(a, b) of ``work(ids, n, values, queries, tree)`` over every pair of parts of every block.
 
     ``rows``: (doc, n, value); ``blocks``: (node, component). A block of ``weight`` over ``most``
-    is dealt by the ids' hash to parts; part i meets part j >= i in tile (i, j).
+    is dealt by the ids' hash to parts; part i meets part j >= i in tile (i, j). A tile's rows are
+    put in one order first: a task that is run again, with its input fetched in another order,
+    then gives the same forest.
     """
     mine = rows.join(blocks, F.col("doc") == F.col("node"))
     sized = stored(mine.groupBy("component").agg(F.ceil(F.sum(F.expr(weight)) / F.lit(most / 2)).cast("int").alias("parts")))
@@ -438,8 +440,9 @@ def _tiled(rows: DataFrame, blocks: DataFrame, weight: str, most: int, work) ->
 
     def join(tab: pa.Table) -> pa.Table:
         x, y = tab["x"][0].as_py(), tab["y"][0].as_py()
-        part = tab["mine"].to_pylist()
-        got = work(tab["doc"].to_pylist(), tab["n"].to_numpy().astype(np.int64), tab["value"].to_pylist(),
+        rows = sorted(zip(*(tab[c].to_pylist() for c in ("doc", "n", "value", "mine"))))
+        ids, n, values, part = zip(*rows)
+        got = work(ids, np.array(n, np.int64), values,
                    [i for i, m in enumerate(part) if m == y], [i for i, m in enumerate(part) if m == x])
         return pa.table({"a": [g[0] for g in got], "b": [g[1] for g in got]}, schema=schema)
 

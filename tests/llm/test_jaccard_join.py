@@ -2,12 +2,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
 from awkward import AWKWARD
 from loglens.llm import jaccard_join as J
+from loglens.llm.components import connected_components
 
 
 def near_copies(seed, groups=10):
@@ -53,6 +55,35 @@ def test_crowded_cells_only_change_the_order(docs, monkeypatch):
     check(J.near_duplicate_groups(docs(rows)).collect(), rows)
 
 
+def test_components_of_edges_that_differ_each_time(spark):
+    """A spanning forest may be another one when it is worked out again; the components are the same."""
+    groups = spark.range(0, 400, 1, 8).selectExpr("id", "id div 40 AS g")
+
+    def forest(tab):
+        ids = tab["id"].to_pylist()
+        centre = random.SystemRandom().choice(ids)
+        others = [i for i in ids if i != centre]
+        return pa.table({"a": pa.array([centre] * len(others), pa.int64()), "b": pa.array(others, pa.int64())})
+
+    got = connected_components(groups.groupBy("g").applyInArrow(forest, "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(i, i // 40 * 40) for i in range(400)]
+
+
+def test_tile_gives_one_forest_for_rows_in_any_order(spark):
+    rnd = random.Random(5)
+    base = list(range(100, 140))
+    rows = [(i, 39, np.array(sorted(set(base) - {rnd.choice(base)}), np.uint64).tobytes()) for i in range(30)]
+    blocks = spark.createDataFrame([(i, 0) for i in range(30)], "node long, component long")
+    seen = set()
+    for _ in range(3):
+        rnd.shuffle(rows)
+        table = spark.createDataFrame(rows, "doc long, n int, value binary").coalesce(1)
+        links = J._tiled(table, blocks, "n", J.TILE, lambda ids, n, values, q, t: J.links_within(
+            ids, [np.frombuffer(v, np.uint64) for v in values], q, t, 80))
+        seen.add(tuple(sorted((r.a, r.b) for r in links.collect())))
+    assert len(seen) == 1 and len(seen.pop()) == 29
+
+
 def test_empty_table(docs):
     assert J.near_duplicate_groups(docs([]), "doc_id").collect() == []
 
