@@ -16,8 +16,10 @@ Plan shape (one pass over the hits, whatever the key skew):
    map task travel;
 4. the short lists and counters are joined on ``pattern``.
 
-Lists are bounded (``k`` per field); distinct counts stay exact. Arrival
-order is (path, line_no[, position in line]).
+Lists are bounded views (``k`` per field); distinct counts stay exact.
+``evidence_facts`` is the whole result behind them: a long table with every
+timestamp, file and variable of every pattern. Arrival order is
+(path, line_no[, position in line]).
 """
 
 from __future__ import annotations
@@ -177,6 +179,46 @@ def evidence_by_template(hits: DataFrame, *, strip_prefix: bool = True, ts_k: in
         F.col("first_seen.p").alias("first_path"), F.col("first_seen.l").alias("first_line_no"))
 
 
+def evidence_facts(hits: DataFrame, *, strip_prefix: bool = True) -> DataFrame:
+    """Whole template evidence as a long table, nothing capped.
+
+    One row per (pattern, field, value): how often it occurs (``n``) and where
+    first. ``field`` is ``lines`` (value empty, ``n`` the pattern's count),
+    ``timestamps``, ``files`` or ``variables``. A pattern's values are rows,
+    not one list, so a pattern of any size stays spread over reducers. Lines
+    themselves are not shuffled.
+    """
+    line = F.col("line_text")
+    keyed = (hits.where(T.py_strip(line) != "")
+             .select("path", "line_no", "line_text",
+                     T.error_pattern(line, strip_prefix=strip_prefix).alias("pattern")))
+    facts = _facts(keyed, [
+        F.array(_fact("_n", F.lit("")), _fact("ts", T.extract_timestamp(line)),
+                _fact("file", F.col("path"))),
+        F.transform(T.extract_variables(line), lambda x, i: _fact("var", x, i)),
+    ], keep=F.col("pattern") != "")
+    names = {tag: name for name, tag in _TAG.items()} | {"_n": "lines"}
+    field = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("f")]
+    return _distinct_facts(facts).select(
+        "pattern", field.alias("field"), F.col("v").alias("value"), "n",
+        F.col("o.p").alias("first_path"), F.col("o.l").alias("first_line_no"))
+
+
+def facts_stats(facts: DataFrame) -> DataFrame:
+    """The columns of ``evidence_stats`` over an ``evidence_facts`` table: all
+    files of all patterns are counted, however many a pattern has."""
+    is_line = F.col("field") == "lines"
+    total = F.coalesce(F.col("o"), F.lit(0))
+    return (facts.agg(F.count_if(is_line).alias("p"),
+                      F.sum(F.when(is_line, F.col("n"))).alias("o"),
+                      F.count_distinct(F.when(F.col("field") == "files", F.col("value"))).alias("f"))
+            .select(F.col("p").cast("bigint").alias("total_unique_patterns"),
+                    total.cast("bigint").alias("total_occurrences"),
+                    F.col("f").cast("bigint").alias("total_files"),
+                    F.when(F.col("p") > 0, F.floor(total / F.col("p")))
+                    .otherwise(0).cast("bigint").alias("avg_occurrences_per_pattern")))
+
+
 def evidence_from_searches(hit_sets: list[DataFrame], strip_prefix: bool = True) -> DataFrame:
     """Template evidence over several (overlapping) searches: the hit sets
     are unioned and a line counts once (``dropDuplicates`` on path and line
@@ -224,8 +266,8 @@ def evidence_merge(*maps: DataFrame, ts_k: int = 10, files_k: int = 5,
 
 def evidence_stats(ev: DataFrame) -> DataFrame:
     """total_unique_patterns, total_occurrences, total_files (distinct files
-    listed in the map), avg_occurrences_per_pattern (floor); zeros on an
-    empty map. One aggregate: files are exploded, the count is taken once per
+    listed in the map; ``facts_stats`` counts all), avg_occurrences_per_pattern
+    (floor); zeros on an empty map. One aggregate: files are exploded, the count is taken once per
     pattern (position 0 or no file)."""
     x = ev.select("pattern", "count", F.posexplode_outer("files").alias("pos", "path"))
     first = F.col("pos").isNull() | (F.col("pos") == 0)

@@ -264,17 +264,26 @@ def evidence_by_template_compat(spark, sf):
     return render_evidence(E.evidence_by_template(FX.log_lines(spark, sf), strip_prefix=False))
 
 
-@register("evidence_stats", _ev_template_sql(False) + """,
-f AS (SELECT DISTINCT unnest(string_split(files, '|')) path FROM ev WHERE files IS NOT NULL)
+@register("evidence_facts", _ev_template_sql(True) + """,
+every AS (
+  SELECT * FROM facts WHERE f <> 'sample' AND v IS NOT NULL AND v <> ''
+  UNION ALL SELECT pattern, '_n', '', path, line_no, 0 FROM keyed)
+SELECT pattern, CASE f WHEN 'ts' THEN 'timestamps' WHEN 'file' THEN 'files' WHEN 'var' THEN 'variables' ELSE 'lines' END field,
+       v "value", CAST(count(*) AS BIGINT) n, arg_min(p, (p, l, i)) first_path, arg_min(l, (p, l, i)) first_line_no
+FROM every GROUP BY pattern, f, v""")
+def evidence_facts(spark, sf):
+    return E.evidence_facts(FX.log_lines(spark, sf))
+
+
+@register("evidence_stats", _ev_template_sql(False) + """
 SELECT CAST(count(*) AS BIGINT) total_unique_patterns,
        CAST(coalesce(sum(count), 0) AS BIGINT) total_occurrences,
-       (SELECT CAST(count(*) AS BIGINT) FROM f) total_files,
+       (SELECT CAST(count(DISTINCT path) AS BIGINT) FROM keyed) total_files,
        CAST(CASE WHEN count(*) > 0 THEN floor(sum(count) / count(*)) ELSE 0 END AS BIGINT)
          avg_occurrences_per_pattern
 FROM ev""")
 def evidence_stats(spark, sf):
-    ev = E.evidence_by_template(FX.log_lines(spark, sf), strip_prefix=False)
-    return E.evidence_stats(ev)
+    return E.facts_stats(E.evidence_facts(FX.log_lines(spark, sf), strip_prefix=False))
 
 
 @register("evidence_totals", LL + f""",

@@ -140,3 +140,18 @@ def test_stats_totals_top(lines):
     assert [r["rank"] for r in top] == [1, 2, 3] and top[0]["count"] == max(counts)
     tot = E.evidence_totals(lines(rows)).first()
     assert tot.label_matches >= tot.line_matches
+
+
+def test_facts_keep_every_timestamp_and_file(lines):
+    rows = [(f"f{i:02d}", 1, f"24/01/01 10:00:{i:02d} ERROR Worker: disk full") for i in range(12)]
+    facts = E.evidence_facts(lines(rows)).collect()
+    assert len({r.pattern for r in facts}) == 1
+    by = {f: {r["value"] for r in facts if r.field == f} for f in ("timestamps", "files")}
+    assert len(by["timestamps"]) == 12 and by["files"] == {f"f{i:02d}" for i in range(12)}
+    assert [r.n for r in facts if r.field == "lines"] == [12]
+    st = E.facts_stats(E.evidence_facts(lines(rows))).first()
+    assert tuple(st) == (1, 12, 12, 12)
+
+
+def test_facts_stats_of_no_hits(lines):
+    assert tuple(E.facts_stats(E.evidence_facts(lines([("a", 1, "x")]).limit(0))).first()) == (0, 0, 0, 0)
