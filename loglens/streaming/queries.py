@@ -82,13 +82,6 @@ def stream_evidence(spark: SparkSession, folder: str, window: str = "1 day",
             .agg(F.max("count").alias("count")))
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:          # folder not written yet (first batch)
-        return None
-
-
 def stream_gc_intervals(spark: SparkSession, folder: str,
                         max_files_per_trigger: int | None = None) -> DataFrame:
     """Interval to the previous GC event of the same service.
@@ -113,7 +106,8 @@ def stream_gc_intervals(spark: SparkSession, folder: str,
         x = OR.slice_by_order(b, [F.col("service")] + order)
         x = OR.lag_in_order(x, "timestamp_s", "_before", group="service")
         keys = OR._keys(x)
-        prev = _read_or_none(spark, os.path.join(state, f"batch={batch_id - 1}"))
+        # only the first batch has no state before it; a state that cannot be read is an error
+        prev = spark.read.parquet(os.path.join(state, f"batch={batch_id - 1}")) if batch_id else None
         if prev is not None:
             x = x.join(prev.withColumnRenamed("last_ts", "_carried"), "service", "left")
         else:
