@@ -56,6 +56,19 @@ def extract_timestamp(col) -> Column:
     return first_group(col, P.FULL_TS_PATTERNS)
 
 
+def event_time(col) -> Column:
+    """``extract_timestamp`` as a TIMESTAMP: two- or four-digit years with ``/``
+    or ``-``, bracketed ISO times, epoch seconds. NULL if none can be read."""
+    ts = extract_timestamp(col)
+    day = F.translate(F.regexp_replace(ts, r"\s+", " "), "/", "-")
+    epoch = ts.try_cast("double")
+    return (F.when(ts.contains("T"), F.coalesce(F.try_to_timestamp(ts),
+                                                F.try_to_timestamp(F.substring(ts, 1, 19))))
+            .when(epoch.between(0, 1e11), F.timestamp_seconds(epoch))
+            .when(F.length(day) == 17, F.try_to_timestamp(day, F.lit("yy-MM-dd HH:mm:ss")))
+            .when(F.length(day) == 19, F.try_to_timestamp(day, F.lit("yyyy-MM-dd HH:mm:ss"))))
+
+
 def normalize_pattern(col) -> Column:
     """Apply the seven case-insensitive rewrites in order (log templating)."""
     return reduce(lambda acc, rule: F.regexp_replace(acc, "(?i)" + rule[0], rule[1]),

@@ -75,20 +75,23 @@ k AS (SELECT strftime(date_trunc('day', strptime(substr(line_text, 1, 17), '%y/%
 SELECT window_start, pattern, CAST(count(*) AS BIGINT) count FROM k WHERE pattern <> '' GROUP BY ALL""")
 def stream_evidence(spark, sf):
     root = FS.write_log_tree(FX.log_lines(spark, sf))
-    ev = ST.stream_evidence(spark, root, window="1 day", watermark="1 hour")
+    ev = ST.stream_evidence(spark, root, window="1 day")
     return ev.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                      "pattern", "count")
 
 
 @register("stream_gc_health", f"""
-SELECT executor_ip, total_events, full_gc_count, max_duration_ms, max_heap_used_pct, health_status, health_issues
+SELECT executor_ip, total_events, full_gc_count, young_gc_count, max_duration_ms, avg_duration_ms, max_heap_used_pct,
+  max_heap_used_bytes, max_duration_sec, health_status, health_issues
 FROM ({GC_BY_EXEC_SQL}) bx""")
 def stream_gc_health(spark, sf):
     root = FS.write_log_tree(FX.gc_lines(spark, sf))
     h = ST.stream_gc_health(spark, root)
     return h.select("executor_ip", F.col("total_events").cast("bigint").alias("total_events"),
                     F.col("full_gc_count").cast("bigint").alias("full_gc_count"),
-                    "max_duration_ms", "max_heap_used_pct", "health_status",
+                    F.col("young_gc_count").cast("bigint").alias("young_gc_count"),
+                    "max_duration_ms", "avg_duration_ms", "max_heap_used_pct",
+                    "max_heap_used_bytes", "max_duration_sec", "health_status",
                     joined("health_issues").alias("health_issues"))
 
 

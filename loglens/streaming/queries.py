@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,6 @@ from ..operators import gc as GC
 from ..operators.search import grep
 from ..session import checkpoint_dir
 
-LOG_TS_FORMAT = "yy/MM/dd HH:mm:ss"
-
 
 def _dirs(spark: SparkSession, name: str) -> tuple[str, str]:
     base = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -38,12 +38,15 @@ def read_log_stream(spark: SparkSession, folder: str,
                                  F.col("value").alias("line_text"))
 
 
-def _run(stream: DataFrame, name: str, output_mode: str = "append") -> str:
+def _run(stream: DataFrame, name: str, output_mode: str = "append",
+         fold: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """Write every micro-batch (or what ``fold`` makes of it) to its own folder."""
     spark = stream.sparkSession
     out, chk = _dirs(spark, name)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        part = fold(batch) if fold else batch
+        part.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(write_batch)
          .option("checkpointLocation", chk).trigger(availableNow=True).start())
@@ -58,97 +61,79 @@ def stream_grep(spark: SparkSession, folder: str, patterns, **grep_opts) -> Data
 
 
 def stream_evidence(spark: SparkSession, folder: str, window: str = "1 day",
-                    watermark: str = "1 hour", strip_prefix: bool = False,
+                    strip_prefix: bool = False,
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Counts per (event-time window, template), watermarked; update mode,
-    each batch writes the windows it changed; the latest count of a window
-    wins when reading back (counts only grow). Lines within the watermark
-    delay are always counted; older lines may or may not be (Spark's
-    watermark guarantee), and windows behind the watermark are evicted from
-    state."""
+    """Counts per (event-time window, template), equal to a batch run over the same files.
+
+    Each micro-batch is folded to its own counts, and the counts are added when
+    they are read. No state is kept between batches, so no line is ever too
+    late: there is no watermark. Lines without a timestamp that can be read
+    count under a NULL ``window_start``."""
     s = read_log_stream(spark, folder, max_files_per_trigger)
     line = F.col("line_text")
     keyed = (s.where(T.py_strip(line) != "")
-             .select(F.try_to_timestamp(F.substring(line, 1, 17), F.lit(LOG_TS_FORMAT))
-                     .alias("event_time"),
+             .select(T.event_time(line).alias("event_time"),
                      T.error_pattern(line, strip_prefix=strip_prefix).alias("pattern"))
-             .where(F.col("event_time").isNotNull() & (F.col("pattern") != "")))
-    agg = (keyed.withWatermark("event_time", watermark)
-           .groupBy(F.window("event_time", window).alias("w"), "pattern")
-           .agg(F.count(F.lit(1)).alias("count"))
-           .select(F.col("w.start").alias("window_start"), "pattern", "count"))
-    out = _run(agg, "evidence", "update")
+             .where(F.col("pattern") != ""))
+
+    def fold(batch: DataFrame) -> DataFrame:
+        # window() drops NULL times: undated lines get a stand-in time and a flag of their own
+        dated = batch.select("pattern", F.col("event_time").isNull().alias("undated"),
+                             F.coalesce("event_time", F.timestamp_seconds(F.lit(0))).alias("at"))
+        return (dated.groupBy(F.window("at", window).alias("w"), "undated", "pattern")
+                .agg(F.count(F.lit(1)).alias("count"))
+                .select(F.when(~F.col("undated"), F.col("w.start")).alias("window_start"),
+                        "pattern", "count"))
+
+    out = _run(keyed, "evidence", fold=fold)
     return (spark.read.parquet(out).groupBy("window_start", "pattern")
-            .agg(F.max("count").alias("count")))
+            .agg(F.sum("count").alias("count")))
 
 
 def stream_gc_intervals(spark: SparkSession, folder: str,
                         max_files_per_trigger: int | None = None) -> DataFrame:
-    """Interval to the previous GC event of the same service.
-
-    Each micro-batch is ordered exactly like the batch job (range slices,
-    no single task, see :mod:`loglens.operators.ordered`); the last event
-    time per service is kept in a small state table next to the output
-    (``state/batch=<id>`` holds the state *after* batch ``id``), so the
-    first event of a service in a batch continues from earlier batches.
-    Replaying a batch rewrites the same two folders.
+    """Interval to the previous GC event of the same service, equal to a batch
+    run over the same files.
+
+    The stream parses each new line once and appends its events; the order
+    (range slices, no single task, see :mod:`loglens.operators.ordered`) is
+    laid over all events so far when they are read. An event that arrives
+    after its successor thus changes the successor's interval, and no state
+    has to be carried from batch to batch. ``batch`` is the micro-batch that
+    brought the event.
     """
-    from ..operators import ordered as OR
     s = read_log_stream(spark, folder, max_files_per_trigger)
     ev = GC.gc_parse(s.withColumn("line_no", F.lit(None).cast("bigint")))
-    out, chk = _dirs(spark, "gcint")
-    state = out + "_state"
-    order = [F.col("timestamp_s"), F.coalesce(F.col("event_id"), F.lit(0)),
-             F.coalesce(F.col("path"), F.lit(""))]
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("service", F.coalesce(F.col("service"), F.lit("_")))
-        x = OR.slice_by_order(b, [F.col("service")] + order)
-        x = OR.lag_in_order(x, "timestamp_s", "_before", group="service")
-        keys = OR._keys(x)
-        # only the first batch has no state before it; a state that cannot be read is an error
-        prev = spark.read.parquet(os.path.join(state, f"batch={batch_id - 1}")) if batch_id else None
-        if prev is not None:
-            x = x.join(prev.withColumnRenamed("last_ts", "_carried"), "service", "left")
-        else:
-            x = x.withColumn("_carried", F.lit(None).cast("double"))
-        res = x.select("service", "path", "line_no", "timestamp_s",
-                       (F.col("timestamp_s") - F.coalesce("_before", "_carried"))
-                       .alias("interval_prev_service_s"))
-        res.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-        last = x.groupBy("service").agg(F.max_by("timestamp_s", F.struct(*keys)).alias("last_ts"))
-        if prev is not None:
-            last = last.unionByName(prev.join(last.select("service"), "service", "left_anti"))
-        last.write.mode("overwrite").parquet(os.path.join(state, f"batch={batch_id}"))
-
-    q = (ev.writeStream.foreachBatch(process).option("checkpointLocation", chk)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    events = spark.read.parquet(_run(ev, "gcint"))
+    return (GC.gc_with_intervals(events)
+            .select(F.coalesce("service", F.lit("_")).alias("service"), "path", "line_no",
+                    "timestamp_s", "interval_prev_service_s", "batch"))
 
 
-def stream_gc_health(spark: SparkSession, folder: str) -> DataFrame:
-    """Per-executor GC aggregates maintained incrementally (update mode);
-    the last emitted row of an executor is its current state."""
+def stream_gc_health(spark: SparkSession, folder: str,
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """Per-executor GC aggregates maintained incrementally (update mode), with
+    the columns of :func:`loglens.operators.gc.gc_by_executor`; the last
+    emitted row of an executor is its current state."""
     from ..functions.gcparse import executor_from_path
-    s = read_log_stream(spark, folder)
+    s = read_log_stream(spark, folder, max_files_per_trigger)
     ev = GC.gc_parse(s.withColumn("line_no", F.lit(None).cast("bigint")))
     dur = F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))
     heap_pct = F.when((F.col("heap_bytes") > 0) & (F.col("mem_after_bytes") >= 0),
                       F.col("mem_after_bytes") / F.col("heap_bytes") * 100.0)
+    after = F.when(F.col("mem_after_bytes") >= 0, F.col("mem_after_bytes"))
     agg = (ev.withColumn("executor_ip", executor_from_path(F.col("path")))
            .groupBy("executor_ip")
            .agg(F.count(F.lit(1)).alias("total_events"),
                 F.count_if(F.col("full")).alias("full_gc_count"),
-                F.max(dur).alias("max_duration_ms"),
-                F.max(heap_pct).alias("max_heap_used_pct")))
-    out = _run(agg, "gchealth", "update")
-    rows = spark.read.parquet(out)
-    latest = rows.groupBy("executor_ip").agg(F.max_by(F.struct(*[c for c in rows.columns
-                                                                 if c != "executor_ip"]),
-                                                        F.col("total_events")).alias("s"))
-    x = latest.select("executor_ip", "s.total_events", "s.full_gc_count",
-                      F.coalesce("s.max_duration_ms", F.lit(0.0)).alias("max_duration_ms"),
-                      F.coalesce("s.max_heap_used_pct", F.lit(0.0)).alias("max_heap_used_pct"))
-    return GC.gc_health(x)
-
+                F.count_if(F.col("kind") == "pause_young").alias("young_gc_count"),
+                F.coalesce(F.max(dur), F.lit(0.0)).alias("max_duration_ms"),
+                F.coalesce(F.avg(dur), F.lit(0.0)).alias("avg_duration_ms"),
+                F.coalesce(F.max(heap_pct), F.lit(0.0)).alias("max_heap_used_pct"),
+                F.coalesce(F.max(after), F.lit(0)).cast("bigint").alias("max_heap_used_bytes")))
+    rows = spark.read.parquet(_run(agg, "gchealth", "update")).drop("batch")
+    # an executor's count grows with every row that is emitted for it
+    latest = (rows.groupBy("executor_ip")
+              .agg(F.max_by(F.struct(*rows.drop("executor_ip").columns), "total_events").alias("s"))
+              .select("executor_ip", "s.*"))
+    return GC.gc_health(latest.withColumn("max_duration_sec", F.col("max_duration_ms") / 1000.0))

@@ -42,16 +42,57 @@ def test_stream_grep_and_evidence(spark):
 
 
 def test_stream_evidence_merges_counts_across_batches(spark):
-    # Spark's guarantee: rows within the watermark delay are aggregated, and a
-    # window's running count continues across micro-batches (update mode).
-    # (Rows older than the watermark "may or may not" be dropped, so no
-    # assertion is made on them.)
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     now = time.time()
     _write(root, "service=driver/a.log", ["24/01/02 10:00:00 ERROR X: boom"], now - 100)
-    _write(root, "service=driver/b.log", ["24/01/02 09:30:00 ERROR X: boom",      # late, within 1 h
+    _write(root, "service=driver/b.log", ["24/01/02 09:30:00 ERROR X: boom",
                                           "24/01/02 10:30:00 ERROR X: boom"], now - 50)
     ev = {(r.window_start.strftime("%Y-%m-%d"), r.pattern): r["count"]
-          for r in ST.stream_evidence(spark, root, strip_prefix=True, watermark="1 hour",
+          for r in ST.stream_evidence(spark, root, strip_prefix=True,
                                       max_files_per_trigger=1).collect()}
     assert ev == {("2024-01-02", "boom"): 3}
+
+
+def test_stream_evidence_keeps_late_lines_and_every_timestamp_shape(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    now = time.time()
+    _write(root, "service=driver/a.log", ["24/03/09 10:00:00 ERROR X: boom"], now - 100)
+    _write(root, "service=driver/b.log", ["24/01/01 09:30:00 ERROR X: boom"], now - 80)    # far behind
+    _write(root, "service=driver/c.log", ["2024-01-01  10:30:00 ERROR X: boom",
+                                          "24/13/01 10:30:00 ERROR X: boom",               # no such month
+                                          "[2024-01-01T11:00:00.5Z] ERROR X: boom",
+                                          "1704106800.25 ERROR X: boom",
+                                          "99999999999999999999999999.5 ERROR X: boom",
+                                          "ERROR X: boom"], now - 60)
+    def days(**opts):
+        got = ST.stream_evidence(spark, root, strip_prefix=True, **opts)
+        out = {}
+        for r in got.collect():
+            day = r.window_start and r.window_start.strftime("%Y-%m-%d")
+            out[day] = out.get(day, 0) + r["count"]
+        return out, sorted(map(repr, got.collect()))
+    assert days()[0] == {"2024-03-09": 1, "2024-01-01": 4, None: 3}
+    assert days() == days(max_files_per_trigger=1)
+
+
+def test_gc_intervals_equal_batch_when_events_arrive_late(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    now = time.time()
+    _write(root, "service=a/one.log", [f"[{t}.0s] GC({t}) Pause Young 1M->0M(8M) 2ms" for t in (7, 11)], now - 100)
+    _write(root, "service=a/two.log", [f"[{t}.0s] GC({t}) Pause Young 1M->0M(8M) 2ms" for t in (1, 9)], now - 50)
+    out = ST.stream_gc_intervals(spark, root, max_files_per_trigger=1)
+    assert {r.timestamp_s: r.interval_prev_service_s for r in out.collect()} == {1.0: None, 7.0: 6.0, 9.0: 2.0, 11.0: 2.0}
+
+
+def test_gc_health_equals_batch_over_several_triggers(spark):
+    from loglens.operators import gc as GC
+    from loglens.sources.files import scan_lines
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    now = time.time()
+    for k, (kind, ms) in enumerate([("Pause Young", 2), ("Pause Full", 9000), ("Pause Young", 40)]):
+        _write(root, f"service=a/exe=executor-10.0.0.1/{k}.log",
+               [f"[{k + 1}.0s] GC({k}) {kind} 7M->{k + 1}M(8M) {ms}ms"], now - 100 + k)
+    got = ST.stream_gc_health(spark, root, max_files_per_trigger=1)
+    want = GC.gc_by_executor(GC.gc_parse(scan_lines(spark, root)))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert [tuple(r) for r in got.select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
