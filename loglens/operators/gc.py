@@ -152,16 +152,14 @@ def _stw_dur() -> Column:
     return F.when(F.col("stw") & (F.col("duration_ms") >= 0), F.col("duration_ms"))
 
 
-def gc_stats(events: DataFrame, approx_percentiles: bool = False) -> DataFrame:
-    """All counters, pause moments and percentiles, freed totals, observed
-    span and event rate, in one aggregate. Percentiles are linear between
-    closest ranks (exact ``percentile``; ``approx_percentiles`` switches to
-    ``percentile_approx`` with bounded memory for very large inputs)."""
+def gc_stats(events: DataFrame, slices: int | None = None) -> DataFrame:
+    """All counters, pause moments, freed totals, observed span and event rate
+    in one algebraic aggregate; the percentiles (exact, linear between closest
+    ranks) come from :func:`gc_pause_percentiles`, so no task holds all pauses."""
     d = _stw_dur()
     fr = F.when(F.col("freed_bytes") >= 0, F.col("freed_bytes"))
     ts = F.when(F.col("timestamp_s") >= 0, F.col("timestamp_s"))
-    pcts = (F.percentile_approx(d, [0.5, 0.95, 0.99], 100000) if approx_percentiles
-            else F.percentile(d, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))))
+    pcts = gc_pause_percentiles(events, slices=slices).select(F.struct("*")).scalar()
     a = events.agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(F.col("stw")).alias("stw_events"),
@@ -172,20 +170,17 @@ def gc_stats(events: DataFrame, approx_percentiles: bool = False) -> DataFrame:
         F.count_if(F.col("kind") == "cleanup").alias("cleanup"),
         F.coalesce(F.sum(d), F.lit(0.0)).alias("total_stw_pause_ms"),
         F.avg(d).alias("avg_pause_ms"),
-        pcts.alias("_p"),
         (F.coalesce(F.sum(fr), F.lit(0)) / 1048576.0).alias("total_freed_mb"),
         (F.max(fr) / 1048576.0).alias("max_freed_mb"),
         F.max(d).alias("max_pause_ms"),
         F.count(ts).alias("_nts"), F.min(ts).alias("_min"), F.max(ts).alias("_max"))
     span = F.when(F.col("_nts") >= 2, F.col("_max") - F.col("_min"))
-    return a.select(
+    return a.withColumn("_p", pcts).select(
         *[F.col(c).cast("bigint").alias(c) for c in
           ("total_events", "stw_events", "concurrent_events", "young_gc", "full_gc",
            "remark", "cleanup")],
         "total_stw_pause_ms", "avg_pause_ms",
-        F.col("_p")[0].cast("double").alias("p50_pause_ms"),
-        F.col("_p")[1].cast("double").alias("p95_pause_ms"),
-        F.col("_p")[2].cast("double").alias("p99_pause_ms"),
+        "_p.p50_pause_ms", "_p.p95_pause_ms", "_p.p99_pause_ms",
         "total_freed_mb", "max_freed_mb", "max_pause_ms",
         span.alias("observed_span_s"),
         F.when(span > 0, F.col("total_events") / span * 60.0).alias("events_per_min"))
@@ -197,9 +192,7 @@ def gc_pause_percentiles(events: DataFrame, ps=(0.5, 0.95, 0.99),
     without a single task holding every value (rank-based, see
     :func:`loglens.operators.ordered.rank_percentiles`)."""
     names = [f"p{int(round(p * 100))}_pause_ms" for p in ps]
-    ev = events.select(_stw_dur().alias("d"), F.coalesce(F.col("path"), F.lit("")).alias("_tp"),
-                       F.coalesce(F.col("line_no"), F.lit(0)).alias("_tl"))
-    r = O.rank_percentiles(ev, "d", list(ps), slices, ties=["_tp", "_tl"])
+    r = O.rank_percentiles(events.select(_stw_dur().alias("d")), "d", list(ps), slices)
     return r.select(*[F.col(f"p{i}").alias(n) for i, n in enumerate(names)])
 
 

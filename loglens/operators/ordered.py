@@ -76,37 +76,35 @@ def drop_order_cols(df: DataFrame) -> DataFrame:
 
 
 def rank_percentiles(df: DataFrame, value: str, ps: list[float],
-                     slices: int | None = None, ties: list[str] | None = None) -> DataFrame:
+                     slices: int | None = None) -> DataFrame:
     """Exact percentiles, linear between closest ranks, without any task
-    holding all values: values get their global position through range
-    slices, only the (at most 2 per p) rows at the needed ranks survive.
+    holding all values: equal values are counted first (map-side, so a value
+    on a third of the rows is one row after it), the distinct values get
+    their running count through range slices, and only the (at most 2 per p)
+    values that hold a needed rank survive.
 
-    One row with ``p<i>`` columns (NULL when there is no value). ``ties``
-    (unique columns) break ties so that a value repeated on a third of the
-    rows is still spread over slices; equal values are interchangeable, so
-    the result does not depend on them.
+    One row with ``p<i>`` columns (NULL when there is no value).
     """
-    ties = ties or []
-    vals = (df.select(F.col(value).cast("double").alias("_x"), *ties)
-            .where(F.col("_x").isNotNull()))
-    pos = index_in_order(slice_by_order(vals, [F.col("_x")] + [F.col(t) for t in ties], slices),
-                         "_pos")
-    n = pos.agg(F.max("_pos")).scalar()
-    outs, needed = [], []
-    for i, p in enumerate(ps):
-        k = (n - 1) * F.lit(float(p))
-        lo = F.floor(k) + 1                       # 1-based ranks
-        hi = F.least(lo + 1, n)
-        needed += [lo, hi]
-        outs.append((i, k, lo, hi))
-    keep = None
-    for c in needed:
-        keep = (F.col("_pos") == c) if keep is None else keep | (F.col("_pos") == c)
-    few = pos.where(keep)
-    aggs = []
-    for i, k, lo, hi in outs:
-        xlo = F.max(F.when(F.col("_pos") == lo, F.col("_x")))
-        xhi = F.max(F.when(F.col("_pos") == hi, F.col("_x")))
-        w = k - (lo - 1)
-        aggs.append((xlo * (1 - w) + xhi * w).alias(f"p{i}"))
-    return few.agg(*aggs)
+    counts = (df.select(F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+              .groupBy("_x").agg(F.count(F.lit(1)).alias("_n")))
+    sliced = slice_by_order(counts, [F.col("_x")], slices)
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sliced.groupBy("_slice").agg(F.sum("_n").alias("_size"))       # one row per slice
+               .select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off")))
+    so_far = (Window.partitionBy("_slice").orderBy("_x")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = (sliced.withColumn("_cum", F.sum("_n").over(so_far)).join(offsets, "_slice")
+              .select("_x", "_n", (F.col("_off") + F.col("_cum")).alias("_last")))
+    # the two ranks of every p with their weights, from the total
+    at = [(F.col("n") - 1) * F.lit(float(p)) for p in ps]
+    ranks = F.array(*[
+        F.struct(F.lit(i).alias("i"), (F.floor(k) + up + 1).cast("bigint").alias("rank"),
+                 (k - F.floor(k) if up else 1 - (k - F.floor(k))).alias("weight"))
+        for i, k in enumerate(at) for up in (0, 1)])
+    needed = sliced.agg(F.sum("_n").alias("n")).select(ranks.alias("r")).scalar()
+    held = ranked.withColumn("_needed", needed).withColumn("_r", F.filter(
+        "_needed", lambda r: (r["weight"] > 0) & (r["rank"] <= F.col("_last"))
+        & (r["rank"] > F.col("_last") - F.col("_n"))))
+    parts = held.select("_x", F.explode("_r").alias("_r"))
+    return parts.agg(*[F.sum(F.when(F.col("_r.i") == i, F.col("_x") * F.col("_r.weight"))).alias(f"p{i}")
+                       for i in range(len(ps))])

@@ -111,7 +111,7 @@ def test_rank_percentiles_match_python(spark):
     rnd = random.Random(1)
     xs = [float(rnd.choice([1, 2, 2, 2, 3, 50, rnd.randint(0, 999)])) for _ in range(997)]
     df = spark.createDataFrame([(x, i) for i, x in enumerate(xs)], "x double, i long")
-    got = rank_percentiles(df, "x", [0.0, 0.5, 0.95, 0.99, 1.0], slices=6, ties=["i"]).first()
+    got = rank_percentiles(df, "x", [0.0, 0.5, 0.95, 0.99, 1.0], slices=6).first()
     s = sorted(xs)
 
     def q(p):
@@ -122,6 +122,17 @@ def test_rank_percentiles_match_python(spark):
         assert math.isclose(got[f"p{i}"], q(p), rel_tol=1e-12)
 
 
+def test_rank_percentiles_of_one_value_repeats_and_nothing(spark):
+    from loglens.operators.ordered import rank_percentiles
+
+    def of(xs):
+        return tuple(rank_percentiles(spark.createDataFrame([(x,) for x in xs], "x double"), "x", [0.0, 0.5, 0.99]).first())
+    assert of([7.0]) == (7.0, 7.0, 7.0)
+    assert of([3.0] * 50 + [None]) == (3.0, 3.0, 3.0)
+    assert of([1.0, 2.0])[:2] == (1.0, 1.5)
+    assert of([]) == of([None]) == (None, None, None)
+
+
 def test_long_lines_without_gc_cost_no_regex(spark):
     """A line that only looks like a duration list is ruled out before the lazy patterns run over it."""
     import time
