@@ -30,7 +30,7 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.deduplicated(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    return substring_dedup.deduplicated(docs, whole=True).select("doc_id", "n_sentences", "n_removed", "text")
 
 
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:

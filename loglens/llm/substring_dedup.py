@@ -3,7 +3,10 @@
 A sentence ends behind ``.``, ``!`` or ``?`` that white space follows, and at ``\\n``. Its key is
 its words in lower case (A-Z), so spacing does not matter; sentences without a word are skipped.
 Every run of ``run`` consecutive sentences with ``min_words`` words or more in all is hashed
-(128 bits). Runs are joined globally by hash: the first place of a hash, by (doc, position),
+(128 bits). With ``whole`` no run is left out for its few words: a shorter one is lengthened
+sentence by sentence until it has ``min_words``, once behind and once in front, so every repeated
+passage of ``run`` sentences and ``min_words`` words is covered to its ends; a text that has fewer
+words in all is hashed as one run. Runs are joined globally by hash: the first place of a hash, by (doc, position),
 stays, and every sentence that a later place covers is removed.
 
 The hashes are counted with partial aggregation, so a run that a third of all documents hold
@@ -20,6 +23,8 @@ search; ``apply`` passes all on, but for ``n_sentences`` and ``n_removed``, whic
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import numpy as np
@@ -45,37 +50,52 @@ def sentence_keys(parts: list[str]) -> list[bytes]:
     return [b" ".join(p.encode().translate(_TABLE).split()) for p in parts]
 
 
-def runs_of(keys: list[bytes], run: int, min_words: int) -> list[tuple[int, bytes]]:
-    """(index of the first sentence among sentences, 128-bit hash) of every run."""
+def spans_of(n_words: list[int], run: int, min_words: int, whole: bool) -> list[tuple[int, int]]:
+    """(first sentence, end) of every run that is hashed, given the sentences' words."""
+    upto, n = [0, *itertools.accumulate(n_words)], len(n_words)
+    spans = set()
+    for a in range(n - run + 1):
+        b = a + run
+        if upto[b] - upto[a] >= min_words:
+            spans.add((a, b))
+        elif whole:
+            if (end := bisect.bisect_left(upto, upto[a] + min_words)) <= n:
+                spans.add((a, end))
+            if upto[b] >= min_words:
+                spans.add((bisect.bisect_right(upto, upto[b] - min_words) - 1, b))
+    if whole and n >= run and not spans:
+        spans.add((0, n))
+    return sorted(spans)
+
+
+def runs_of(keys: list[bytes], run: int, min_words: int, whole: bool = False) -> list[tuple[int, int, bytes]]:
+    """(index of the first sentence among sentences, number of sentences, 128-bit hash) of every run."""
     said = [k for k in keys if k]
-    n_words = [k.count(b" ") + 1 for k in said]
-    out = []
-    for i in range(len(said) - run + 1):
-        if sum(n_words[i:i + run]) >= min_words:
-            out.append((i, xxhash.xxh3_128_digest(b"\n".join(said[i:i + run]))))
-    return out
+    return [(a, b - a, xxhash.xxh3_128_digest(b"\n".join(said[a:b])))
+            for a, b in spans_of([k.count(b" ") + 1 for k in said], run, min_words, whole)]
 
 
-_RUNS = "h1 bigint, h2 bigint, doc bigint, text_key bigint, pos int"
+_RUNS = "h1 bigint, h2 bigint, doc bigint, text_key bigint, pos int, n int"
 
 
-def _runs(docs: DataFrame, doc: str, text: str, run: int, min_words: int) -> DataFrame:
+def _runs(docs: DataFrame, doc: str, text: str, run: int, min_words: int, whole: bool) -> DataFrame:
     schema = arrow_schema(as_fields(_RUNS))
 
     def work(batches):
         for b in batches:
             ids, texts, keys = (c.to_pylist() for c in b.columns)
             for a in range(0, len(ids), 512):
-                digests, at, d, k = [], [], [], []
+                digests, at, size, d, k = [], [], [], [], []
                 for i in range(a, min(len(ids), a + 512)):
-                    got = runs_of(sentence_keys(pieces(texts[i])), run, min_words)
-                    digests += [h for _, h in got]
-                    at += [p for p, _ in got]
+                    got = runs_of(sentence_keys(pieces(texts[i])), run, min_words, whole)
+                    digests += [h for _, _, h in got]
+                    at += [p for p, _, _ in got]
+                    size += [n for _, n, _ in got]
                     d += [ids[i]] * len(got)
                     k += [keys[i]] * len(got)
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield record_batch({"h1": np.ascontiguousarray(h[:, 0]), "h2": np.ascontiguousarray(h[:, 1]),
-                                    "doc": d, "text_key": k, "pos": at}, schema)
+                                    "doc": d, "text_key": k, "pos": at, "n": size}, schema)
 
     keyed = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("body"),
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
@@ -83,24 +103,24 @@ def _runs(docs: DataFrame, doc: str, text: str, run: int, min_words: int) -> Dat
 
 
 def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", run: int = 3,
-                  min_words: int = 10) -> DataFrame:
-    """(doc, text_key, starts): first sentences of the runs that stand somewhere before."""
-    rows = _runs(docs, doc, text, run, min_words)
+                  min_words: int = 10, whole: bool = False) -> DataFrame:
+    """(doc, text_key, runs): first sentences and lengths of the runs that stand somewhere before."""
+    rows = _runs(docs, doc, text, run, min_words, whole)
     place = F.struct("doc", "text_key", "pos")
     first = (rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"))
     later = rows.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("doc", "text_key").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
 
 
-def without_runs(text: str | None, starts: list[int] | None, run: int) -> tuple[int, int, str | None]:
+def without_runs(text: str | None, runs: list[dict] | None) -> tuple[int, int, str | None]:
     """(sentences, sentences removed, text left)."""
     parts = pieces(text)
     keys = sentence_keys(parts)
     n = sum(1 for k in keys if k)
-    if not starts:
+    if not runs:
         return n, 0, text
-    gone = {s + j for s in starts for j in range(run)}
+    gone = {r["pos"] + j for r in runs for j in range(r["n"])}
     out, i = [], -1
     for p, k in zip(parts, keys):
         i += bool(k)
@@ -109,19 +129,19 @@ def without_runs(text: str | None, starts: list[int] | None, run: int) -> tuple[
     return n, len(gone), "".join(out)
 
 
-def apply(docs: DataFrame, repeated: DataFrame, doc: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
+def apply(docs: DataFrame, repeated: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     made = {"n_sentences", "n_removed"}
     cols = [c for c in docs.columns if c not in made]
-    far = repeated.select(F.col("doc").alias("__ss_doc"), F.col("text_key").alias("__ss_of"), F.col("starts").alias("__ss_starts"))
+    far = repeated.select(F.col("doc").alias("__ss_doc"), F.col("text_key").alias("__ss_of"), F.col("runs").alias("__ss_runs"))
     left = docs.select(*cols, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__ss_key"))
     on = F.col(doc).cast("bigint").eqNullSafe(F.col("__ss_doc")) & (F.col("__ss_key") == F.col("__ss_of"))
-    joined = left.join(far, on, "left").select(*cols, "__ss_starts")
+    joined = left.join(far, on, "left").select(*cols, "__ss_runs")
     fields = [joined.schema[c] for c in cols] + as_fields("n_sentences bigint, n_removed bigint")
     schema, at = arrow_schema(fields), cols.index(text)
 
     def work(batches):
         for b in batches:
-            got = [without_runs(t, s, run) for t, s in zip(b.column(at).to_pylist(), b.column(len(cols)).to_pylist())]
+            got = [without_runs(t, r) for t, r in zip(b.column(at).to_pylist(), b.column(len(cols)).to_pylist())]
             arrays = [b.column(i) for i in range(len(cols))]
             arrays[at] = pa.array([g[2] for g in got], schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([g[0] for g in got], pa.int64()),
@@ -130,5 +150,6 @@ def apply(docs: DataFrame, repeated: DataFrame, doc: str = "doc_id", text: str =
     return joined.mapInArrow(tidy(work), T.StructType(fields))
 
 
-def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 10) -> DataFrame:
-    return apply(docs, repeated_runs(docs, doc, text, run, min_words), doc, text, run)
+def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 10,
+                 whole: bool = False) -> DataFrame:
+    return apply(docs, repeated_runs(docs, doc, text, run, min_words, whole), doc, text)

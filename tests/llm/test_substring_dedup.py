@@ -59,5 +59,17 @@ def test_long_passage_goes_from_all_but_the_first(docs):
     assert all(got[i].text.split() == f"Own start {i}. Own end {i}.".split() for i in range(1, 30))
 
 
+def test_short_sentences_are_not_left_out(docs):
+    """A passage of one-word sentences goes as a whole, in the middle of a text and as a copy; so does a tail of short ones."""
+    short = " ".join(f"W{i}!" for i in range(40))
+    tail = "One two three. One two four. " + "x " * 20 + "end. Yes. No. Fine. Well."
+    rows = [(1, short), (2, short), (3, f"Some own start here. {short} Some own end here."), (4, "Yes. No. Maybe."), (5, "Yes. No. Maybe."),
+            (6, tail), (7, f"An own start. {tail} An own end.")]
+    got = {r.doc_id: r for r in S.deduplicated(docs(rows), whole=True).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 4, 5, 6, 7)] == [0, 40, 40, 0, 3, 0, 7]
+    assert got[3].text.split() == "Some own start here. Some own end here.".split()
+    assert got[7].text.split() == "An own start. An own end.".split()
+
+
 def test_empty_table(docs):
     assert S.deduplicated(docs([])).collect() == []
