@@ -1,12 +1,14 @@
 """Substring dedup: runs of consecutive sentences that stand somewhere before are removed.
 
-A sentence ends behind ``.``, ``!`` or ``?`` that white space follows, and at ``\\n``. Its key is
+A sentence ends behind ``.``, ``!`` or ``?`` that white space follows, behind other scripts' full
+stops (``STOPS``, closing marks included), and at ``\\n``. Its key is
 its words in lower case (A-Z), so spacing does not matter; sentences without a word are skipped.
 Every run of ``run`` consecutive sentences with ``min_words`` words or more in all is hashed
 (128 bits). With ``whole`` no run is left out for its few words: a shorter one is lengthened
 sentence by sentence until it has ``min_words``, once behind and once in front, so every repeated
 passage of ``run`` sentences and ``min_words`` words is covered to its ends; a text that has fewer
-words in all is hashed as one run. Runs are joined globally by hash: the first place of a hash, by (doc, position),
+words or sentences in all is hashed as one run. Fewer than ``run`` sentences that hold ``LONG``
+words or more are runs too. Characters of scripts without blanks count as words. Runs are joined globally by hash: the first place of a hash, by (doc, position),
 stays, and every sentence that a later place covers is removed.
 
 The hashes are counted with partial aggregation, so a run that a third of all documents hold
@@ -15,7 +17,7 @@ removed positions are gathered by document and joined to the documents. Their nu
 with the corpus, so this is an ordinary join (one shuffle of the documents).
 
 Defined cases: a null or empty text has no sentences and stays as it is. A text with fewer than
-``run`` sentences loses nothing. Null ids come before all others. Rows with the same id and text
+``run`` sentences loses nothing, unless ``whole``. Null ids come before all others. Rows with the same id and text
 are one holder and fare alike; rows with one id and other texts are told apart by the text's
 hash, in whose order they come. Of the documents' columns only the id and text are read by the
 search; ``apply`` passes all on, but for ``n_sentences`` and ``n_removed``, which it makes.
@@ -36,13 +38,22 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, as_fields, record_batch, tidy
 
-_END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
+#: Full stops behind which no white space need stand: CJK, Devanagari, Arabic, Ethiopic, Armenian, Khmer, Burmese.
+STOPS = "\u3002\uff01\uff1f\uff61\u0964\u0965\u061f\u06d4\u1362\u1367\u0589\u17d4\u17d5\u104b"
+_CLOSING = "\u300d\u300f\uff09\u3011\u300b\u201d\u2019\u00bb)\"'"
+_ASCII_END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
+_END = re.compile(rf"(?<=[.!?])(?=\s)|(?<=\n)|(?<=[{STOPS}])(?![{STOPS}{_CLOSING}.!?])|(?<=[{STOPS}][{_CLOSING}])(?![{STOPS}{_CLOSING}.!?])")
+#: Characters that are a word each: scripts without blanks between words (Thai, Lao, Burmese, Khmer, kana, Han).
+_UNSPACED = re.compile("[\u0e01-\u0e30\u0e81-\u0eb0\u1000-\u102a\u1780-\u17b3\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Words that make fewer sentences than ``run`` a run of their own.
+LONG = 50
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c > 0x7F or chr(c).isalnum() else 0x20 for c in range(256))
 
 
 def pieces(text: str | None) -> list[str]:
     """The text cut behind each sentence; joined they are the text."""
-    return [p for p in _END.split(text or "") if p]
+    text = text or ""
+    return [p for p in (_ASCII_END if text.isascii() else _END).split(text) if p]
 
 
 def sentence_keys(parts: list[str]) -> list[bytes]:
@@ -50,6 +61,11 @@ def sentence_keys(parts: list[str]) -> list[bytes]:
     return [b" ".join(p.encode().translate(_TABLE).split()) for p in parts]
 
 
+def _n_words(key: bytes) -> int:
+    n = key.count(b" ") + 1
+    return n if key.isascii() else max(n, len(_UNSPACED.findall(key.decode("utf-8", "replace"))))
+
+
 def spans_of(n_words: list[int], run: int, min_words: int, whole: bool) -> list[tuple[int, int]]:
     """(first sentence, end) of every run that is hashed, given the sentences' words."""
     upto, n = [0, *itertools.accumulate(n_words)], len(n_words)
@@ -63,16 +79,19 @@ def spans_of(n_words: list[int], run: int, min_words: int, whole: bool) -> list[
                 spans.add((a, end))
             if upto[b] >= min_words:
                 spans.add((bisect.bisect_right(upto, upto[b] - min_words) - 1, b))
-    if whole and n >= run and not spans:
-        spans.add((0, n))
+    if whole:
+        for size in range(1, run):
+            spans.update((a, a + size) for a in range(n - size + 1) if upto[a + size] - upto[a] >= LONG)
+        if n and (n < run or not spans):
+            spans.add((0, n))
     return sorted(spans)
 
 
 def runs_of(keys: list[bytes], run: int, min_words: int, whole: bool = False) -> list[tuple[int, int, bytes]]:
     """(index of the first sentence among sentences, number of sentences, 128-bit hash) of every run."""
     said = [k for k in keys if k]
-    return [(a, b - a, xxhash.xxh3_128_digest(b"\n".join(said[a:b])))
-            for a, b in spans_of([k.count(b" ") + 1 for k in said], run, min_words, whole)]
+    n_words = [_n_words(k) if whole else k.count(b" ") + 1 for k in said]
+    return [(a, b - a, xxhash.xxh3_128_digest(b"\n".join(said[a:b]))) for a, b in spans_of(n_words, run, min_words, whole)]
 
 
 _RUNS = "h1 bigint, h2 bigint, doc bigint, text_key bigint, pos int, n int"

@@ -71,5 +71,20 @@ def test_short_sentences_are_not_left_out(docs):
     assert got[7].text.split() == "An own start. An own end.".split()
 
 
+def test_passages_of_fewer_than_three_sentences(docs):
+    """One or two long sentences, texts of one or two sentences, and scripts with other full stops."""
+    one = " ".join(f"w{i}" for i in range(60)) + "."
+    two = " ".join(f"v{i}" for i in range(30)) + ". " + " ".join(f"u{i}" for i in range(30)) + "."
+    han = "".join(f"{c}今天天气很好吗。" for c in "甲乙丙丁")
+    dev = "राम घर गया आज सुबह। सीता वन गई कल शाम। लक्ष्मण भी साथ गया था। "
+    rows = [(1, f"Own one. {one} Own two."), (2, f"Other one. {one} Other two."), (3, f"Third. {two} Third end."), (4, f"Fourth. {two} Fourth end."),
+            (5, "A short note"), (6, "A short note"), (7, f"{han}他们走了。"), (8, f"我来了！{han}"), (9, f"{dev}"), (10, f"अन्य पाठ। {dev}"), (11, one)]
+    got = {r.doc_id: r for r in S.deduplicated(docs(rows), whole=True).collect()}
+    assert [got[i].n_removed for i in range(1, 12)] == [0, 1, 0, 2, 0, 1, 0, 4, 0, 3, 1]
+    assert got[2].text.split() == "Other one. Other two.".split() and got[8].text == "我来了！" and got[6].text == ""
+    assert [(got[i].n_sentences) for i in (7, 10)] == [5, 4]
+    assert S.pieces("「好。」他说！！走吧") == ["「好。」", "他说！！", "走吧"]
+
+
 def test_empty_table(docs):
     assert S.deduplicated(docs([])).collect() == []
