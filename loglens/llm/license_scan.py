@@ -110,10 +110,20 @@ class Scanner:
                     merged.append([a, b])
             for a, b in merged:
                 # One character more on either side, as matches are bounded by blanks.
-                for m in self.patterns[i].finditer(text, max(0, a - 1), min(len(text), b + 1)):
+                for m in self._matches(i, text, max(0, a - 1), min(len(text), b + 1)):
                     out.append((m.start(), m.end(), n.label, sum(m.fuzzy_counts)))
         return out
 
+    def _matches(self, i: int, text: str, start: int, end: int):
+        """Matches of a notice that do not overlap: the best of the range, then those in front of and behind it."""
+        least = len(self.notices[i].phrase) - self.notices[i].edits
+        parts = [(start, end)]
+        while parts:
+            a, b = parts.pop()
+            if b - a >= least and (m := self.patterns[i].search(text, a, b)):
+                yield m
+                parts += [(a, m.start()), (m.end(), b)]
+
 
 def scan_text(scanner: Scanner, norm: bytes) -> dict:
     """The result of one text, given as its words with one blank between."""

@@ -60,5 +60,16 @@ def test_spans_and_edits(docs):
     assert ("apache", 2, 2, 1) in spans and ("gpl", 6, 4, 2) in spans and got.n_base == 0
 
 
+def test_neighbouring_notices_all_give_spans(docs):
+    """A poorer match in front of a better one is no less a match."""
+    rows = [(1, "GNU General Public Licence GNU General Public License"), (2, "MIT licens MIT licence MIT license"),
+            (3, "mit license, mit licens, mit license, mit licence"), (4, "gnu general public licence x gnu generl public licence gnu general public license")]
+    got = {r.doc_id: [(s.label, s.first_word, s.n_words, s.edits) for s in r.spans] for r in S.scan(docs(rows)).collect()}
+    assert got[1] == [("gpl", 0, 4, 1), ("gpl", 4, 4, 0)]
+    assert got[2] == [("mit", 0, 2, 1), ("mit", 2, 2, 1), ("mit", 4, 2, 0)]
+    assert got[3] == [("mit", 0, 2, 0), ("mit", 2, 2, 1), ("mit", 4, 2, 0), ("mit", 6, 2, 1)]
+    assert got[4] == [("gpl", 0, 4, 1), ("gpl", 5, 4, 2), ("gpl", 9, 4, 0)]
+
+
 def test_empty_table(docs):
     assert S.scan(docs([])).collect() == []
