@@ -40,15 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder (``by``: a folder for each value of it) and read it back.
 
     This cuts the lineage like ``checkpoint()``, but keeps the table columnar and
     compressed. The folder is the cluster's ``spark.checkpoint.dir``; its files stay
     until the cluster clears that folder.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import (bm25, bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup,
-               substring_dedup, url_filter)
+from . import (bm25, bpe, chat_format, decontaminate, filter_audit, jaccard_join, k2treap, language_id, license_scan,
+               line_dedup, simhash, substring_dedup, url_filter)
 from .common import table
 
 #: (host, path, action); fixed values of the query's contract.
@@ -79,9 +79,22 @@ def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_dedup(spark, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_k2treap_topk(spark, sf_dir: str) -> DataFrame:
+    return k2treap.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_substring_dedup, op3_chat_format, op4_bm25_topk, op5_url_filter, op6_language_id,
-    op7_line_dedup, op8_byte_bpe, op9_decontaminate, op10_jaccard_join)}
+    op7_line_dedup, op8_byte_bpe, op9_decontaminate, op10_jaccard_join, op11_simhash_dedup, op12_filter_audit,
+    op13_k2treap_topk)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -143,4 +156,45 @@ links AS (SELECT x, y FROM common JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id)""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+        FROM labels GROUP BY doc_id),
+f AS (SELECT id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [f.x FOR f IN [{'x': 'A', 'y': len(words) < 200}, {'x': 'B', 'y': 100 * len(list_distinct(words)) < 50 * len(words)},
+                            {'x': 'C', 'y': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t)},
+                            {'x': 'D', 'y': regexp_matches(t, '[#$%&*|]')}, {'x': 'E', 'y': w.doc_id > least}] IF f.y] AS fails
+      FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+fate AS (SELECT f.*, filter_order, list_min([instr(filter_order, x) FOR x IN fails]) AS gone_at FROM f, orders),
+steps AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS x
+          FROM (SELECT DISTINCT part FROM f), orders, range(1, 6) r(step)),
+c AS (SELECT s.part, s.filter_order, s.step, s.x,
+             count(*) FILTER (WHERE gone_at IS NULL OR gone_at > s.step) AS kept,
+             count(*) FILTER (WHERE gone_at = s.step) AS removed,
+             count(*) FILTER (WHERE list_contains(fails, s.x) AND gone_at < s.step) AS redundant,
+             count(*) FILTER (WHERE fails = [s.x]) AS unique_fails,
+             count(*) FILTER (WHERE gone_at = s.step AND good = 1) AS good_lost,
+             count(*) FILTER (WHERE gone_at = s.step AND toxic = 1) AS toxic_lost
+      FROM steps s JOIN fate ON s.part = fate.part AND s.filter_order = fate.filter_order GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       cast(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM c""",
+    "op13_k2treap_topk": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_ALNUM_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+tf AS (SELECT id, doc_id, term, count(*) AS tf FROM (SELECT id, doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+n AS (SELECT id, cast(sum(tf) AS BIGINT) AS n FROM tf GROUP BY id),
+whole AS (SELECT count(*) AS docs, cast(sum(n) AS BIGINT) AS terms FROM n),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weight AS (SELECT term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, whole),
+length AS (SELECT id, 50 + (50 * n * docs) // terms AS m FROM n, whole),
+q AS (SELECT DISTINCT item_id, unnest({_ALNUM_WORDS.format("coalesce(text, '')")}) AS term FROM benchmark),
+score AS (SELECT q.item_id, tf.id, tf.doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+          FROM q JOIN tf USING (term) JOIN weight USING (term) JOIN length USING (id) GROUP BY ALL),
+ranked AS (SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+                  doc_id, score FROM score WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50""",
 }

@@ -26,7 +26,7 @@ def duck():
 def test_registered():
     names = set(entry.queries())
     assert set(Q.QUERIES) | {"pipeline"} <= names
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
@@ -65,6 +65,13 @@ def test_bpe_columns(spark, duck):
         assert got[d] == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode()))
 
 
+def test_simhash_columns(spark, duck):
+    from test_simhash import brute
+    rows = duck.execute("select doc_id, text from documents").fetchall()
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in Q.op11_simhash_dedup(spark, SF).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_language_held_out_accuracy(spark, duck):
     lang = dict(duck.execute("select doc_id, lang from documents").fetchall())
     rows = Q.op6_language_id(spark, SF).collect()
