@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,3 +52,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+#: A side of a join is broadcast when its counted rows times their stated width stay under this.
+BROADCAST_BYTES = 8 << 20
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: worked out once, lineage cut.
+
+    The files stay until the cluster clears that folder."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for a stored table whose counted rows prove it small; else the join is left to Spark."""
+    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df

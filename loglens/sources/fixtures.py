@@ -169,3 +169,17 @@ def cases(spark, sf_dir: str) -> DataFrame:
                     key_ev.alias("key_evidence"),
                     F.coalesce(c("suggested"), F.array().cast("array<string>")).alias("suggested"),
                     F.coalesce(c("existing"), F.array().cast("array<string>")).alias("existing")))
+
+
+# FIXED VALUES: patterns that the cases' search requests ask for besides their keywords, by case_id % 5.
+CASE_PATTERNS = [r"stage [12]\.0", r"executor \d", "(?P<at>0xab)|heap", "A[", r"(\d)(?<=\1)"]
+
+
+def case_requests(spark, sf_dir: str) -> DataFrame:
+    """(case_id, logs_path, keywords): the search tool's request for each case, keywords as a comma list."""
+    c = cases(spark, sf_dir).select("case_id", "logs_path", "existing")
+    path = (F.when(F.col("case_id") % 3 == 0, "/Volumes/logs/service=executor/")
+            .when(F.col("case_id") % 3 == 1, F.col("logs_path")).otherwise("/Volumes/logs"))
+    extra = F.element_at(F.array(*[F.lit(p) for p in CASE_PATTERNS]), (F.col("case_id") % 5 + 1).cast("int"))
+    return c.select("case_id", path.alias("logs_path"),
+                    F.concat(F.array_join("existing", ", "), F.lit(", "), extra).alias("keywords"))
