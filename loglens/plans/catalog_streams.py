@@ -39,6 +39,72 @@ SELECT {O.service('path')} service, {O.executor('path')} executor_ip,
   CAST(row_number() OVER (PARTITION BY path ORDER BY line_no) AS BIGINT) line_no, line_text FROM ll"""
 
 
+# The mixed tree (fixtures.write_mixed_tree): its files and what a scan reads of them.
+_TREE_SQL = "WITH " + O.LOG_LINES + """,
+f AS (SELECT line_no // 200 chunk, line_no, line_text FROM ll),
+tree AS (SELECT chunk % 6 kind, CASE chunk % 6 WHEN 0 THEN 'plain-' || chunk || '.log' WHEN 1 THEN 'sub/deep/plain-' || chunk || '.log'
+    WHEN 2 THEN '.cache/h-' || chunk || '.log' WHEN 3 THEN 'sub/.h-' || chunk || '.log' WHEN 4 THEN '_under/_x-' || chunk || '.log'
+    ELSE 'sub/bin-' || chunk || '.dat' END file, line_no % 10 = 3 odd,
+  CAST(row_number() OVER (PARTITION BY chunk ORDER BY line_no) AS BIGINT) line_no, line_text,
+  sum(length(line_text) + CASE line_no % 3 WHEN 1 THEN 2 ELSE 1 END + CASE WHEN line_no % 10 = 3 THEN 3 ELSE 0 END) OVER (PARTITION BY chunk) bytes FROM f)
+"""
+
+
+def _tree(spark, sf, lines=None):
+    return FX.write_mixed_tree(FX.log_lines(spark, sf) if lines is None else lines)
+
+
+def _of_root(df, root):
+    """Paths relative to the tree's root."""
+    return df.withColumn("file", F.substring_index("path", root.rstrip("/").rpartition("/")[2] + "/", -1)).select("file", "line_no", "line_text")
+
+
+@register("scan_tree", _TREE_SQL + "SELECT file, line_no, line_text FROM tree WHERE kind IN (0, 1, 4)")
+def scan_tree(spark, sf):
+    root = _tree(spark, sf)
+    return _of_root(FS.scan_lines(spark, root), root)
+
+
+@register("scan_blocks", _TREE_SQL + "SELECT file, line_no, line_text FROM tree WHERE kind IN (0, 1, 4)")
+def scan_blocks(spark, sf):
+    # every file in many byte ranges: lines and line ends lie across their edges
+    root = _tree(spark, sf)
+    return _of_root(FS.scan_lines(spark, root, block_bytes=997), root)
+
+
+@register("scan_non_recursive", _TREE_SQL + "SELECT file, line_no, line_text FROM tree WHERE kind = 0")
+def scan_non_recursive(spark, sf):
+    root = _tree(spark, sf)
+    return _of_root(FS.scan_lines(spark, root, recursive=False), root)
+
+
+@register("scan_hidden", _TREE_SQL + "SELECT file, line_no, line_text FROM tree WHERE kind <> 5")
+def scan_hidden(spark, sf):
+    root = _tree(spark, sf)
+    return _of_root(FS.scan_lines(spark, root, include_hidden=True), root)
+
+
+@register("scan_with_binary", _TREE_SQL + """
+SELECT file, line_no, CASE WHEN kind = 5 AND line_no = 1 THEN '<NUL>' ELSE '' END || line_text line_text FROM tree WHERE kind IN (0, 1, 4, 5)""")
+def scan_with_binary(spark, sf):
+    root = _tree(spark, sf)
+    got = FS.scan_lines(spark, root, skip_binary=False)
+    return _of_root(got.withColumn("line_text", F.replace("line_text", F.lit("\u0000"), F.lit("<NUL>"))), root)
+
+
+@register("scan_size_cap", _TREE_SQL + "SELECT file, line_no, line_text FROM tree WHERE kind IN (0, 1, 4) AND bytes <= 14000")
+def scan_size_cap(spark, sf):
+    root = _tree(spark, sf)
+    return _of_root(FS.scan_lines(spark, root, max_bytes_per_file=14_000), root)
+
+
+@register("scan_latin1", _TREE_SQL + """
+SELECT file, line_no, CASE WHEN odd THEN chr(255) || line_text || chr(226) || chr(130) ELSE line_text END line_text FROM tree WHERE kind IN (0, 1, 4)""")
+def scan_latin1(spark, sf):
+    root = _tree(spark, sf)
+    return _of_root(FS.scan_lines(spark, root, encoding="latin-1"), root)
+
+
 @register("scan_skip_binary", _SCAN_SQL)
 def scan_skip_binary(spark, sf):
     # the same lines twice: once as text files, once with a NUL byte at the
@@ -51,6 +117,14 @@ def scan_skip_binary(spark, sf):
                                                          "line_text")
 
 
+@register("search_files", _TREE_SQL + f"""
+SELECT file, line_no, line_text FROM tree WHERE kind IN (0, 1, 4) AND regexp_matches(line_text, {q('|'.join(f'(?:{p})' for p in GREP_ANY))})""")
+def search_files(spark, sf):
+    # numbers are resolved for the hits only; ranges of 4 KB, so most hits lie behind a file's first
+    root = _tree(spark, sf)
+    return _of_root(FS.search_files(spark, root, GREP_ANY, block_bytes=4096), root)
+
+
 @register("scan_line_numbers", "WITH " + O.LOG_LINES + f"""
 SELECT {O.executor('path')} executor_ip, CAST(count(*) AS BIGINT) n_lines, CAST(count(*) AS BIGINT) max_line_no
 FROM ll GROUP BY ALL""")

@@ -183,3 +183,42 @@ def case_requests(spark, sf_dir: str) -> DataFrame:
     extra = F.element_at(F.array(*[F.lit(p) for p in CASE_PATTERNS]), (F.col("case_id") % 5 + 1).cast("int"))
     return c.select("case_id", path.alias("logs_path"),
                     F.concat(F.array_join("existing", ", "), F.lit(", "), extra).alias("keywords"))
+
+
+# FIXED VALUES: how the mixed tree's files are named, and how many lines each has.
+TREE_CHUNK = 200
+TREE_NAMES = ["plain-{}.log", "sub/deep/plain-{}.log", ".cache/h-{}.log", "sub/.h-{}.log", "_under/_x-{}.log", "sub/bin-{}.dat"]
+
+
+def write_mixed_tree(lines: DataFrame) -> str:
+    r"""Log lines as a tree of files of every kind that a scan's options tell apart; returns its root.
+
+    A file for each ``TREE_CHUNK`` line numbers. By its number it lies in the root, in folders, in a hidden folder, is
+    hidden, starts with ``_``, or is binary (a NUL in front of its first line). Line ends go round ``\n``, ``\r\n``
+    and ``\r``; every tenth line has bytes that are not valid UTF-8 at both ends.
+    """
+    import os
+    import uuid
+
+    import pyarrow as pa
+
+    from ..session import checkpoint_dir
+    from .files import file_system
+    root = os.path.join(checkpoint_dir(lines.sparkSession), f"tree-{uuid.uuid4().hex}")
+
+    def write(tab: pa.Table) -> pa.Table:
+        chunk = tab["chunk"][0].as_py()
+        name = TREE_NAMES[chunk % len(TREE_NAMES)].format(chunk)
+        out = b""
+        for n, text in sorted(zip(tab["line_no"].to_pylist(), tab["line_text"].to_pylist())):
+            body = text.encode()
+            out += (b"\xff" + body + b"\xe2\x82" if n % 10 == 3 else body) + (b"\n", b"\r\n", b"\r")[n % 3]
+        system, path, _ = file_system(f"{root}/{name}")
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as f:
+            f.write(b"\0" + out if name.endswith(".dat") else out)
+        return pa.table({"chunk": [chunk]})
+
+    files = lines.select((F.floor(F.col("line_no") / TREE_CHUNK)).alias("chunk"), "line_no", "line_text")
+    files.groupBy("chunk").applyInArrow(write, "chunk bigint").count()
+    return root

@@ -1,9 +1,13 @@
 """File scan options on small trees made with mktemp, JSON / text inputs."""
 
+import io
 import json
 import os
+import re
 import tempfile
 
+from hypothesis import assume, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loglens.sources import files as FS
@@ -55,13 +59,81 @@ def test_line_numbers_survive_file_splits(spark):
     with open(f"{root}/big.log", "w") as f:
         for i in range(1, 20001):
             f.write(f"line {i}\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
-    try:
-        df = FS.scan_lines(spark, root)
-        bad = df.where(F.col("line_text") != F.concat(F.lit("line "), F.col("line_no").cast("string")))
-        assert df.count() == 20000 and bad.count() == 0
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    df = FS.scan_lines(spark, root, block_bytes=16384)
+    bad = df.where(F.col("line_text") != F.concat(F.lit("line "), F.col("line_no").cast("string")))
+    assert df.count() == 20000 and bad.count() == 0
+    assert df.rdd.getNumPartitions() > 8
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([b"\n", b"\r", b"\r\n", b"a", b"bc", b"\xe2", "é".encode(), b"\0"]), max_size=30), st.integers(1, 9), st.integers(1, 5))
+def test_ranges_give_each_line_once(parts, block, chunk):
+    """Any cut of a file into ranges, read in any chunks: the lines that Python's text mode gives, in order."""
+    data = b"".join(parts)
+    assume(not re.search(rb"\r\xe2+\n", data))       # line ends are found in the bytes, before invalid ones are dropped
+    want = [x.rstrip("\n\r") for x in io.TextIOWrapper(io.BytesIO(data), encoding="utf-8", errors="ignore")]
+    got, counted = [], 0
+    for start in range(0, len(data), block):
+        for piece in FS.segments(io.BytesIO(data), start, min(len(data), start + block), len(data), chunk):
+            got += FS.lines_in(piece, "utf-8")
+            counted += FS.count_in(piece)
+    assert got == want
+    invalid_end = bool(re.search(rb"(^|[\r\n])\xe2+$", data))
+    assert counted - len(want) == invalid_end
+
+
+def test_scan_options(spark):
+    root = _tree()
+    os.makedirs(f"{root}/_under")
+    with open(f"{root}/_under/_x.log", "wb") as f:
+        f.write(b"caf\xc3\xa9 \xff\xe2\x82 end\r" + b"x" * 4096 + b"\0")
+    open(f"{root}/empty.log", "w").close()
+    read = lambda *a, **k: {(os.path.relpath(r.path, root), r.line_no, r.line_text[:9]) for r in FS.scan_lines(spark, *a, **k).collect()}
+    under = {("_under/_x.log", 1, "café  end"), ("_under/_x.log", 2, "x" * 9)}
+    assert under <= read(root) and not any(p.startswith((".", "bin")) for p, _, _ in read(root))
+    assert (".hidden/h.log", 1, "ERROR hid") in read(root, include_hidden=True)
+    assert read(root, skip_binary=False) - read(root) == {("bin.dat", 1, "ERROR\0bin")}
+    assert ("_under/_x.log", 1, "cafÃ© ÿâ\x82") in read(root, encoding="latin-1")
+    assert read(root, recursive=False) == read("file:" + root, recursive=False) == read("file://" + root + "/", recursive=False) == {("top.log", 1, "ERROR top")}
+    assert read(root + "/top.log", recursive=False) == read("file:" + root + "/top.log") == {("top.log", 1, "ERROR top")}
+    assert read(f"{root}/.hidden") == read(f"{root}/.hidden/h.log") == read(root + "/missing") == set()
+    assert read(f"{root}/.hidden", include_hidden=True) != set()
+    assert {p for p, _, _ in read(root, max_bytes_per_file=10)} == {"top.log", "nested/deeper/x.log"} - ({"nested/deeper/x.log"} if os.path.getsize(f"{root}/nested/deeper/x.log") > 10 else set())
+
+
+def test_search_numbers_only_the_hits(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    lines = [f"{'hit' if i % 37 == 0 else 'no'} {i}" for i in range(1, 5001)]
+    for name, sep in (("a.log", "\n"), ("b.log", "\r\n"), ("c.log", "\r")):
+        with open(f"{root}/{name}", "w", newline="") as f:
+            f.write(sep.join(lines))
+    got = FS.search_files(spark, root, ["hit"], block_bytes=1000, with_spans=True)
+    rows = got.collect()
+    assert sorted((os.path.basename(r.path), r.line_no, r.line_text) for r in rows) == [
+        (n, i, f"hit {i}") for n in ("a.log", "b.log", "c.log") for i in range(37, 5001, 37)]
+    assert all([(s.start, s.end) for s in r.spans] == [(0, 3)] for r in rows)
+    first = FS.search_files(spark, root, ["hit"], block_bytes=1000, limit=2).collect()
+    assert [(os.path.basename(r.path), r.line_no) for r in first] == [("a.log", 37), ("a.log", 74)]
+    assert FS.search_files(spark, root, ["nothing"], block_bytes=1000).collect() == []
+
+
+def test_a_file_over_two_gibibytes(spark):
+    """Sparse: NULs behind the text, so reading it whole would take what binary files take."""
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    with open(f"{root}/huge.log", "wb") as f:
+        f.write(b"first line of text\n" * 300)
+        f.seek((2 << 30) + (300 << 20))
+        f.write(b"\nERROR far behind\n")
+    with open(f"{root}/huge.bin", "wb") as f:
+        f.write(b"\0")
+        f.truncate(3 << 30)
+    parts = FS.LogFilesReader({"target": root}).partitions()
+    assert sum(len(p.ranges) for p in parts) == 37 + 48
+    last = [r for p in parts for r in p.ranges if r[0].endswith("huge.log")][-1]
+    reader = FS.LogFilesReader({"target": root})
+    got = [t for b in reader.read(FS.Ranges([last])) for t in b["line_text"].to_pylist()]
+    assert got == ["ERROR far behind"]
+    assert list(reader.read(FS.Ranges([(f"{root}/huge.bin", 1 << 30, (1 << 30) + 5, 3 << 30)]))) == []
 
 
 def test_json_hits_and_chatter(spark):
