@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import gcparse as G
 from ..functions import patterns as P
 from ..functions.text import dedupe_keep_order
+from ..session import stored
 
 
 def clip(v: Column, lo: float, hi: float) -> Column:
@@ -166,24 +167,55 @@ def drilldown(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     return obs.join(F.broadcast(rules), "symptom").select("case_id", "symptom", "cause", "keyword")
 
 
+def close_rules(rules: DataFrame) -> DataFrame:
+    """(root, cause, depth, via, path): what each symptom leads to, over the fewest rules.
+
+    Every (root, cause) is reached once: a pair found before is never visited again, so cyclic
+    rules end. Round k finds the pairs at distances 2^(k-1)+1 to 2^k: the frontier, pairs at exactly 2^(k-1), joined with
+    all pairs known; its number of rounds is the logarithm of the longest distance. ``via`` is the
+    rule's symptom before the cause (of several at one depth the first by name), ``path`` the chain of them,
+    put together by doubling likewise. Rules with a null, and from a symptom to itself, lead nowhere.
+    """
+    edges = rules.select(F.col("symptom").alias("root"), F.col("cause")).where("root <> cause").distinct()
+    known = stored(edges.withColumn("depth", F.lit(1)))
+    edge, reach = known, 1
+    while True:
+        ahead = known.where(F.col("depth") == reach).select("root", F.col("cause").alias("mid"))
+        behind = known.select(F.col("root").alias("mid"), "cause", "depth")
+        met = (ahead.join(behind, "mid").where("root <> cause").groupBy("root", "cause")
+               .agg((F.min("depth") + reach).alias("depth")))
+        fresh = stored(met.join(known, ["root", "cause"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        known, reach = stored(known.unionByName(fresh)), 2 * reach
+    before = known.select("root", F.col("cause").alias("via"), (F.col("depth") + 1).alias("depth"))
+    before = before.unionByName(edge.select("root", F.col("root").alias("via"), "depth").distinct())
+    link = edge.select(F.col("root").alias("via"), "cause")
+    step = known.join(before, ["root", "depth"]).join(link, ["via", "cause"]).groupBy("root", "cause", "depth").agg(F.min("via").alias("via"))
+    # A piece is the chain from behind ``top`` to the cause; pieces are put in front of each other until all begin at the root.
+    pieces = stored(step.select("root", "cause", "depth", "via", F.col("via").alias("top"), F.array("cause").alias("nodes")))
+    done = None
+    while not pieces.isEmpty():
+        whole = pieces.where("top = root")
+        done = whole if done is None else done.unionByName(whole)
+        front = (whole if done is whole else done).unionByName(pieces.where("top <> root")).select(
+            "root", F.col("cause").alias("top"), F.col("top").alias("upper"), F.col("nodes").alias("front"))
+        open_ = pieces.where("top <> root")
+        pieces = stored(open_.join(front, ["root", "top"]).select("root", "cause", "depth", "via", F.col("upper").alias("top"),
+                                                                    F.concat("front", "nodes").alias("nodes")))
+    path = F.array_join(F.concat(F.array("root"), F.col("nodes")), " -> ")
+    if done is None:
+        done = pieces
+    return done.select("root", "cause", "depth", "via", path.alias("path"))
+
+
 def causal_chain(spark: SparkSession, evidence: DataFrame, rules: DataFrame) -> DataFrame:
-    """Chains symptom -> cause -> cause ... from each observed class.
-
-    The rule table is closed once by a recursive CTE that never visits a node
-    of its own path again, so cyclic rules end and long chains are whole. The
-    closed rules are then joined to the observed classes: the recursion's size
-    depends on the rules alone, not on the number of cases."""
-    closed = spark.sql("""
-        WITH RECURSIVE chain (root, node, depth, nodes) AS (
-          SELECT DISTINCT symptom, symptom, 0, array(symptom) FROM {rules}
-          UNION ALL
-          SELECT c.root, r.cause, c.depth + 1, array_append(c.nodes, r.cause)
-          FROM chain c JOIN {rules} r ON c.node = r.symptom
-          WHERE NOT array_contains(c.nodes, r.cause))
-        SELECT root, node AS cause, depth, array_join(nodes, ' -> ') AS path
-        FROM chain WHERE depth > 0""", rules=rules)
+    """Chains symptom -> cause -> cause ... from each observed class, the shortest to every cause.
+
+    The rule table is closed once (``close_rules``) and joined to the observed classes, so the closure's
+    size depends on the rules alone, not on the number of cases."""
     obs = evidence.select("case_id", F.col("pattern").alias("root")).distinct()
-    return obs.join(closed, "root").select("case_id", "root", "cause", "depth", "path")
+    return obs.join(close_rules(rules), "root").select("case_id", "root", "cause", "depth", "path")
 
 
 def report_evidence(cases: DataFrame, evidence: DataFrame, top_n: int = 5) -> DataFrame:

@@ -218,6 +218,31 @@ def causal_chain(spark, sf):
     return C.causal_chain(spark, FX.case_evidence(spark, sf), C.rules_table(spark))
 
 
+# Rules learnt from the logs: the user of an error event, and the user of the error event behind it.
+_LEARNT_SQL = """WITH RECURSIVE r AS (
+  SELECT user_id, lead(user_id) OVER (ORDER BY event_id) nxt FROM events WHERE event_type = 'error'),
+e AS (SELECT DISTINCT 'user ' || user_id a, 'user ' || nxt b FROM r WHERE user_id <> nxt AND user_id % 3 > 0),
+bfs(a, b, d) USING KEY (a, b) AS (
+  SELECT a, b, 1 FROM e
+  UNION
+  SELECT x.a, e.b, min(x.d) + 1 FROM bfs x JOIN e ON x.b = e.a
+  WHERE x.a <> e.b AND NOT EXISTS (SELECT 1 FROM recurring.bfs y WHERE y.a = x.a AND y.b = e.b) GROUP BY x.a, e.b),
+via AS (SELECT bfs.a, bfs.b, bfs.d, min(e.a) v FROM bfs JOIN e ON e.b = bfs.b
+        LEFT JOIN bfs y ON y.a = bfs.a AND y.b = e.a
+        WHERE (e.a = bfs.a AND bfs.d = 1) OR y.d = bfs.d - 1 GROUP BY ALL),
+walk(a, b, cur, path) AS (
+  SELECT a, b, b, b FROM via
+  UNION ALL SELECT w.a, w.b, via.v, via.v || ' -> ' || w.path FROM walk w JOIN via ON via.a = w.a AND via.b = w.cur)
+"""
+
+
+@register("causal_closure", _LEARNT_SQL + """
+SELECT via.a root, via.b cause, CAST(via.d AS INTEGER) depth, via.v via, w.path
+FROM via JOIN walk w ON w.a = via.a AND w.b = via.b AND w.cur = w.a""")
+def causal_closure(spark, sf):
+    return C.close_rules(FX.learnt_rules(spark, sf))
+
+
 @register("report_evidence", WC + """,
 cl2 AS (SELECT case_id, generate_subscripts(key_evidence, 1) - 1 o, unnest(key_evidence) "key" FROM cases),
 m AS (SELECT cl2.case_id, cl2."key" pattern, cev.count, o FROM cl2 JOIN cev ON cev.case_id = cl2.case_id AND cev.pattern = cl2."key"),

@@ -222,3 +222,12 @@ def write_mixed_tree(lines: DataFrame) -> str:
     files = lines.select((F.floor(F.col("line_no") / TREE_CHUNK)).alias("chunk"), "line_no", "line_text")
     files.groupBy("chunk").applyInArrow(write, "chunk bigint").count()
     return root
+
+
+def learnt_rules(spark, sf_dir: str) -> DataFrame:
+    """(symptom, cause, keyword) from the events: users whose errors follow each other, a cyclic rule table."""
+    from ..operators.ordered import lag_in_order, slice_by_order
+    e = event_base(spark, sf_dir).where("event_type = 'error'").select("event_id", "user_id")
+    pairs = lag_in_order(slice_by_order(e, [F.col("event_id")]), "user_id", "before").where("before <> user_id AND before % 3 > 0")
+    name = lambda c: F.concat(F.lit("user "), _s(F.col(c)))
+    return pairs.select(name("before").alias("symptom"), name("user_id").alias("cause"), F.lit("ERROR").alias("keyword")).distinct()

@@ -82,3 +82,56 @@ def test_causal_chain_of_many_cases(spark):
     """The recursion runs over the rules only, so the number of cases has no limit."""
     ev = spark.range(400_000).selectExpr("id AS case_id", "'Executor_lost' AS pattern", "1L AS count")
     assert C.causal_chain(spark, ev, C.rules_table(spark)).count() == 400_000 * 6
+
+
+def shortest(rules):
+    """{(root, cause): (depth, path)}: breadth first; of several predecessors the first by name."""
+    after = {}
+    for a, b in rules:
+        if a is not None and b is not None and a != b:
+            after.setdefault(a, set()).add(b)
+    out = {}
+    for root in after:
+        depth, via, front = {root: 0}, {}, [root]
+        while front:
+            nxt = {}
+            for m in front:
+                for b in after.get(m, ()):
+                    if b not in depth:
+                        nxt[b] = min(nxt.get(b, m), m)
+            for b, m in nxt.items():
+                depth[b], via[b] = depth[m] + 1, m
+            front = list(nxt)
+        for b in via:
+            path, at = [b], b
+            while at != root:
+                at = via[at]
+                path.append(at)
+            out[root, b] = (depth[b], via[b], " -> ".join(reversed(path)))
+    return out
+
+
+def _closed(spark, rules):
+    df = spark.createDataFrame([(a, b, "k") for a, b in rules], "symptom string, cause string, keyword string")
+    rows = C.close_rules(df).collect()
+    got = {(r.root, r.cause): (r.depth, r.via, r.path) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_rules_close_over_small_graphs(spark):
+    import random
+    rng = random.Random(2)
+    graphs = [[], [("a", "a"), (None, "b"), ("b", None)], [("a", "b"), ("b", "a"), ("b", "c"), ("a", "d"), ("d", "c")]]
+    graphs += [[(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)] for n, m in ((6, 9), (12, 14), (20, 25))]
+    for g in graphs:
+        assert _closed(spark, g) == shortest(g)
+
+
+def test_rules_close_over_a_line_and_a_dense_cycle(spark):
+    line = [(f"n{i:03}", f"n{i + 1:03}") for i in range(500)]
+    got = _closed(spark, line)
+    assert len(got) == 500 * 501 // 2 and got["n000", "n500"][0] == 500
+    assert got["n000", "n500"][2] == " -> ".join(f"n{i:03}" for i in range(501))
+    dense = [(f"d{i}", f"d{j}") for i in range(200) for j in range(200) if (i * j + i) % 3 == 0 or j == (i + 1) % 200]
+    assert _closed(spark, dense) == shortest(dense)
