@@ -204,6 +204,19 @@ def evidence_facts(hits: DataFrame, *, strip_prefix: bool = True) -> DataFrame:
         F.col("o.p").alias("first_path"), F.col("o.l").alias("first_line_no"))
 
 
+FACT_KEYS = ["pattern", "field", "value"]
+
+
+def merge_facts(facts: DataFrame) -> DataFrame:
+    """A union of ``evidence_facts`` tables as one: counts are added, the first place stays.
+
+    One shuffle, on the whole key, with partial sums in front of it; associative, so parts can be
+    merged in any order and grouping."""
+    place = F.struct("first_path", "first_line_no")
+    return (facts.groupBy(*FACT_KEYS).agg(F.sum("n").alias("n"), F.min(place).alias("_first"))
+            .select(*FACT_KEYS, "n", "_first.first_path", "_first.first_line_no"))
+
+
 def facts_stats(facts: DataFrame) -> DataFrame:
     """The columns of ``evidence_stats`` over an ``evidence_facts`` table: all
     files of all patterns are counted, however many a pattern has."""

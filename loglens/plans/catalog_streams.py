@@ -14,7 +14,7 @@ from ..sources import files as FS
 from ..sources import fixtures as FX
 from ..streaming import queries as ST
 from . import oracle as O
-from .catalog import GREP_ANY, joined, register
+from .catalog import GREP_ANY, _ev_template_sql, joined, register
 from .catalog_gc import GC_BY_EXEC_SQL
 from .oracle import q
 
@@ -154,6 +154,22 @@ def stream_evidence(spark, sf):
                      "pattern", "count")
 
 
+@register("stream_evidence_map", _ev_template_sql(True) + f""",
+every AS (
+  SELECT * FROM facts WHERE f <> 'sample' AND v IS NOT NULL AND v <> '' AND f <> 'file'
+  UNION ALL SELECT pattern, '_n', '', path, line_no, 0 FROM keyed
+  UNION ALL SELECT pattern, 'file', {O.executor('path')}, path, line_no, 0 FROM keyed)
+SELECT pattern, CASE f WHEN 'ts' THEN 'timestamps' WHEN 'file' THEN 'files' WHEN 'var' THEN 'variables' ELSE 'lines' END field,
+       v "value", CAST(count(*) AS BIGINT) n FROM every GROUP BY pattern, f, v""")
+def stream_evidence_map(spark, sf):
+    # one file for each executor, one file a trigger, compacted after every third
+    root = FS.write_log_tree(FX.log_lines(spark, sf))
+    got = ST.stream_evidence_map(spark, root, max_files_per_trigger=1, compact_every=3).read()
+    file = F.when(F.col("field") == "files", G.executor_from_path(F.col("value"))).otherwise(F.col("value"))
+    return (got.select("pattern", "field", file.alias("value"), "n").groupBy("pattern", "field", "value")
+            .agg(F.sum("n").alias("n")))
+
+
 @register("stream_gc_health", f"""
 SELECT executor_ip, total_events, full_gc_count, young_gc_count, max_duration_ms, avg_duration_ms, max_heap_used_pct,
   max_heap_used_bytes, max_duration_sec, health_status, health_issues

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evidence as E
 from ..operators import gc as GC
 from ..operators.search import grep
 from ..session import checkpoint_dir
+from .state import KeyedState
 
 
 def _dirs(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -34,8 +36,9 @@ def read_log_stream(spark: SparkSession, folder: str,
     r = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(folder).select(F.col("_metadata.file_path").alias("path"),
-                                 F.col("value").alias("line_text"))
+    # file metadata gives paths percent-encoded and with a scheme; a batch scan gives them plain
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return r.load(folder).select(F.regexp_replace(path, "^file:/+", "/").alias("path"), F.col("value").alias("line_text"))
 
 
 def _run(stream: DataFrame, name: str, output_mode: str = "append",
@@ -90,6 +93,32 @@ def stream_evidence(spark: SparkSession, folder: str, window: str = "1 day",
             .agg(F.sum("count").alias("count")))
 
 
+def stream_evidence_map(spark: SparkSession, folder: str, state: str | None = None, strip_prefix: bool = True,
+                        max_files_per_trigger: int | None = None, compact_every: int = 8,
+                        checkpoint: str | None = None) -> KeyedState:
+    """The all-time evidence of a stream: every pattern's count, timestamps, files and variables.
+
+    Each micro-batch's facts (``evidence.evidence_facts``) are added to a keyed state under the batch's id and merged
+    with ``evidence.merge_facts``, so a replayed batch changes nothing and files may arrive in any order.
+    With ``state`` and ``checkpoint`` of an earlier run the stream goes on where it stopped. Lines have
+    no number on a stream, so ``first_line_no`` is null; all else equals a batch run over the same files.
+    """
+    out, chk = _dirs(spark, "evidence-map")
+    shape = spark.createDataFrame([], "path string, line_no bigint, line_text string")
+    table = KeyedState(spark, state or out, E.evidence_facts(shape, strip_prefix=strip_prefix).schema, E.merge_facts)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        lines = batch.withColumn("line_no", F.lit(None).cast("bigint"))
+        table.add(E.evidence_facts(lines, strip_prefix=strip_prefix), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            table.compact()
+
+    q = (read_log_stream(spark, folder, max_files_per_trigger).writeStream.foreachBatch(add)
+         .option("checkpointLocation", checkpoint or chk).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return table
+
+
 def stream_gc_intervals(spark: SparkSession, folder: str,
                         max_files_per_trigger: int | None = None) -> DataFrame:
     """Interval to the previous GC event of the same service, equal to a batch

@@ -96,3 +96,59 @@ def test_gc_health_equals_batch_over_several_triggers(spark):
     want = GC.gc_by_executor(GC.gc_parse(scan_lines(spark, root)))
     assert sorted(got.columns) == sorted(want.columns)
     assert [tuple(r) for r in got.select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
+
+
+def _facts(df):
+    return sorted(((r.pattern, r.field, r.value, r.n, r.first_path.rpartition("/")[2]) for r in df.collect()), key=repr)
+
+
+def test_evidence_map_equals_batch_over_triggers_and_runs(spark):
+    """Files out of order, in several triggers and two runs over one state, compacted in between."""
+    from loglens.operators import evidence as E
+    from loglens.sources.files import scan_lines
+    root, state, chk = (tempfile.mkdtemp(prefix="run-", dir="/tmp") for _ in range(3))
+    now = time.time()
+    lines = [f"24/01/{1 + i % 9:02} 10:00:0{i % 7} ERROR X: task {i}.0 in stage {i % 3}.0 failed" for i in range(60)] + ["", "no level"]
+    names = ["d", "a", "c", "b", "e"]
+    def write(which):
+        for k in which:
+            _write(root, f"service=driver/{names[k]}.log", lines[k * 9:k * 9 + 14], now - 100 + k)
+    write([0, 1, 2])
+    opts = dict(state=state, checkpoint=chk, max_files_per_trigger=1, compact_every=2)
+    first = ST.stream_evidence_map(spark, root, **opts)
+    assert first.version() == 1 and first._numbers("delta") == [0, 1, 2]
+    assert _facts(first.read()) == _facts(E.evidence_facts(scan_lines(spark, root)))
+    write([3, 4])
+    table = ST.stream_evidence_map(spark, root, **opts)
+    want = _facts(E.evidence_facts(scan_lines(spark, root)))
+    assert _facts(table.read()) == want and table.version() == 3
+    # a batch is replayed: one that a version holds, and one that is a delta only
+    late = E.evidence_facts(scan_lines(spark, root + "/service=driver/e.log")).withColumn("first_line_no", _null())
+    for batch in (1, 4):
+        table.add(late, batch)
+        assert _facts(table.read()) == want
+    before = _facts(table.read(2))
+    table.compact()
+    table.tidy(keep=2)
+    assert table._numbers("version") == [3, 4] and table._numbers("delta") == [4]
+    assert _facts(table.read()) == want and len(before) < len(want)
+
+
+def _null():
+    from pyspark.sql import functions as F
+    return F.lit(None).cast("bigint")
+
+
+def test_state_passes_over_writes_that_did_not_end(spark):
+    from loglens.operators import evidence as E
+    from loglens.streaming.state import KeyedState
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    rows = spark.createDataFrame([("p", "lines", "", 2, "f", None)], "pattern string, field string, value string, n bigint, first_path string, first_line_no bigint")
+    table = KeyedState(spark, root, rows.schema, E.merge_facts)
+    assert table.read().collect() == [] and table.compact() == -1
+    table.add(rows, 0)
+    table.add(rows, 1)
+    os.makedirs(f"{root}/version=1")                 # a compaction that was lost on its way
+    os.makedirs(f"{root}/delta/batch=2")
+    assert [r.n for r in table.read().collect()] == [4] and [r.n for r in table.read(0).collect()] == [2]
+    assert table.compact() == 1 and [r.n for r in table.read().collect()] == [4]
