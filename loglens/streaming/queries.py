@@ -10,12 +10,14 @@ time trigger instead.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import text as T
 from ..operators import evidence as E
@@ -119,24 +121,89 @@ def stream_evidence_map(spark: SparkSession, folder: str, state: str | None = No
     return table
 
 
-def stream_gc_intervals(spark: SparkSession, folder: str,
-                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Interval to the previous GC event of the same service, equal to a batch
-    run over the same files.
+_EVENT = "timestamp_s double, event_id bigint, path string, line_no bigint"
+_PLACED = f"service string, slice bigint, {_EVENT}, copy int, interval double"
 
-    The stream parses each new line once and appends its events; the order
-    (range slices, no single task, see :mod:`loglens.operators.ordered`) is
-    laid over all events so far when they are read. An event that arrives
-    after its successor thus changes the successor's interval, and no state
-    has to be carried from batch to batch. ``batch`` is the micro-batch that
-    brought the event.
+
+def _event_order(e: tuple) -> tuple:
+    """Order of events with equal times as in a batch: event id, path, line number; a missing one counts as 0 or empty."""
+    return e[0], e[1] or 0, e[2] or "", e[3] or 0
+
+
+class SliceIntervals(StatefulProcessor):
+    """State of one (service, time slice): its events in order.
+
+    New events are put in their places; what is given out are they and the events right behind them, whose
+    interval they change. The first event of a slice has no interval here.
+    """
+
+    def init(self, handle):
+        self.events = handle.getListState("events", _EVENT)
+
+    def handleInputRows(self, key, rows, timerValues):
+        service, at = key
+        held = [tuple(r) for r in self.events.get()] if self.events.exists() else []
+        fresh = sorted(((r["timestamp_s"], r["event_id"], r["path"], r["line_no"]) for r in rows), key=_event_order)
+        every = sorted(((e, new) for new, events in ((False, held), (True, fresh)) for e in events), key=lambda x: (_event_order(x[0]), x[1]))
+        copies: dict[tuple, int] = {}
+        out, before, moved = [], None, False
+        for e, new in every:
+            copies[e] = copy = copies.get(e, -1) + 1
+            if new or moved:
+                out.append(Row(service=service, slice=at, timestamp_s=e[0], event_id=e[1], path=e[2], line_no=e[3], copy=copy,
+                               interval=None if before is None else e[0] - before))
+            before, moved = e[0], new
+        self.events.put([e for e, _ in every])
+        return iter(out)
+
+    def close(self):
+        pass
+
+
+@contextlib.contextmanager
+def _state_in_rocksdb(spark: SparkSession):
+    """Keyed state of our own needs this store; the session's setting is put back once the stream has started."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+
+
+def stream_gc_intervals(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None,
+                        slice_s: float = 60.0) -> DataFrame:
+    """Interval to the previous GC event of the same service, equal to a batch run over the same files.
+
+    The stream keeps state for each (service, slice of ``slice_s`` seconds), so a service with most of the
+    events is spread over as many tasks as it has slices. A batch gives out its new events with their interval
+    within the slice, and again the events behind them, corrected: an event that comes late costs
+    its slice, no more. Reading takes each event's latest row and, for the first event of a slice, the
+    last time of the service's slice before it: a table of one row for each slice is ordered, the events
+    are not. Events without a readable time have no interval. ``batch`` is the micro-batch that brought the event.
     """
     s = read_log_stream(spark, folder, max_files_per_trigger)
     ev = GC.gc_parse(s.withColumn("line_no", F.lit(None).cast("bigint")))
-    events = spark.read.parquet(_run(ev, "gcint"))
-    return (GC.gc_with_intervals(events)
-            .select(F.coalesce("service", F.lit("_")).alias("service"), "path", "line_no",
-                    "timestamp_s", "interval_prev_service_s", "batch"))
+    slot = F.coalesce(F.floor(F.col("timestamp_s") / F.lit(float(slice_s))), F.lit(-1)).cast("bigint")
+    keyed = ev.select(F.coalesce("service", F.lit("_")).alias("service"), slot.alias("slice"), "timestamp_s", "event_id", "path", "line_no")
+    undated = F.col("timestamp_s").isNull()
+    timed = (keyed.where(~undated).groupBy("service", "slice")
+             .transformWithState(SliceIntervals(), _PLACED, "append", "none"))
+    with _state_in_rocksdb(spark):
+        out = _run(timed, "gcint")
+    rows = spark.read.schema(f"{_PLACED}, batch int").parquet(out)
+    # events without a time need no state
+    plain = spark.read.schema("service string, path string, line_no bigint, batch int").parquet(
+        _run(keyed.where(undated).select("service", "path", "line_no"), "gcundated"))
+    key = ["service", "slice", "timestamp_s", "event_id", "path", "line_no", "copy"]
+    latest = rows.groupBy(*key).agg(F.max_by(F.struct("interval"), "batch").alias("r"), F.min("batch").alias("batch"))
+    ends = latest.groupBy("service", "slice").agg(F.max("timestamp_s").alias("last"))
+    carry = ends.select("service", "slice", F.lag("last").over(Window.partitionBy("service").orderBy("slice")).alias("before"))
+    got = latest.join(carry, ["service", "slice"])
+    interval = F.coalesce(F.col("r.interval"), F.col("timestamp_s") - F.col("before"))
+    return (got.select("service", "path", "line_no", "timestamp_s", interval.alias("interval_prev_service_s"), "batch")
+            .unionByName(plain, allowMissingColumns=True))
 
 
 def stream_gc_health(spark: SparkSession, folder: str,

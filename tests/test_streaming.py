@@ -152,3 +152,27 @@ def test_state_passes_over_writes_that_did_not_end(spark):
     os.makedirs(f"{root}/delta/batch=2")
     assert [r.n for r in table.read().collect()] == [4] and [r.n for r in table.read(0).collect()] == [2]
     assert table.compact() == 1 and [r.n for r in table.read().collect()] == [4]
+
+
+def test_gc_intervals_equal_batch_for_any_order_of_files(spark):
+    """Late events within slices and over their edges, equal times, repeated lines, two services, small and large slices."""
+    import random
+    from loglens.operators import gc as GC
+    from loglens.sources.files import scan_lines
+    rng = random.Random(8)
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    now = time.time()
+    for service in ("a", "b"):
+        times = [rng.choice([rng.uniform(0, 50), rng.randrange(400), 7]) for _ in range(90)]
+        lines = [f"[{t:.3f}s] GC({rng.randrange(5)}) Pause Young 1M->0M(8M) 2ms" for t in times] + ["[7.000s] GC(1) Pause Young 1M->0M(8M) 2ms"] * 3
+        lines.append("[1.2.3s] GC(1) Pause Young 1M->0M(8M) 2ms")
+        rng.shuffle(lines)
+        for k in range(4):
+            _write(root, f"service={service}/{k}.log", lines[k::4], now - 100 + rng.randrange(90))
+    want = GC.gc_with_intervals(GC.gc_parse(scan_lines(spark, root).withColumn("line_no", _null())))
+    key = lambda df: sorted(((r.service, r.path, r.timestamp_s, r.interval_prev_service_s and round(r.interval_prev_service_s, 6)) for r in df.collect()), key=repr)
+    expected = key(want)
+    assert len(expected) == 188
+    for slice_s, files in ((60.0, 1), (5.0, 3), (1000.0, None)):
+        assert key(ST.stream_gc_intervals(spark, root, max_files_per_trigger=files, slice_s=slice_s)) == expected
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
