@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gcparse as G
 from ..operators import gc as GC
+from ..session import stored
 from ..sources import fixtures as FX
 from . import oracle as O
 from .catalog import joined, register
@@ -101,13 +102,30 @@ def gc_stats(spark, sf):
 
 @register("gc_pause_percentiles", GC_STATS_SQL + "\nSELECT p50_pause_ms, p95_pause_ms, p99_pause_ms FROM st2")
 def gc_pause_percentiles(spark, sf):
-    # rank-based exact percentiles (scale path); gc_stats uses `percentile`
     return GC.gc_pause_percentiles(events(spark, sf))
 
 
 @register("gc_rate", GC_STATS_SQL + "\nSELECT observed_span_s, events_per_min FROM st2")
 def gc_rate(spark, sf):
-    return GC.gc_stats(events(spark, sf)).select("observed_span_s", "events_per_min")
+    return GC.gc_stats(events(spark, sf), percentiles=False).select("observed_span_s", "events_per_min")
+
+
+@register("gc_pause_sketch", GE + f"""
+SELECT coalesce({O.executor('path')}, '') executor_ip, count(*) n, true p50_near, true p95_near, true p99_near
+FROM gev WHERE stw AND duration_ms >= 0 GROUP BY ALL""")
+def gc_pause_sketch(spark, sf):
+    """Hourly sketches, kept and merged for each executor; are the true ranks of their quantiles within the stated error?"""
+    ps = (0.5, 0.95, 0.99)
+    ev = events(spark, sf)
+    sketches = stored(GC.gc_pause_sketches(ev, k=800))
+    got = stored(GC.sketch_quantiles(GC.merge_sketches(sketches, "executor_ip"), ps))
+    pauses = ev.where("stw AND duration_ms >= 0").select(G.executor_from_path(F.col("path")).alias("executor_ip"), "duration_ms")
+    err = GC.sketch_rank_error(200)
+    def near(p):
+        q = F.col(f"p{round(p * 100)}")
+        below, upto = F.count_if(F.col("duration_ms") < q), F.count_if(F.col("duration_ms") <= q)
+        return ((below <= (p + err) * F.count("*")) & (upto >= (p - err) * F.count("*"))).alias(f"p{round(p * 100)}_near")
+    return pauses.join(got, "executor_ip").groupBy("executor_ip", "n").agg(*map(near, ps))
 
 
 GC_BY_EXEC_SQL = GE + f""",

@@ -168,7 +168,7 @@ def markdown_inline(spark, sf):
 _S = O.strip("line_text")
 
 
-@register("markdown_blocks", "WITH " + O.DOC_LINES + f""",
+_BLOCKS_SQL = f"""
 m AS (SELECT *, starts_with({_S}, '```') fence FROM dl),
 m2 AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 in_code FROM m),
 m3 AS (SELECT *, CASE WHEN fence THEN 'fence' WHEN in_code THEN 'code' WHEN starts_with(line_text, '# ') THEN 'h1'
@@ -180,12 +180,25 @@ SELECT path, line_no, block_type,
     WHEN 'list_item' THEN {_inline_sql(f'substr({_S}, 3)')} WHEN 'paragraph' THEN {_inline_sql('line_text')}
     WHEN 'code' THEN line_text END text,
   CASE WHEN block_type = 'list_item' THEN sum((block_type IN ('paragraph', 'blank'))::INT) OVER (PARTITION BY path ORDER BY line_no) END list_id
-FROM m3""")
+FROM m3"""
+
+
+@register("markdown_blocks", "WITH " + O.DOC_LINES + "," + _BLOCKS_SQL)
 def markdown_blocks(spark, sf):
     b = M.blocks(FX.doc_lines(spark, sf), doc_col="path")
     return b.select("path", "line_no", "block_type", "text", F.col("list_id").cast("bigint").alias("list_id"))
 
 
+@register("markdown_blocks_marked", "WITH " + O.LOG_LINES + """,
+dl AS (SELECT path, line_no, CASE line_no % 12 WHEN 0 THEN '# ' || line_text WHEN 1 THEN '## ' || line_text WHEN 2 THEN '### ' || line_text
+  WHEN 3 THEN ' - ' || line_text WHEN 4 THEN '* `' || line_text || '` **' || line_no || '**' WHEN 5 THEN '  '
+  WHEN 6 THEN CASE WHEN line_no % 36 = 6 THEN ' ```' ELSE line_text END ELSE '- ' || line_text END line_text FROM ll),""" + _BLOCKS_SQL)
+def markdown_blocks_marked(spark, sf):
+    # a document for each log file: it lies across many slices, with its code and lists
+    b = M.blocks(FX.marked_lines(spark, sf), doc_col="path", slices=16)
+    return b.select("path", "line_no", "block_type", "text", F.col("list_id").cast("bigint").alias("list_id"))
+
+
 ORACLE_REPORT_CASE = "WITH " + O.CASES + f""",
 cg AS (SELECT case_id, critic_approve, {O.strip("coalesce(critic_reasons, '')")} reasons,
         greatest(0.0, least(1.0, coalesce(confidence, 0.5) + greatest(-0.25, least(0.25, coalesce(critic_adjust, 0.0))))) conf

@@ -231,3 +231,46 @@ def learnt_rules(spark, sf_dir: str) -> DataFrame:
     pairs = lag_in_order(slice_by_order(e, [F.col("event_id")]), "user_id", "before").where("before <> user_id AND before % 3 > 0")
     name = lambda c: F.concat(F.lit("user "), _s(F.col(c)))
     return pairs.select(name("before").alias("symptom"), name("user_id").alias("cause"), F.lit("ERROR").alias("keyword")).distinct()
+
+
+# FIXED VALUES: the agents and scenarios of the runs, and what the scenarios expect.
+RUN_AGENTS = ["parser", "analyzer", "reasoning", "critic", "supervisor"]
+RUN_SCENARIOS = ["valid_search", "input_error", "oom_investigation", "anything"]
+RUN_EXPECTATIONS = [("valid_search", "has_evidence_map"), ("valid_search", "has_summary"), ("input_error", "has_error"),
+                    ("oom_investigation", "has_evidence_map"), ("oom_investigation", "has_error")]
+
+
+def _run_id() -> Column:
+    return F.concat(_s(F.col("user_id")), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
+
+
+def runs(spark, sf_dir: str) -> DataFrame:
+    """(run_id, agent, scenario, started_at, ended_at, transitions, success, summary): a user's day of events is a run."""
+    e = table(spark, sf_dir, "events")
+    of = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("user_id") % len(names) + 1).cast("int"))
+    return e.groupBy(_run_id().alias("run_id"), of(RUN_AGENTS).alias("agent"), of(RUN_SCENARIOS).alias("scenario")).agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("transitions"), F.lit(True).alias("success"),
+        F.max(F.when(F.col("event_type") == "purchase", F.lit("bought"))).alias("summary"))
+
+
+def run_evidence(spark, sf_dir: str) -> DataFrame:
+    """(run_id, pattern, count): class evidence of the runs' log lines."""
+    from ..functions.text import class_labels
+    e = table(spark, sf_dir, "events").select("event_id", _run_id().alias("run_id"))
+    lines = log_lines(spark, sf_dir).join(e, F.col("line_no") == F.col("event_id"))
+    return (lines.select("run_id", F.explode(class_labels("line_text")).alias("pattern"))
+            .groupBy("run_id", "pattern").agg(F.count("*").alias("count")))
+
+
+def run_expectations(spark) -> DataFrame:
+    return spark.createDataFrame(RUN_EXPECTATIONS, "scenario string, expected string")
+
+
+def marked_lines(spark, sf_dir: str) -> DataFrame:
+    """Log lines with markdown marks by their number: headers, lists, blank lines and code fences."""
+    n, text = F.col("line_no"), F.col("line_text")
+    body = F.when(n % 12 == 3, F.concat(F.lit(" - "), text)).when(n % 12 == 5, "  ").when((n % 12 == 6) & (n % 36 == 6), " ```").when(n % 12 == 6, text)
+    for k, mark in enumerate(("# ", "## ", "### ")):
+        body = body.when(n % 12 == k, F.concat(F.lit(mark), text))
+    body = body.when(n % 12 == 4, F.concat(F.lit("* `"), text, F.lit("` **"), _s(n), F.lit("**")))
+    return log_lines(spark, sf_dir).select("path", "line_no", body.otherwise(F.concat(F.lit("- "), text)).alias("line_text"))
