@@ -133,6 +133,15 @@ CRITIC_LOW_DEFAULT = ("Confidence is too low (< 0.6). Please gather more "
 CRITIC_LOW_PREFIX = "Confidence too low ({:.2f}). "
 INPUT_ERROR_PROBLEM = ("System Configuration Error: Unable to perform analysis due to "
                        "missing or invalid inputs.")
+INPUT_ERROR_MITIGATION = ("1. Verify that 'logs_path' is provided in the initial state\n"
+                          "2. Ensure logs_path points to a valid Unity Catalog volume path\n"
+                          "3. Check that the path is accessible and contains Spark log files\n"
+                          "4. Re-run the analysis with correct configuration")
+NO_LOGS_PATH_SAMPLE = "[CRITICAL ERROR] No logs path provided in the initial state."
+NO_KEYWORDS_SAMPLE = "[ERROR] No keywords provided for search. Path: "
+PROBLEM_UNSPECIFIED = "Problem: (unspecified)"
+RCA_UNSPECIFIED = "RCA: (unspecified)"
+MITIGATION_UNSPECIFIED = "Mitigation: (unspecified)"
 NO_LOGS_PATH_KEY = "CRITICAL_ERROR_NO_LOGS_PATH"
 NO_KEYWORDS_KEY = "error_no_keywords"
 KEYWORD_CAP = 15

@@ -131,6 +131,38 @@ def input_errors(cases: DataFrame, evidence: DataFrame) -> DataFrame:
         F.when(F.col("has_input_error"), F.lit(0.0)).alias("confidence"))
 
 
+def diagnostic_draft(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The draft of cases that cannot be analysed: (case_id, problem, rca, mitigation, confidence).
+
+    A case gets one if a key of its evidence, or of what its input lacks, marks unusable input. ``rca`` holds each such
+    key's first sample line, in the order of the keys; ``evidence`` has (case_id, pattern) and
+    may have ``sample``.
+    """
+    path = G.py_strip(F.coalesce(F.col("logs_path"), F.lit("")))
+    no_keywords = F.concat(F.lit(P.NO_KEYWORDS_SAMPLE), F.coalesce(F.col("logs_path"), F.lit("")))
+    missing = cases.select("case_id", F.explode(F.array_compact(F.array(
+        F.when(path == "", F.struct(F.lit(P.NO_LOGS_PATH_KEY).alias("pattern"), F.lit(P.NO_LOGS_PATH_SAMPLE).alias("sample"))),
+        F.when((path != "") & (F.size(F.coalesce(F.col("keywords"), F.array())) == 0),
+               F.struct(F.lit(P.NO_KEYWORDS_KEY).alias("pattern"), no_keywords.alias("sample")))))).alias("x")).select("case_id", "x.*")
+    held = evidence.select("case_id", "pattern", (F.col("sample") if "sample" in evidence.columns else F.lit("")).alias("sample"))
+    bad = F.lit(False)
+    for m in P.FATAL_INPUT_MARKERS:
+        bad = bad | F.col("pattern").contains(m)
+    keys = held.unionByName(missing).where(bad).groupBy("case_id", "pattern").agg(F.min("sample").alias("sample"))
+    # the keys that mark unusable input are few by their kind: one of each for a case
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("sample") != "", F.struct("pattern", "sample")))),
+                                    lambda x: x["sample"]), "\n\n")
+    return keys.groupBy("case_id").agg(text.alias("_t")).select(
+        "case_id", F.lit(P.INPUT_ERROR_PROBLEM).alias("problem"), F.concat(F.lit("Root Cause: "), "_t").alias("rca"),
+        F.lit(P.INPUT_ERROR_MITIGATION).alias("mitigation"), F.lit(0.0).alias("confidence"))
+
+
+def hypotheses_union(cases: DataFrame, held: str = "hypotheses", fresh: str = "suggested_hypotheses") -> DataFrame:
+    """Hypotheses held, then the new ones: trimmed, empty ones dropped, each once in its first spelling."""
+    empty = F.array().cast("array<string>")
+    return cases.select("case_id", dedupe_keep_order(F.concat(F.coalesce(held, empty), F.coalesce(fresh, empty))).alias("hypotheses"))
+
+
 def needs_gc(cases: DataFrame) -> DataFrame:
     """Memory suspects: a held or suggested keyword names GC, heap, memory,
     OOM or pause."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gcparse as G
+from ..functions import patterns as P
 from ..functions import text as T
 from . import gc as GC
 
@@ -189,6 +190,55 @@ def report_case(cases: DataFrame, critic: DataFrame, action: DataFrame,
         F.coalesce("evidence_occurrences", F.lit(0)).cast("bigint").alias("evidence_occurrences"))
 
 
+def case_record(cases: DataFrame, critic: DataFrame, action: DataFrame, keywords: DataFrame, hypotheses: DataFrame,
+                drafts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The whole record of a case: its draft (problem, rca, mitigation), confidence, iterations, critic's verdict,
+    next action, keywords, hypotheses and evidence rows.
+
+    A diagnostic draft (``cases.diagnostic_draft``) takes the place of the case's own; empty texts say that they are unspecified. ``evidence_map``
+    holds (pattern, count) by count: a case's evidence by class, so nine rows at most.
+    """
+    ev = (evidence.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "pattern"))).alias("e"))
+          .select("case_id", F.transform("e", lambda x: F.struct(x["pattern"].alias("pattern"), (-x["n"]).alias("count"))).alias("evidence_map")))
+    own = cases.select("case_id", *[F.col(c).alias(f"own_{c}") for c in ("problem", "rca", "mitigation")])
+    diag = drafts.select("case_id", F.lit(True).alias("diag"), *[F.col(c).alias(f"diag_{c}") for c in ("problem", "rca", "mitigation", "confidence")])
+    x = own
+    for part in (critic, action, keywords.select("case_id", "keywords"), hypotheses):
+        x = x.join(part, "case_id")
+    x = x.join(diag, "case_id", "left").join(ev, "case_id", "left")
+
+    def text(name, missing):
+        mine = F.trim(F.coalesce(f"own_{name}", F.lit("")))
+        return F.when(F.col("diag"), F.col(f"diag_{name}")).when(mine != "", mine).otherwise(F.lit(missing)).alias(name)
+    none = F.array().cast("array<struct<pattern:string,count:bigint>>")
+    return x.select("case_id", text("problem", P.PROBLEM_UNSPECIFIED), text("rca", P.RCA_UNSPECIFIED), text("mitigation", P.MITIGATION_UNSPECIFIED),
+                    F.coalesce("diag_confidence", "confidence").alias("confidence"), F.col("new_iteration").alias("iterations"),
+                    "critic_approved", "critique", "next_action", "keywords", "hypotheses", F.coalesce("evidence_map", none).alias("evidence_map"))
+
+
+def search_payload(ev: DataFrame) -> DataFrame:
+    """The search tool's combined record, one row: total_matches, patterns_found, evidence_map, evidence_summary.
+
+    ``ev`` is the class-keyed map, nine rows at most; patterns by count (ties by name). The summary is the tool's text:
+    a heading, and for each pattern its count and files, time range, five variables and first sample.
+    """
+    r = report_evidence_class(ev).select("pos", "pattern", "files", "time_range", "variables", "sample")
+    part = F.concat(F.lit("\n\n**"), "pattern", F.lit("**: "), F.col("count").cast("string"), F.lit(" occurrences across "),
+                    F.col("n").cast("string"), F.lit(" files"),
+                    F.coalesce(F.concat(F.lit("\n  - Time range: "), "time_range"), F.lit("")),
+                    F.coalesce(F.concat(F.lit("\n  - Variables: "), "shown"), F.lit("")),
+                    F.coalesce(F.concat(F.lit("\n  - Sample: `"), "sample", F.lit("`")), F.lit("")))
+    entry = F.struct("pattern", "count", "timestamps", "files", "sample_lines", "variables").alias("entry")
+    x = (ev.select("pattern", "count", entry).join(r.select("pos", "pattern", F.col("files").alias("n"), "time_range",
+                                                                F.col("variables").alias("shown"), "sample"), "pattern")
+         .select("count", F.struct("pos", "entry", part.alias("text")).alias("s")))
+    a = x.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("total_matches"), F.array_sort(F.collect_list("s")).alias("all"))
+    text = F.when(F.size("all") > 0, F.concat(F.lit("**Evidence Summary:**\n"), F.array_join(F.transform("all", lambda s: s["text"]), "")))
+    return a.select("total_matches", F.transform("all", lambda s: s["entry"]["pattern"]).alias("patterns_found"),
+                    F.transform("all", lambda s: s["entry"]).alias("evidence_map"),
+                    F.coalesce(text, F.lit("No evidence collected")).alias("evidence_summary"))
+
+
 # FIXED VALUES: markdown headers of the GC tables, and their empty-table notes
 DRIVER_TABLE_HEADER = ("**Driver GC Events**\n\n"
                        "| Timestamp | GC Type | Duration | Before GC | After GC | Reclaimed | Heap % Used |\n"

@@ -6,3 +6,4 @@ from . import catalog_cases  # noqa: F401
 from . import catalog_reports  # noqa: F401
 from . import catalog_streams  # noqa: F401
 from . import catalog_misc  # noqa: F401
+from . import catalog_edges  # noqa: F401

@@ -274,3 +274,55 @@ def marked_lines(spark, sf_dir: str) -> DataFrame:
         body = body.when(n % 12 == k, F.concat(F.lit(mark), text))
     body = body.when(n % 12 == 4, F.concat(F.lit("* `"), text, F.lit("` **"), _s(n), F.lit("**")))
     return log_lines(spark, sf_dir).select("path", "line_no", body.otherwise(F.concat(F.lit("- "), text)).alias("line_text"))
+
+
+def edge_cases(spark, sf_dir: str) -> DataFrame:
+    """The cases with inputs, claims and keywords of every kind that the rules tell apart, by case_id.
+
+    Adds ``keywords``, ``problem``, ``mitigation``, ``hypotheses`` and ``suggested_hypotheses``.
+    """
+    n = F.col("case_id")
+    strings = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    existing = (F.when(n % 5 == 0, F.concat("existing", strings("GC overhead"))).when(n % 5 == 1, F.concat("existing", strings("Out of MEMORY")))
+                .when(n % 5 == 2, F.concat("existing", strings("ERROR", "exception", "Executor lost", "OutOfMemoryError", "GC overhead", "Container exited"), "suggested"))
+                .otherwise(F.col("existing")))
+    claims = (F.when(n % 6 == 0, "").when(n % 6 == 1, "[PROVEN] a. [INFERRED] b. [INFERRED] c.").when(n % 6 == 2, "[INFERRED] x.")
+              .when(n % 6 == 3, F.repeat(F.lit("[PROVEN] p. "), (n % 8).cast("int"))).otherwise(F.col("rca")))
+    keys = (F.when(n % 4 == 0, strings("Disk_full", "No_such_key")).when(n % 4 == 1, strings()).otherwise(F.col("key_evidence")))
+    return cases(spark, sf_dir).withColumns({
+        "logs_path": F.when(n % 7 == 0, "  ").otherwise(F.concat(F.lit("/Volumes/logs/case-"), _s(n))),
+        "keywords": F.when(n % 3 == 0, strings()).otherwise(F.col("existing")),
+        "suggested": F.when(n % 5 == 3, strings()).otherwise(F.col("suggested")), "existing": existing, "rca": claims, "key_evidence": keys,
+        "problem": F.when(n % 2 == 0, "").otherwise(F.concat(F.lit(" Problem of case "), _s(n))),
+        "mitigation": F.when(n % 8 == 1, F.lit(None).cast("string")).otherwise("Raise the limit."),
+        "hypotheses": F.when(n % 4 == 0, F.lit(None).cast("array<string>")).otherwise(strings("Heap too small", " skew ", "")),
+        "suggested_hypotheses": F.when(n % 3 == 0, strings("SKEW", "Spot loss")).otherwise(F.col("suggested"))})
+
+
+def edge_evidence(spark, sf_dir: str) -> DataFrame:
+    """The cases' class evidence, and for every eleventh case a key that marks unusable input, with a sample line."""
+    ev = case_evidence(spark, sf_dir).select("case_id", "pattern", "count")
+    ids = cases(spark, sf_dir).where("case_id % 11 = 0").select("case_id")
+    bad = ids.select("case_id", F.lit("CRITICAL_ERROR_TOOL").alias("pattern"), F.lit(1).cast("bigint").alias("count"),
+                     F.concat(F.lit("The tool failed for case "), _s(F.col("case_id"))).alias("sample"))
+    return ev.withColumn("sample", F.lit("")).unionByName(bad)
+
+
+def gc_edge_lines(spark, sf_dir: str) -> DataFrame:
+    """GC lines of one executor for each user: few or many full collections, short and long pauses, low and high heap,
+    the words ``Full GC``, sizes in all units, durations in s and ms."""
+    b = event_base(spark, sf_dir)
+    v, uid, eid, et = F.col("v"), F.col("user_id"), F.col("event_id"), F.col("event_type")
+    path = F.concat(F.lit("/Volumes/logs/service=executor/executor-10."), _s(F.floor(uid / 60000)), F.lit("."),
+                    _s(F.floor(uid / 250) % 240), F.lit("."), _s(uid % 250), F.lit(".log"))
+    full = (et == "error") & ((uid % 3 > 0) | (v % 4 == 0))
+    desc = (F.when(full & (uid % 2 == 0), F.lit("Pause Full (Full GC) ")).when(full, F.lit("Pause Full (System.gc()) "))
+            .when(et == "signup", F.lit("Pause Remark ")).when(et == "purchase", F.lit("Pause Cleanup "))
+            .when((et == "view") & (v % 2 == 0), F.lit("Concurrent Mark Cycle ")).when(et == "view", F.lit("Something else entirely, named at length "))
+            .otherwise(F.lit("Pause Young (Normal) (G1 Evacuation Pause) ")))
+    mem = (F.when(uid % 5 == 0, F.lit("500M->480M(512M) ")).when(uid % 5 == 1, F.lit("90000K->30000K(524288K) "))
+           .when(uid % 5 == 2, F.lit("1.5G->0.5G(2G) ")).otherwise(F.concat(_s(100 + v % 400), F.lit("M->"), _s(v % 200), F.lit("M(512M) "))))
+    took = (F.when(uid % 4 == 0, F.concat(_s(v % 2000), F.lit(".5ms"))).when(uid % 4 == 1, F.concat(F.lit("0."), F.lpad(_s(v % 900), 3, "0"), F.lit("s")))
+            .otherwise(F.concat(_s(v % 900), F.lit("ms"))))
+    line = F.concat(F.lit("["), _s(eid), F.lit(".5s][info][gc] GC("), _s(eid), F.lit(") "), desc, mem, took)
+    return b.select(path.alias("path"), eid.alias("line_no"), line.alias("line_text"))
