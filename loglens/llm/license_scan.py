@@ -17,6 +17,7 @@ through; those named like a result give way. Texts are worked off whole, slice b
 from __future__ import annotations
 
 import bisect
+import heapq
 from dataclasses import dataclass
 
 import ahocorasick
@@ -94,35 +95,44 @@ class Scanner:
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, edits) of notices met within their edits, around exact pieces only."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for i, at in where:
                 n = self.notices[i]
                 start = end - size + 1 - at
-                windows.setdefault(i, []).append((start - n.edits, start + len(n.phrase) + n.edits))
-        out = []
-        for i, ranges in windows.items():
-            n, merged = self.notices[i], []
-            for a, b in sorted(ranges):
-                if merged and a <= merged[-1][1] + 1:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
                 # One character more on either side, as matches are bounded by blanks.
-                for m in self._matches(i, text, max(0, a - 1), min(len(text), b + 1)):
-                    out.append((m.start(), m.end(), n.label, sum(m.fuzzy_counts)))
-        return out
+                windows.setdefault(i, set()).add((max(0, start - n.edits - 1), min(len(text), start + len(n.phrase) + n.edits + 1)))
+        return [(m.start(), m.end(), self.notices[i].label, sum(m.fuzzy_counts)) for i, w in windows.items() for m in self._matches(i, text, w)]
 
-    def _matches(self, i: int, text: str, start: int, end: int):
-        """Matches of a notice that do not overlap: the best of the range, then those in front of and behind it."""
+    def _matches(self, i: int, text: str, windows):
+        """Matches of a notice that do not overlap, those of fewest edits first.
+
+        Each window, little longer than the notice, is searched by itself; one whose match overlaps a better one is
+        searched again in what that leaves of it. So the work grows with the number of windows.
+        """
         least = len(self.notices[i].phrase) - self.notices[i].edits
-        parts = [(start, end)]
-        while parts:
-            a, b = parts.pop()
+        queue, starts, taken = [], [], {}
+
+        def look(a, b):
             if b - a >= least and (m := self.patterns[i].search(text, a, b)):
+                heapq.heappush(queue, (sum(m.fuzzy_counts), m.start(), m.end(), a, b, m))
+
+        for a, b in windows:
+            look(a, b)
+        while queue:
+            _, start, end, a, b, m = heapq.heappop(queue)
+            at = bisect.bisect_right(starts, start)
+            near = [starts[j] for j in (at - 1, at) if 0 <= j < len(starts) and starts[j] < end and taken[starts[j]] > start]
+            if not near:
+                starts.insert(at, start)
+                taken[start] = end
                 yield m
-                parts += [(a, m.start()), (m.end(), b)]
+                continue
+            x, y = min(near), max(taken[s] for s in near)
+            look(a, min(b, max(a, x)))
+            look(max(a, min(b, y)), b)
+            if len(near) > 1:
+                look(taken[x], max(near))
 
 
 def scan_text(scanner: Scanner, norm: bytes) -> dict:

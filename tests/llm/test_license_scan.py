@@ -73,3 +73,25 @@ def test_neighbouring_notices_all_give_spans(docs):
 
 def test_empty_table(docs):
     assert S.scan(docs([])).collect() == []
+
+
+def test_megabytes_of_notices_take_seconds(docs):
+    """The work grows with the notices, not with their square."""
+    import time
+    scanner = S.Scanner(S.BASE, S.NOTICES)
+    took = []
+    for n in (2_000, 8_000):
+        t = time.process_time()
+        got = S.scan_text(scanner, b"mit licens " * n + b"x")
+        took.append(time.process_time() - t)
+        assert sum(s["label"] == "mit" for s in got["spans"]) == n
+    assert took[1] < 12 * took[0] + 1
+    rows = [(1, "mit licens mit licence mit license " * 30_000), (2, "apache licence " * 70_000)]
+    t = time.time()
+    got = {r.doc_id: r for r in S.scan(docs(rows), keep=["doc_id"]).collect()}
+    assert time.time() - t < 90 and len(got[1].spans) >= 90_000 and got[1].n_base == 30_000 and len(got[2].spans) >= 70_000
+
+
+def test_columns_that_clash_are_made_anew(docs):
+    r = S.scan(docs([(1, "MIT License"), (None, None)])).collect()
+    assert {(x.doc_id, x.n_words, tuple(x.labels), x.h1) for x in r} == {(1, 2, ("mit",), "x"), (None, 0, (), "x")}
