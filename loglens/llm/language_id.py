@@ -36,7 +36,6 @@ SWITCH = 14.0
 MIN_SCRIPT = 0.01
 WORDS = 1_000_000
 UND = "und"
-_TOP = 0x20000             # code points above are letters of the Han script (or of none)
 # First code points of Unicode's script blocks.
 _SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"),
             (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"),
@@ -46,36 +45,36 @@ _SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530,
             (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "other"),
             (0x3400, "han"), (0xA000, "other"), (0xA720, "latin"), (0xA800, "other"),
             (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"),
-            (0xFB13, "other"), (0x1F000, "other")]
+            (0xFB13, "other"), (0x20000, "han"), (0x40000, "other")]
 SCRIPT_NAMES = sorted({n for _, n in _SCRIPTS})
 
 
 @cache
 def _tables():
-    """lower[c]: the lower-case letter, 0 if c is no letter; script[c]: index of its script."""
-    lower = np.zeros(_TOP + 1, np.uint32)
-    for c in range(_TOP):
-        ch = chr(c)
-        if unicodedata.category(ch)[0] in "LM":
-            low = ch.lower()
+    """For every code point: its lower case, 0 if it can't stand in a word; whether it is a letter; its script.
+
+    Words hold letters (category L, in all planes) and marks (M), as many scripts write vowels as marks.
+    """
+    lower, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            low = chr(c).lower()
             lower[c] = ord(low) if len(low) == 1 else c
-    lower[_TOP] = _TOP
+            letter[c] = kind == "L"
     starts = np.array([s for s, _ in _SCRIPTS])
     ids = np.array([SCRIPT_NAMES.index(n) for _, n in _SCRIPTS], np.uint8)
-    script = ids[np.searchsorted(starts, np.arange(_TOP + 1), "right") - 1]
-    script[_TOP] = SCRIPT_NAMES.index("han")
-    return lower, script
+    return lower, letter, ids[np.searchsorted(starts, np.arange(0x110000), "right") - 1]
 
 
 class Letters:
-    """Words (runs of letters) of a batch of texts, and their hashed n-grams."""
+    """Words (runs of letters and marks that hold a letter) of a batch of texts, and their hashed n-grams."""
 
     def __init__(self, texts: list[str]):
-        lower, script = _tables()
+        lower, letter, script = _tables()
         sizes = np.array([len(t) for t in texts], np.int64)
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         self.offs = np.concatenate([[0], np.cumsum(sizes)])
-        codes = np.minimum(codes, _TOP)
         x = lower[codes]
         mask = x > 0
         begins, ends = mask.copy(), mask.copy()
@@ -85,6 +84,13 @@ class Letters:
         at, last = self.offs[:-1][full], self.offs[1:][full] - 1
         begins[at], ends[last] = mask[at], mask[last]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        so_far = np.concatenate([[0], np.cumsum(letter[codes])])
+        if (bare := so_far[self.start] == so_far[self.end]).any():       # marks alone are no word
+            edge = np.zeros(len(mask) + 1, np.int8)
+            edge[self.start[bare]] += 1
+            edge[self.end[bare]] -= 1
+            mask &= np.cumsum(edge[:-1]) == 0
+            self.start, self.end = self.start[~bare], self.end[~bare]
         self.first = np.searchsorted(self.start, self.offs)
         self.script = script[codes[self.start]]
         # Letter sequence of all words, each followed by one 0.

@@ -74,3 +74,15 @@ def test_viterbi_equals_all_paths(n, k, seed):
         part = e[a:b]
         best = max(value(p, part) for p in itertools.product(range(k), repeat=b - a))
         assert value(path[a:b].tolist(), part) == best
+
+
+def test_texts_without_a_letter_are_undetermined(spark, docs):
+    """Marks alone, private use and tags are no letters, in any plane; marks within words are kept."""
+    model = trained(spark)
+    none = ["\u0301\u0301", "\U000F0000", "\U000E0041\U000E0042", "1 \u0301 2 \u20dd", "\U0001F600", "\u0301 " * 5000]
+    some = ["\u0301 the of and", "\U00020000\U00030001", "e\u0301t\u0301 le la", "नमस्ते दुनिया"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.labelled(docs(list(enumerate(none + some))), model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(len(none)))
+    assert all(got[i][0] != "und" for i in range(len(none), len(none + some)))
+    w = L.Letters(["\u0301 a\u0301b", "", "\u0301", "c"])
+    assert w.first.tolist() == [0, 1, 1, 1, 2] and (w.end - w.start).tolist() == [3, 1]
