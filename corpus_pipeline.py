@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loglens.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
 from loglens.llm.common import bounded_batches, small_side, stored, table
+from loglens.llm.skew import left_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose main language holds less of its letters than this is rejected.
@@ -35,17 +36,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the smallest id stays; of rows that share that id the first by content."""
+    """Of near duplicates the one of the smallest id stays (rows without an id come last).
+
+    What links are texts, so a row is known by the hash of its id and text: rows that share an id or have none are
+    each judged by their own text, and of rows equal in both one stays.
+    """
     docs = docs.select(*COLUMNS)
-    groups = stored(jaccard_join.near_duplicate_groups(docs))
-    gone = stored(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    again = stored(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    kept = docs.join(small_side(gone, 16), "doc_id", "left_anti")
+    known = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", "text", known.alias("row"))
+    groups = stored(jaccard_join.near_duplicate_groups(keyed.select("row", "text"), doc="row"))
+    ids = groups.select("row", F.col("component_id").alias("component")).join(keyed.select("row", "doc_id").distinct(), "row").distinct()
+    ids = stored(ids)
+    stays = stored(ids.groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
+                                                F.count("*").alias("n")).filter("n > 1"))
+    gone = left_join(ids, stays, "component", "n", ids.count(), "row").filter("row <> first").select("row")
+    gone = stored(gone.distinct())
+    again = stored(groups.groupBy("row").count().filter("count > 1").select("row"))
+    kept = docs.withColumn("row", known).join(small_side(gone, 16), "row", "left_anti")
     if again.isEmpty():
         return kept.select(*COLUMNS)
-    once = (kept.join(small_side(again, 16), "doc_id", "left_semi")
-            .groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("first")).select("doc_id", "first.*"))
-    return kept.join(small_side(again, 16), "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    once = (kept.join(small_side(again, 16), "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("first"))
+            .select("first.*"))
+    return kept.join(small_side(again, 16), "row", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

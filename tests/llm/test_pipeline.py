@@ -15,7 +15,11 @@ def test_stages_bear_awkward_rows_and_empty_tables(spark, docs):
             df.count()
 
 
-def test_one_row_stays_of_rows_that_share_an_id(spark, docs):
-    rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (6, "A b c d e f g"), (7, "unrelated words stand here alone today")]
+def test_only_equal_or_linked_texts_go(spark, docs):
+    """Rows that share an id or have none are judged by their texts."""
+    one, far = "a b c d e f g", "unrelated words stand here alone today"
+    rows = [(5, one), (5, one), (5, "h i j k l m n"), (6, "A b c d e f g"), (7, far), (3, "h i j k  l m n"), (None, one), (None, "no id o p q r s"),
+            (None, "no id o p q r s"), (None, None), (8, ""), (8, ""), (9, "")]
     got = P.one_of_each_group(spark, docs(rows), SF).collect()
-    assert sorted((r.doc_id, r.text) for r in got) == [(5, "a b c d e f g"), (7, "unrelated words stand here alone today")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(
+        [(3, "h i j k  l m n"), (5, one), (7, far), (None, "no id o p q r s"), (None, None), (8, ""), (9, "")], key=repr)
