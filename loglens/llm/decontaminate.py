@@ -1,14 +1,16 @@
 """Benchmark decontamination: broadcast hash set of normalised test n-grams.
 
 A window is ``n`` consecutive words of a benchmark item; an item of fewer words, but not
-none, is one window of its own length. The windows' hashes go to every task. A task hashes
-all word windows of its texts, looks them up, and compares the words of each hit with the
-window's own before it counts.
+none, is one window of its own length. Tasks cut the items into windows, which are written
+as a table (hash, item, words). It goes to every task as sorted hashes beside one buffer of
+words. A task hashes all word windows of its texts, looks them up, and compares the words of
+each hit with the window's own before it counts.
 
-Size of what is broadcast: the benchmark's bytes are summed first. Items are dealt to as
-many blocks as keep a block under ``block_bytes`` of text; each block is one pass over the
-documents, and the passes' hits are merged. So nothing is capped and no broadcast grows
-with the documents.
+Size of what is broadcast: the bytes of the window table itself are summed first. Windows (not
+items: one item may be longer than a block) are dealt to as many blocks as keep a block at about
+``table_bytes``; each block is one pass over the documents, and the passes' hits are merged. So
+nothing is capped, and neither the driver nor a worker holds more than a block (or one window,
+if a single window is longer).
 
 Defined cases: a null or empty text has no words. Null item ids count as the item ``""``.
 Items that repeat count once by id; equal windows of two items count for both. Rows are
@@ -22,49 +24,81 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
-from .textbytes import ALNUM, Words, inside, window_hashes, words
+from .common import map_texts, stored, text_buffers
+from .textbytes import ALNUM, SEP, Words, inside, window_hashes, words
 
 HIT_DDL = ("n_words bigint, n_hit bigint, item_ids array<string>, "
            "spans array<struct<start:int,end:int>>")
-_PRE_BITS = 20
-
-
-def item_windows(text: str | None, n: int) -> set[bytes]:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    w = words(data, np.array([0, len(data)]), ALNUM)
-    total = len(w.start)
-    size = min(n, total)
-    return {w.text(i, size) for i in range(total - size + 1)} if total else set()
-
-
-def _window_table(items: list[tuple[str, str]], n: int) -> dict[int, dict[int, dict[bytes, tuple]]]:
-    """length -> hash -> window -> item ids."""
-    by: dict[bytes, set] = {}
-    for item, text in items:
-        for win in item_windows(text, n):
-            by.setdefault(win, set()).add(item)
-    out: dict[int, dict] = {}
-    for win, ids in by.items():
-        data = np.frombuffer(win, np.uint8)
-        w = words(data, np.array([0, len(data)]), ALNUM)
-        size = len(w.start)
-        h = int(window_hashes(w.hashes(), size)[0])
-        out.setdefault(size, {}).setdefault(h, {})[win] = tuple(sorted(ids))
+WINDOW_DDL = "size int, hash bigint, item string, window binary"
+#: Bytes that a window takes in the table beside its words and its item's name: hash, offset, item number, pointers.
+_ROW_BYTES = 40
+
+
+def benchmark_windows(bench: DataFrame, item: str, text: str, n: int) -> DataFrame:
+    """(size, hash, item, window): the different windows of every item, cut in tasks."""
+    b = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("body"))
+
+    def make():
+        def kernel(data, offs, rows):
+            w = words(data, offs, ALNUM)
+            names = rows.column(rows.schema.get_field_index("item"))
+            wh, total, length = w.hashes(), len(w.start), w.end - w.start
+            ends = np.cumsum(length + 1) - 1                # the words one after the other, a blank behind each
+            joined = np.full(int(ends[-1]) + 1 if total else 0, SEP, np.uint8)
+            joined[np.repeat(ends - length, length) + _counted(length)] = w.norm[np.repeat(w.start, length) + _counted(length)]
+            joined = joined.tobytes()
+            sizes, hashes, of, windows = [], [], [], []
+            for size in np.unique(np.minimum(w.counts, n)).tolist():
+                if not size:
+                    continue
+                at = np.flatnonzero(inside(w.first, size, total))
+                row = np.searchsorted(w.first, at, "right") - 1
+                own = np.minimum(w.counts[row], n) == size
+                at, row = at[own], row[own]
+                sizes += [size] * len(at)
+                hashes.append(window_hashes(wh, size)[at].view(np.int64))
+                of.append(row)
+                windows += [joined[a:b] for a, b in zip((ends - length)[at].tolist(), ends[at + size - 1].tolist())]
+            if not windows:
+                return {"size": [], "hash": [], "item": [], "window": []}
+            return {"size": sizes, "hash": np.concatenate(hashes), "item": names.take(pa.array(np.concatenate(of))), "window": windows}
+        return kernel
+    return map_texts(b, "body", make, WINDOW_DDL, ["item"], one_to_one=False).distinct()
+
+
+def _counted(length: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each length, one after the other."""
+    return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+
+
+def _window_table(rows: pa.Table) -> dict[int, tuple]:
+    """length -> (sorted hashes, offsets of the windows' words, the words' bytes, item numbers, item names)."""
+    out = {}
+    size = rows.column("size").to_numpy()
+    for n in np.unique(size).tolist():
+        mine = rows.take(pa.array(np.flatnonzero(size == n)))
+        order = pa.array(np.argsort(mine.column("hash").to_numpy().view(np.uint64), kind="stable"))
+        mine = mine.take(order).combine_chunks()
+        data, offs = text_buffers(mine.column("window"))
+        items = mine.column("item").combine_chunks().dictionary_encode()
+        out[n] = (mine.column("hash").to_numpy().view(np.uint64), offs, data.tobytes(),
+                  items.indices.to_numpy(), items.dictionary.to_pylist())
     return out
 
 
 def _kernel_maker(table):
     def make():
         sides = []
-        for size, by_hash in sorted(table.value.items()):
-            keys = np.array(sorted(by_hash), np.uint64)
-            pre = np.zeros(1 << _PRE_BITS, bool)
-            pre[keys >> np.uint64(64 - _PRE_BITS)] = True
-            sides.append((size, keys, pre, by_hash))
+        for size, (keys, at, text, of, names) in sorted(table.value.items()):
+            bits = min(24, max(16, len(keys).bit_length() + 4))     # at most one place in eight is taken, up to 2^21 keys
+            shift = np.uint64(64 - bits)
+            pre = np.zeros(1 << bits, bool)
+            pre[keys >> shift] = True
+            sides.append((size, keys, pre, shift, at, text, of, names))
 
         def kernel(data, offs, rows):
             w = words(data, offs, ALNUM)
@@ -72,19 +106,19 @@ def _kernel_maker(table):
             cover = np.zeros(total + 1, np.int32)
             found: dict[int, set] = {}
             wh = w.hashes() if sides else None
-            for size, keys, pre, by_hash in sides:
+            for size, keys, pre, shift, at, text, of, names in sides:
                 h = window_hashes(wh, size)
-                cand = np.flatnonzero(pre[h >> np.uint64(64 - _PRE_BITS)])
-                if not len(cand):
-                    continue
-                hit = keys[np.minimum(np.searchsorted(keys, h[cand]), len(keys) - 1)] == h[cand]
-                cand = cand[hit]
+                cand = np.flatnonzero(pre[h >> shift])
                 if not len(cand):
                     continue
-                cand = cand[inside(w.first, size, total)[cand]]
+                first = np.searchsorted(keys, h[cand])
+                last = np.searchsorted(keys, h[cand], "right")
+                hit = (last > first) & inside(w.first, size, total)[cand]
+                cand, first, last = cand[hit], first[hit], last[hit]
                 of_row = np.searchsorted(w.first, cand, "right") - 1
-                for i, r in zip(cand.tolist(), of_row.tolist()):
-                    ids = by_hash[int(h[i])].get(w.text(i, size))    # the words themselves decide
+                for i, r, a, b in zip(cand.tolist(), of_row.tolist(), first.tolist(), last.tolist()):
+                    own = w.text(i, size)
+                    ids = [names[of[j]] for j in range(a, b) if text[at[j]:at[j + 1]] == own]   # the words themselves decide
                     if ids:
                         cover[i] += 1
                         cover[i + size] -= 1
@@ -112,31 +146,29 @@ def _spans(data, offs, w: Words, covered, r: int) -> list[dict]:
             for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def benchmark_blocks(bench: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark as tables of about ``block_bytes`` of text at most (by the hash of the id)."""
-    b = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"),
-                     F.coalesce(F.col(text), F.lit("")).alias("words"))
-    size = b.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    if n == 1:
-        return [b]
-    n *= 2                                  # hashing deals unevenly
-    return [b.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+def window_blocks(windows: DataFrame, table_bytes: int) -> list[DataFrame]:
+    """A written table of windows as tables of about ``table_bytes``."""
+    row = F.octet_length("window") + F.octet_length("item") + _ROW_BYTES
+    n = math.ceil((windows.agg(F.sum(row.cast("bigint"))).first()[0] or 0) / table_bytes)
+    if n <= 1:
+        return [windows]
+    n += math.ceil(n / 4)                   # hashing deals a little unevenly
+    return [windows.filter(F.pmod(F.xxhash64("hash", "item"), F.lit(n)) == k) for k in range(n)]
 
 
 def annotate(docs: DataFrame, bench: DataFrame, n: int = 10, text: str = "text", item: str = "item_id",
-             bench_text: str = "text", keep=None, block_bytes: int = 16 << 20) -> DataFrame:
+             bench_text: str = "text", keep=None, table_bytes: int = 32 << 20) -> DataFrame:
     """The documents' columns (``keep``: all but clashing ones) with n_words, n_hit, item_ids and spans."""
     made = {"n_words", "n_hit", "item_ids", "spans"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     out = docs
-    blocks = benchmark_blocks(bench, item, bench_text, block_bytes)
+    blocks = window_blocks(stored(benchmark_windows(bench, item, bench_text, n)), table_bytes)
     sc = docs.sparkSession.sparkContext
     if len(blocks) == 1:
-        tab = sc.broadcast(_window_table([tuple(r) for r in blocks[0].collect()], n))
+        tab = sc.broadcast(_window_table(blocks[0].toArrow()))
         return map_texts(docs, text, _kernel_maker(tab), HIT_DDL, keep)
     for k, block in enumerate(blocks):      # each pass adds its own hits to the row
-        tab = sc.broadcast(_window_table([tuple(r) for r in block.collect()], n))
+        tab = sc.broadcast(_window_table(block.toArrow()))
         got = map_texts(out, text, _kernel_maker(tab), HIT_DDL, [c for c in out.columns if c not in made])
         out = got.withColumn(f"_hits{k}", F.struct("item_ids", "spans", "n_words")).drop(*made)
     parts = [F.col(f"_hits{k}") for k in range(len(blocks))]

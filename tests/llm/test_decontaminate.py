@@ -26,8 +26,8 @@ def test_equals_brute_force(spark, docs):
     rows = rows + AWKWARD
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter((d, n, h, tuple(i)) for d, n, h, i in brute.decontaminate(rows, items))
-    for block_bytes in (1 << 24, 300):          # 300: the benchmark takes several passes
-        got = D.annotate(docs(rows), bench, block_bytes=block_bytes).collect()
+    for table_bytes in (1 << 24, 4000):         # 4000: the windows take several passes, those of one item too
+        got = D.annotate(docs(rows), bench, table_bytes=table_bytes).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got) == want
 
 
@@ -43,6 +43,34 @@ def test_spans_are_cut_from_the_text(spark, docs):
     assert {r.doc_id for r in left} == {2, 3} and {r.n_words for r in left} == {-1}     # the documents' own column
 
 
+def test_one_long_item_is_dealt_to_many_blocks(spark, docs):
+    rnd = random.Random(7)
+    item = [rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(3000)]
+    windows = D.stored(D.benchmark_windows(spark.createDataFrame([(1, " ".join(item)), (1, "x  Y"), (2, "x-y")],
+                                                                 "item_id long, text string"), "item_id", "text", 10))
+    want = {("1", " ".join(item[i:i + 10]).encode()) for i in range(2991)} | {("1", b"x y"), ("2", b"x y")}
+    assert {(r.item, bytes(r.window)) for r in windows.collect()} == want and windows.count() == len(want)
+    blocks = D.window_blocks(windows, 40_000)
+    sizes = [sum(len(r.window) + len(r.item) + 40 for r in b.collect()) for b in blocks]
+    assert len(blocks) > 5 and max(sizes) <= 40_000
+    assert sum(len(keys) for b in blocks for keys, *_ in D._window_table(b.toArrow()).values()) == len(want)
+
+
+def test_equal_hashes_are_told_apart_by_words(spark, docs, monkeypatch):
+    """All windows of one length share a hash: only equal words count."""
+    monkeypatch.setattr(D, "window_hashes", lambda h, n: D.np.zeros(max(0, len(h) - n + 1), D.np.uint64))
+    rows, items = [(1, "a b"), (2, "b a"), (3, "c d"), (4, "a b c d")], [(7, "a b"), (8, "c d"), (9, "a b")]
+    table = D._window_table(D.pa.table({"size": [2] * 3, "hash": D.pa.array([0] * 3, D.pa.int64()), "item": [str(i) for i, _ in items],
+                                        "window": [t.encode() for _, t in items]}))
+
+    class Shared:
+        value = table
+    kernel = D._kernel_maker(Shared)()
+    data = D.np.frombuffer("".join(t for _, t in rows).encode(), D.np.uint8)
+    got = kernel(data, D.np.cumsum([0] + [len(t) for _, t in rows]), None)
+    assert got["item_ids"] == [["7", "9"], [], ["8"], ["7", "8", "9"]] and list(got["n_hit"]) == [2, 0, 2, 4]
+
+
 def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in D.annotate(docs([(1, "a b")]), bench).collect()] == [0]
