@@ -78,7 +78,7 @@ def test_ranges_give_each_line_once(parts, block, chunk):
             got += FS.lines_in(piece, "utf-8")
             counted += FS.count_in(piece)
     assert got == want
-    invalid_end = bool(re.search(rb"(^|[\r\n])\xe2+$", data))
+    invalid_end = bool(re.search(rb"(^|[\r\n])\xe2+\Z", data))     # \Z: "$" would also match in front of a last line end
     assert counted - len(want) == invalid_end
 
 
