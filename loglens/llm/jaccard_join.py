@@ -25,7 +25,8 @@ A text's set are its distinct shingles of ``k`` words. Two texts link when
 Every text is represented: equal sets by the class, links between different sets by step 4.
 
 Defined cases: a text with fewer than ``k`` words, but not none, has one shingle, its word
-sequence. A null or empty text has no set and links with nothing; nor does a row with a null id.
+sequence. A null or empty text has no set and links with nothing. A row with a null id is no node
+and links nothing: its component is that of an equal set that has an id, else null.
 Rows that share an id are one node, and each is returned with its own set's size. Only the id
 and text are read.
 """

@@ -106,3 +106,14 @@ def test_signatures_never_differ_more_than_the_sets(common, left, right):
     x, y = (np.frombuffer(s, np.uint64)[None] for s in J.signatures(values, np.array([0, len(a), len(a) + len(b)])))
     w = min(x.shape[1], y.shape[1])
     assert int(np.bitwise_count(J.folded(x, w) ^ J.folded(y, w)).sum()) <= len(a ^ b)
+
+
+def test_rows_without_an_id(docs):
+    """No node of their own: the component of an equal set, or null; they connect nothing."""
+    a, far = " ".join(f"w{i}" for i in range(60)), "quite another text of more than five words"
+    near = a + " tail"                                     # links with a
+    between = a + " tail end"
+    rows = [(7, a), (None, a), (None, far), (9, near), (None, between), (3, "one two three four five six"), (None, None), (4, None)]
+    got = sorted((r.n_shingles, str(r.doc_id), str(r.component_id)) for r in J.near_duplicate_groups(docs(rows)).collect())
+    assert got == sorted([(56, "7", "7"), (56, "None", "7"), (4, "None", "None"), (57, "9", "7"), (58, "None", "None"),
+                          (2, "3", "3"), (0, "None", "None"), (0, "4", "4")])
