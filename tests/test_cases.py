@@ -135,3 +135,18 @@ def test_rules_close_over_a_line_and_a_dense_cycle(spark):
     assert got["n000", "n500"][2] == " -> ".join(f"n{i:03}" for i in range(501))
     dense = [(f"d{i}", f"d{j}") for i in range(200) for j in range(200) if (i * j + i) % 3 == 0 or j == (i + 1) % 200]
     assert _closed(spark, dense) == shortest(dense)
+
+
+def test_a_dense_frontier_meets_the_rules_alone(spark):
+    pairs = [(a, b, 1) for a in range(40) for b in range(40) if a != b and (a + b) % 4 == 0]
+    pairs += [(a, b, 2) for a in range(40) for b in range(40) if (a + b) % 4]
+    known = spark.createDataFrame(pairs, "root long, cause long, depth int")
+    ahead = known.where("depth = 2").selectExpr("root", "cause AS mid")
+    few, C._STEP_ROWS = C._STEP_ROWS, 100
+    try:
+        assert C._stride(ahead, known, 2) == 1               # not every pair behind the frontier
+        line = spark.createDataFrame([(a, a + d, d) for a in range(9) for d in (1, 2, 3, 4)], known.schema)
+        assert C._stride(line.where("depth = 4").selectExpr("root", "cause AS mid"), line, 4) == 4
+        assert C._stride(line.where("depth = 9").selectExpr("root", "cause AS mid"), line, 4) == 0
+    finally:
+        C._STEP_ROWS = few
