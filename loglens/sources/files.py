@@ -22,6 +22,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,6 +36,7 @@ from ..session import broadcast_if_small, checkpoint_dir, stored
 BINARY_SNIFF_BYTES = 4096
 BLOCK_BYTES = 64 << 20
 _CHUNK = 4 << 20
+_BEHIND = 64 << 10                                   # read behind a range at first: most last lines end there
 _ROWS = 10_000
 _SCHEMA = "path string, block bigint, row bigint, line_text string"
 
@@ -177,16 +179,19 @@ class LogFilesReader(DataSourceReader):
         self.skip_binary, self.count = flag("skipBinary", True), flag("count", False)
         self.encoding = options.get("encoding", "utf-8")
         self.block = int(options.get("blockBytes", BLOCK_BYTES))
+        self.tasks = int(options.get("tasks", 1 << 30))
         self.most = int(options["maxBytesPerFile"]) if options.get("maxBytesPerFile") else None
 
     def partitions(self):
+        """Small ranges share a task, up to ``BLOCK_BYTES``, but for what spreads them over ``tasks``."""
+        found = [(path, size) for path, size in list_files(self.target, self.recursive, self.hidden)
+                 if size and (self.most is None or size <= self.most) and not (self.count and size <= self.block)]
+        most = max(self.block, min(BLOCK_BYTES, -(-sum(size for _, size in found) // self.tasks)))
         parts, now, load = [], [], 0
-        for path, size in list_files(self.target, self.recursive, self.hidden):
-            if not size or self.most is not None and size > self.most or self.count and size <= self.block:
-                continue
+        for path, size in found:
             for start in range(0, size, self.block):
                 end = min(size, start + self.block)
-                if now and load + end - start > self.block:
+                if now and load + end - start > most:
                     parts.append(Ranges(now))
                     now, load = [], 0
                 now.append((path, start, end, size))
@@ -194,30 +199,51 @@ class LogFilesReader(DataSourceReader):
         return parts + [Ranges(now)] if now else parts or [Ranges([])]
 
     def read(self, partition):
-        for path, start, end, size in partition.ranges:
+        held, n = [], 0
+        for path, ranges in groupby(partition.ranges, lambda r: r[0]):
             system, at, _ = file_system(path)
             with system.open_input_file(at) as f:
                 if self.skip_binary and is_binary(f):
                     continue
-                if self.count:
-                    yield (path, start, sum(map(count_in, segments(f, start, end, size))), None)
-                    continue
-                row = 0
-                for piece in segments(f, start, end, size):
-                    lines = lines_in(piece, self.encoding)
-                    for a in range(0, len(lines), _ROWS):
-                        some = lines[a:a + _ROWS]
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([path] * n, pa.string()), pa.array([start] * n, pa.int64()),
-                             pa.array(range(row, row + n), pa.int64()), pa.array(some, pa.string())],
-                            names=["path", "block", "row", "line_text"])
-                        row += n
+                for _, start, end, size in ranges:
+                    pieces = segments(f, start, end, size, chunk_for(start, end))
+                    if self.count:
+                        yield (path, start, sum(map(count_in, pieces)), None)
+                        continue
+                    row = 0
+                    for piece in pieces:
+                        lines = lines_in(piece, self.encoding)
+                        for a in range(0, len(lines), _ROWS):
+                            some = lines[a:a + _ROWS]
+                            if n + len(some) > _ROWS:
+                                yield _batch(held)
+                                held, n = [], 0
+                            held.append((path, start, row, some))
+                            n += len(some)
+                            row += len(some)
+        if held:
+            yield _batch(held)
+
+
+def chunk_for(start: int, end: int) -> int:
+    """Bytes to read at a time for a range: little more than the range."""
+    return min(_CHUNK, end - start + _BEHIND)
+
+
+def _batch(held: list) -> pa.RecordBatch:
+    """Runs (path, block, first row, lines) as rows."""
+    sizes = [len(x[3]) for x in held]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p for x, n in zip(held, sizes) for p in [x[0]] * n], pa.string()),
+         pa.array([s for x, n in zip(held, sizes) for s in [x[1]] * n], pa.int64()),
+         pa.array([i for x, n in zip(held, sizes) for i in range(x[2], x[2] + n)], pa.int64()),
+         pa.array([t for x in held for t in x[3]], pa.string())],
+        names=["path", "block", "row", "line_text"])
 
 
 def _read(spark: SparkSession, target: str, options: dict) -> DataFrame:
     spark.dataSource.register(LogFiles)
-    given = {k: str(v) for k, v in options.items() if v is not None}
+    given = {k: str(v) for k, v in {"tasks": 4 * spark.sparkContext.defaultParallelism, **options}.items() if v is not None}
     return spark.read.format("loglens_files").options(target=target, **given).load()
 
 
@@ -256,18 +282,29 @@ def number_lines(hits: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     ranges = block.select("path", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(block_bytes).cast("bigint"))).alias("block"), "last")
 
     def count(batches):
-        for b in batches:
-            n = []
-            for path, start, last in zip(*(c.to_pylist() for c in b.columns)):
-                if start == last:                    # nothing is asked for behind it
-                    n.append(0)
-                    continue
-                system, at, _ = file_system(path)
-                with system.open_input_file(at) as f:
-                    n.append(sum(map(count_in, segments(f, start, start + block_bytes, f.size()))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["path", "block", "n"])
-
-    counted = ranges.repartition("path", "block").mapInArrow(count, "path string, block bigint, n bigint")
+        f, held = None, None
+        try:
+            for b in batches:
+                n = []
+                for path, start, last in zip(*(c.to_pylist() for c in b.columns)):
+                    if start == last:                # nothing is asked for behind it
+                        n.append(0)
+                        continue
+                    if path != held:
+                        if f is not None:
+                            f.close()
+                        system, at, _ = file_system(path)
+                        f, held = system.open_input_file(at), path
+                    end = start + block_bytes
+                    n.append(sum(map(count_in, segments(f, start, end, f.size(), chunk_for(start, end)))))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["path", "block", "n"])
+        finally:
+            if f is not None:
+                f.close()
+
+    # The ranges of a stretch of a file are counted by one task, in their order.
+    stretch = F.floor(F.col("block") / max(BLOCK_BYTES, block_bytes))
+    counted = ranges.repartition("path", stretch).sortWithinPartitions("path", "block").mapInArrow(count, "path string, block bigint, n bigint")
     return _numbered(hits, counted)
 
 

@@ -180,3 +180,17 @@ def test_scan_of_paths_with_blanks_and_plus(spark, tmp_path):
     assert {r.line_text for r in flat} == {"one", "two"}
     alone = scan_lines(spark, str(root / "a b.log"), recursive=False).collect()
     assert sorted(r.line_text for r in alone) == ["one", "two"]
+
+
+def test_small_ranges_share_a_task(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for k in range(20):
+        with open(f"{root}/{k:02}.log", "w") as f:
+            f.write("".join(f"line {i} of {k}\n" for i in range(200)))
+    parts = FS.LogFilesReader({"target": root, "blockBytes": 100, "tasks": 4}).partitions()
+    assert len(parts) <= 5 and sum(len(p.ranges) for p in parts) > 400
+    batches = [b for p in parts for b in FS.LogFilesReader({"target": root, "blockBytes": 100}).read(p)]
+    assert len(batches) <= 5 and sum(b.num_rows for b in batches) == 4000
+    got = FS.scan_lines(spark, root, block_bytes=100)
+    assert got.where("line_text = concat('line ', line_no - 1, ' of ', cast(substring(path, -6, 2) as int))").count() == got.count() == 4000
+    assert FS.chunk_for(0, 100) < 100_000                    # a range does not read megabytes behind it
