@@ -194,3 +194,11 @@ def test_small_ranges_share_a_task(spark):
     got = FS.scan_lines(spark, root, block_bytes=100)
     assert got.where("line_text = concat('line ', line_no - 1, ' of ', cast(substring(path, -6, 2) as int))").count() == got.count() == 4000
     assert FS.chunk_for(0, 100) < 100_000                    # a range does not read megabytes behind it
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch, tmp_path):
+    from loglens.sources import tables
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 10)
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = tables.table(spark, str(tmp_path), "events")
+    assert df.rdd.getNumPartitions() == 100 and df.count() == 1000
