@@ -121,13 +121,21 @@ def stream_evidence_map(spark: SparkSession, folder: str, state: str | None = No
     return table
 
 
-_EVENT = "timestamp_s double, event_id bigint, path string, line_no bigint"
-_PLACED = f"service string, slice bigint, {_EVENT}, copy int, interval double"
+# Events as parallel lists, at most SLICE_PART of them in a row: a row of state or output costs far more than an event in it.
+SLICE_PART = 10_000
+_HELD = "timestamp_s array<double>, event_id array<bigint>, path array<string>"
+_FOUND = f"service string, slice bigint, {_HELD}, copy array<int>, interval array<double>"
+_PLACED = "service string, slice bigint, timestamp_s double, event_id bigint, path string, copy int, interval double"
 
 
 def _event_order(e: tuple) -> tuple:
-    """Order of events with equal times as in a batch: event id, path, line number; a missing one counts as 0 or empty."""
-    return e[0], e[1] or 0, e[2] or "", e[3] or 0
+    """Order of events with equal times as in a batch: event id, path; a missing one counts as 0 or empty."""
+    return e[0], e[1] or 0, e[2] or ""
+
+
+def _parts(events: list[tuple]) -> list[tuple]:
+    """The events' fields as lists, ``SLICE_PART`` events to a row."""
+    return [tuple(map(list, zip(*events[i:i + SLICE_PART]))) for i in range(0, len(events), SLICE_PART)]
 
 
 class SliceIntervals(StatefulProcessor):
@@ -138,23 +146,22 @@ class SliceIntervals(StatefulProcessor):
     """
 
     def init(self, handle):
-        self.events = handle.getListState("events", _EVENT)
+        self.events = handle.getListState("events", _HELD)
 
     def handleInputRows(self, key, rows, timerValues):
         service, at = key
-        held = [tuple(r) for r in self.events.get()] if self.events.exists() else []
-        fresh = sorted(((r["timestamp_s"], r["event_id"], r["path"], r["line_no"]) for r in rows), key=_event_order)
+        held = [e for part in self.events.get() for e in zip(*part)]
+        fresh = sorted(((r["timestamp_s"], r["event_id"], r["path"]) for r in rows), key=_event_order)
         every = sorted(((e, new) for new, events in ((False, held), (True, fresh)) for e in events), key=lambda x: (_event_order(x[0]), x[1]))
         copies: dict[tuple, int] = {}
         out, before, moved = [], None, False
         for e, new in every:
             copies[e] = copy = copies.get(e, -1) + 1
             if new or moved:
-                out.append(Row(service=service, slice=at, timestamp_s=e[0], event_id=e[1], path=e[2], line_no=e[3], copy=copy,
-                               interval=None if before is None else e[0] - before))
+                out.append((*e, copy, None if before is None else e[0] - before))
             before, moved = e[0], new
-        self.events.put([e for e, _ in every])
-        return iter(out)
+        self.events.put(_parts([e for e, _ in every]))
+        return (Row(service=service, slice=at, timestamp_s=t, event_id=i, path=p, copy=c, interval=d) for t, i, p, c, d in _parts(out))
 
     def close(self):
         pass
@@ -186,24 +193,27 @@ def stream_gc_intervals(spark: SparkSession, folder: str, max_files_per_trigger:
     s = read_log_stream(spark, folder, max_files_per_trigger)
     ev = GC.gc_parse(s.withColumn("line_no", F.lit(None).cast("bigint")))
     slot = F.coalesce(F.floor(F.col("timestamp_s") / F.lit(float(slice_s))), F.lit(-1)).cast("bigint")
-    keyed = ev.select(F.coalesce("service", F.lit("_")).alias("service"), slot.alias("slice"), "timestamp_s", "event_id", "path", "line_no")
+    keyed = ev.select(F.coalesce("service", F.lit("_")).alias("service"), slot.alias("slice"), "timestamp_s", "event_id", "path")
     undated = F.col("timestamp_s").isNull()
     timed = (keyed.where(~undated).groupBy("service", "slice")
-             .transformWithState(SliceIntervals(), _PLACED, "append", "none"))
+             .transformWithState(SliceIntervals(), _FOUND, "append", "none")
+             .select("service", "slice", F.inline(F.arrays_zip("timestamp_s", "event_id", "path", "copy", "interval"))))
     with _state_in_rocksdb(spark):
         out = _run(timed, "gcint")
     rows = spark.read.schema(f"{_PLACED}, batch int").parquet(out)
     # events without a time need no state
-    plain = spark.read.schema("service string, path string, line_no bigint, batch int").parquet(
-        _run(keyed.where(undated).select("service", "path", "line_no"), "gcundated"))
-    key = ["service", "slice", "timestamp_s", "event_id", "path", "line_no", "copy"]
+    plain = spark.read.schema("service string, path string, batch int").parquet(
+        _run(keyed.where(undated).select("service", "path"), "gcundated"))
+    key = ["service", "slice", "timestamp_s", "event_id", "path", "copy"]
     latest = rows.groupBy(*key).agg(F.max_by(F.struct("interval"), "batch").alias("r"), F.min("batch").alias("batch"))
     ends = latest.groupBy("service", "slice").agg(F.max("timestamp_s").alias("last"))
     carry = ends.select("service", "slice", F.lag("last").over(Window.partitionBy("service").orderBy("slice")).alias("before"))
     got = latest.join(carry, ["service", "slice"])
     interval = F.coalesce(F.col("r.interval"), F.col("timestamp_s") - F.col("before"))
-    return (got.select("service", "path", "line_no", "timestamp_s", interval.alias("interval_prev_service_s"), "batch")
-            .unionByName(plain, allowMissingColumns=True))
+    # lines have no number on a stream
+    return (got.select("service", "path", "timestamp_s", interval.alias("interval_prev_service_s"), "batch")
+            .unionByName(plain, allowMissingColumns=True)
+            .select("service", "path", F.lit(None).cast("bigint").alias("line_no"), "timestamp_s", "interval_prev_service_s", "batch"))
 
 
 def stream_gc_health(spark: SparkSession, folder: str,

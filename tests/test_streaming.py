@@ -176,3 +176,32 @@ def test_gc_intervals_equal_batch_for_any_order_of_files(spark):
     for slice_s, files in ((60.0, 1), (5.0, 3), (1000.0, None)):
         assert key(ST.stream_gc_intervals(spark, root, max_files_per_trigger=files, slice_s=slice_s)) == expected
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_gc_interval_state_packs_a_slice_in_few_rows(monkeypatch):
+    held, written = [], []
+
+    class Held:
+        def get(self):
+            return iter(list(held))
+
+        def put(self, rows):
+            held[:] = rows
+            written.append(len(rows))
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Held()
+
+    def give(state, times):
+        rows = [{"timestamp_s": float(t), "event_id": t, "path": "a", "line_no": None} for t in times]
+        out = list(state.handleInputRows(("s", 0), iter(rows), None))
+        return len(out), [x for r in out for x in zip(r["timestamp_s"], r["copy"], r["interval"])]
+
+    state = ST.SliceIntervals()
+    state.init(Handle())
+    assert give(state, range(2, 60, 2)) == (1, [(float(t), 0, 2.0 if t > 2 else None) for t in range(2, 60, 2)])
+    # a late one, one that is there already, and parts of 7: they and what is right behind them
+    monkeypatch.setattr(ST, "SLICE_PART", 7)
+    assert give(state, [2, 5]) == (1, [(2.0, 1, 0.0), (4.0, 0, 2.0), (5.0, 0, 1.0), (6.0, 0, 1.0)])
+    assert written == [1, 5] and [len(p[0]) for p in held] == [7, 7, 7, 7, 3]
