@@ -16,7 +16,7 @@ Plan shape (one pass over the hits, whatever the key skew):
    map task travel;
 4. the short lists and counters are joined on ``pattern``.
 
-Lists are bounded views (``k`` per field); distinct counts stay exact.
+Lists are bounded views (``k`` per field; ``None``: every value); distinct counts stay exact.
 ``evidence_facts`` is the whole result behind them: a long table with every
 timestamp, file and variable of every pattern. Arrival order is
 (path, line_no[, position in line]).
@@ -33,6 +33,8 @@ EVIDENCE_FIELDS = ["timestamps", "files", "sample_lines", "variables"]
 
 # field name -> (short fact tag)
 _TAG = {"timestamps": "ts", "files": "file", "sample_lines": "sample", "variables": "var"}
+#: Line numbers of a path whose values are sorted as one piece of a whole list.
+_PIECE = 1 << 16
 
 
 def _ord(idx: Column | None = None) -> Column:
@@ -71,10 +73,17 @@ def _distinct_facts(facts: DataFrame, keep_dups: tuple[str, ...] = ()) -> DataFr
             .drop("_d"))
 
 
-def _first_k(distinct: DataFrame, spec: dict[str, tuple[int, str]]) -> DataFrame:
+def _first_k(distinct: DataFrame, spec: dict[str, tuple[int | None, str]]) -> DataFrame:
     """First ``k`` values per (pattern, field): ``spec[field] = (k, order)``,
-    order ``"value"`` (sorted) or ``"arrival"``. Returns one row per pattern
-    with an ARRAY<STRING> per field."""
+    order ``"value"`` (sorted) or ``"arrival"``; all of them, by arrival, where k is None.
+    Returns one row per pattern with an ARRAY<STRING> per field."""
+    whole = [name for name, (k, _) in spec.items() if k is None]
+    if whole:
+        some = {name: x for name, x in spec.items() if name not in whole}
+        every = _every_value(distinct, whole)
+        # "f" by way of "n": a filter on it then stays above the shared exchange
+        held = distinct.withColumn("f", F.when(F.col("n") > 0, F.col("f")))
+        return every.join(_first_k(held, some), "pattern", "full_outer") if some else every
     tags = {_TAG[name]: (name, k, order) for name, (k, order) in spec.items()}
     kmax = max(k for _, k, _ in tags.values())
     by_value = [t for t, (_, _, order) in tags.items() if order == "value"]
@@ -93,6 +102,21 @@ def _first_k(distinct: DataFrame, spec: dict[str, tuple[int, str]]) -> DataFrame
     return ranked.groupBy("pattern").agg(*aggs)
 
 
+def _every_value(distinct: DataFrame, names: list[str]) -> DataFrame:
+    """One row per pattern with all values of each field by arrival.
+
+    Values are sorted in pieces of a path's ``_PIECE`` line numbers, spread over reducers; a pattern's
+    list is its pieces put one behind the other. Fields without a list here give empty pieces: no filter
+    on ``f``, so the exchange stays the shared one."""
+    tags = [_TAG[name] for name in names]
+    value = F.when(F.col("f").isin(tags), F.struct(F.col("o.l").alias("l"), F.col("o.i").alias("i"), "v", "n"))
+    pieces = (distinct.groupBy("pattern", "f", F.col("o.p").alias("p"), F.floor(F.col("o.l") / _PIECE).alias("c"))
+              .agg(F.transform(F.sort_array(F.collect_list(value)), lambda x: x["v"]).alias("vs")).where(F.size("vs") > 0))
+    aggs = [F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("f") == tag, F.struct("p", "c", "vs")))),
+                                  lambda x: x["vs"])).alias(name) for name, tag in zip(names, tags)]
+    return pieces.groupBy("pattern").agg(*aggs)
+
+
 def _counters(distinct: DataFrame, fields: list[str]) -> DataFrame:
     # every column of `distinct` is read here (count(v), min(o), sum(n)) just
     # as in _first_k, so both branches share one exchange (ReusedExchange)
@@ -148,15 +172,15 @@ def evidence_by_class(hits: DataFrame, *, ts_k: int = 10, files_k: int = 5,
         F.col("first_seen.p").alias("first_path"), F.col("first_seen.l").alias("first_line_no"))
 
 
-def evidence_by_template(hits: DataFrame, *, strip_prefix: bool = True, ts_k: int = 10,
-                         files_k: int = 5, samples_k: int = 3,
-                         vars_k: int = 20) -> DataFrame:
+def evidence_by_template(hits: DataFrame, *, strip_prefix: bool = True, ts_k: int | None = 10,
+                         files_k: int | None = 5, samples_k: int | None = 3,
+                         vars_k: int | None = 20) -> DataFrame:
     """Template-keyed evidence map (one key per normalised message).
 
     Blank lines and empty keys are skipped. timestamps, files, sample_lines
     and variables are distinct and kept in arrival order, the first ``k`` of
-    each; variables are the strings the normalising rewrites remove from the
-    whole line.
+    each, or all (None); variables are the strings the normalising rewrites
+    remove from the whole line.
     """
     line = F.col("line_text")
     keyed = (hits.where(T.py_strip(line) != "")

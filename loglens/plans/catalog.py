@@ -227,7 +227,8 @@ ev AS (
   FROM cnt LEFT JOIN lists USING (pattern) LEFT JOIN samples USING (pattern))"""
 
 
-def _ev_template_sql(strip_prefix: bool, where: str = "true") -> str:
+def _ev_template_sql(strip_prefix: bool, where: str = "true", whole: bool = False) -> str:
+    ts_k, files_k, vars_k = (None, None, None) if whole else (10, 5, 20)
     return LL + f""",
 keyed AS (SELECT * FROM (SELECT *, {O.error_pattern('line_text', strip_prefix)} AS pattern FROM ll
           WHERE {O.strip('line_text')} <> '' AND ({where})) WHERE pattern <> ''),
@@ -236,9 +237,9 @@ facts AS (
   UNION ALL SELECT pattern, 'file' f, path v, path p, line_no l, 0 i FROM keyed
   UNION ALL SELECT pattern, 'sample' f, line_text v, path p, line_no l, 0 i FROM keyed
   UNION ALL {O.variables_rows('keyed')}),
-{O.first_k_lists('facts', {'timestamps': ('ts', 10, 'arrival'), 'files': ('file', 5, 'arrival'),
+{O.first_k_lists('facts', {'timestamps': ('ts', ts_k, 'arrival'), 'files': ('file', files_k, 'arrival'),
                            'sample_lines': ('sample', 3, 'arrival'),
-                           'variables': ('var', 20, 'arrival')})},
+                           'variables': ('var', vars_k, 'arrival')})},
 cnt AS (
   SELECT pattern, CAST(count(*) AS BIGINT) count, arg_min(path, (path, line_no)) first_path,
          arg_min(line_no, (path, line_no)) first_line_no FROM keyed GROUP BY pattern),
@@ -254,9 +255,9 @@ def evidence_by_class(spark, sf):
     return render_evidence(E.evidence_by_class(FX.log_lines(spark, sf)))
 
 
-@register("evidence_by_template", _ev_template_sql(True) + f"\nSELECT {_EV_COLS} FROM ev")
+@register("evidence_by_template", _ev_template_sql(True, whole=True) + f"\nSELECT {_EV_COLS} FROM ev")
 def evidence_by_template(spark, sf):
-    return render_evidence(E.evidence_by_template(FX.log_lines(spark, sf)))
+    return render_evidence(E.evidence_by_template(FX.log_lines(spark, sf), ts_k=None, files_k=None, vars_k=None))
 
 
 @register("evidence_by_template_compat", _ev_template_sql(False) + f"\nSELECT {_EV_COLS} FROM ev")

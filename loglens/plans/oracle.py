@@ -115,13 +115,14 @@ def first_k_lists(facts: str, spec: dict, key: str = "pattern") -> str:
     """CTEs dd/rk/lists over a facts CTE (key, f, v, p, l, i).
 
     spec: output name -> (tag, k, 'value'|'arrival'). Gives, per key, the
-    first k distinct values joined by '|' and the exact distinct count.
+    first k distinct values (all if k is None) joined by '|' and the exact distinct count.
     """
     by_value = [t for (t, _, o) in spec.values() if o == "value"]
     inlist = ", ".join(q(t) for t in by_value) or "''"
     cols = []
     for name, (tag, k, _) in spec.items():
-        cols.append(f"string_agg(CASE WHEN f={q(tag)} AND rn<={k} THEN v END, '|' ORDER BY rn) AS {name}")
+        first = "" if k is None else f" AND rn<={k}"
+        cols.append(f"string_agg(CASE WHEN f={q(tag)}{first} THEN v END, '|' ORDER BY rn) AS {name}")
         cols.append(f"CAST(count(CASE WHEN f={q(tag)} THEN 1 END) AS BIGINT) AS n_{name}")
     return f"""dd AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}, f, v ORDER BY p, l, i) r0

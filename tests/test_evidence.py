@@ -155,3 +155,23 @@ def test_facts_keep_every_timestamp_and_file(lines):
 
 def test_facts_stats_of_no_hits(lines):
     assert tuple(E.facts_stats(E.evidence_facts(lines([("a", 1, "x")]).limit(0))).first()) == (0, 0, 0, 0)
+
+
+def test_by_template_query_keeps_every_value(spark, tmp_path):
+    """More timestamps, files and variables of one pattern than any list used to hold."""
+    import datetime
+
+    import __spark_entry__ as entry
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, day + datetime.timedelta(seconds=i // 2), i % 9, "error", 0.0) for i in range(60)]
+    rows += [(60 + i, day, 1, "click", 1.0) for i in range(3)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.pattern: r for r in entry.queries()["evidence_by_template"](spark, str(tmp_path)).collect()}
+    hot = next(r for p, r in got.items() if "OutOfMemoryError" in p)
+    shown = {c: hot[c].split("|") for c in ("timestamps", "files", "sample_lines", "variables")}
+    arrived = sorted((f"/Volumes/logs/service={'driver/driver' if u % 4 == 0 else f'executor/executor-10.0.0.{u % 8}'}.log", i, t) for i, t, u, e, _ in rows if e == "error")
+    assert shown["files"] == list(dict.fromkeys(p for p, _, _ in arrived)) and len(shown["files"]) == hot.n_files == 7
+    assert shown["timestamps"] == list(dict.fromkeys(t.strftime("%y/%m/%d %H:%M:%S") for _, _, t in arrived)) and len(shown["timestamps"]) == hot.n_timestamps == 30
+    assert len(set(shown["variables"])) == hot.n_variables > 60 and {f"TID {i}" for i in range(60)} <= set(shown["variables"])
+    assert hot["count"] == 60 and len(shown["sample_lines"]) == 3 and len(got) == 2
