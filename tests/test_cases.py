@@ -150,3 +150,32 @@ def test_a_dense_frontier_meets_the_rules_alone(spark):
         assert C._stride(line.where("depth = 9").selectExpr("root", "cause AS mid"), line, 4) == 0
     finally:
         C._STEP_ROWS = few
+
+
+def _graphs(rng):
+    yield []
+    yield [("a", "b"), ("b", "a"), ("b", "c"), ("a", "d"), ("d", "c"), ("é", "a"), ("c", "\U0001f600"), ("￮", "é"), ("", "a"), ("c", "")]
+    for n, m in ((6, 9), (14, 16), (30, 45), (40, 400)):
+        yield [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+
+
+def test_held_rules_and_joined_rules_give_the_same_rows(spark, monkeypatch):
+    """Followed by tasks in small pieces, or joined in rounds where the rules are too many for a task."""
+    import random
+    for g in _graphs(random.Random(7)):
+        want = shortest(g)
+        monkeypatch.setattr(C, "_CELLS", 50)
+        monkeypatch.setattr(C, "_PATH_BYTES", 40)
+        assert _closed(spark, g) == want
+    monkeypatch.setattr(C, "_HELD_BYTES", 0)
+    assert _closed(spark, g) == want
+
+
+def test_held_rules_are_closed_without_a_shuffle_of_pairs(spark):
+    """300 components of 5 symptoms: the pairs are made by the tasks that hold the roots."""
+    rules = spark.createDataFrame([(f"g{g:03} {a}", f"g{g:03} {b}") for g in range(300) for a in range(5) for b in range(5) if b == (a + 1) % 5],
+                                  "symptom string, cause string")
+    closed = C.close_rules(rules)
+    assert closed.count() == 300 * 20 and closed.agg(F.max("depth")).first()[0] == 4
+    plan = closed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
